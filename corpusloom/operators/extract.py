@@ -14,9 +14,10 @@ from corpusloom.functions import text, urls
 from corpusloom.session import ship_package
 
 # Page furniture that is dropped, and where the main content usually is, in this order.
-CHROME_TAGS = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg", "button"}
-CHROME_MARKS = ["sidebar", "navbar", "toc", "breadcrumb", "cookie", "advert", "ad", "menu"]
-CONTENT = ["main", "article", "[role=main]", ".markdown-body", ".content", "#content", ".documentation", ".docs-content", ".post"]
+CHROME_TAGS = ["nav", "header", "footer", "aside", "script", "style", "noscript", "form", "iframe"]
+CHROME_ROLES = ["navigation", "banner", "contentinfo"]
+CHROME_CLASSES = ["sidebar", "navbar", "toc", "breadcrumb", "ad", "cookie"]
+CONTENT = ["main", "article", "[role=main]", ".markdown-body", ".doc-content", ".content", ".prose", "#content", "#main"]
 DUMP_NAMES = ["llms-full.txt", "llms-medium.txt"]
 HTTP_METHODS = ["get", "put", "post", "delete", "options", "head", "patch"]
 SPLIT_FROM, LEAST_PARTS, MOST_PARTS = 60_000, 3, 4000
@@ -112,8 +113,9 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: (v or "") for k, v in attrs}
-        marks = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-        if self.skip or tag in CHROME_TAGS or any(m in CHROME_MARKS for m in marks):
+        marks = a.get("class", "").split()
+        chrome = tag in CHROME_TAGS or a.get("role") in CHROME_ROLES or a.get("aria-hidden") == "true" or any(m in CHROME_CLASSES for m in marks)
+        if self.skip or chrome:
             if tag not in VOID:
                 self.skip.append(tag)
             return

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import urls
 
 # Where sitemaps usually lie, which manifests are read and which folders are not.
-SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/docs/sitemap.xml", "/sitemap-0.xml"]
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap-0.xml", "/docs/sitemap.xml"]
 MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml", "Cargo.toml", "go.mod"]
-SKIPPED_FOLDERS = ["node_modules", "vendor", "dist", "build", "target", "venv", "env", "__pycache__", "site-packages", "bower_components", "coverage", "out"]
+SKIPPED_FOLDERS = ["node_modules", ".git", ".venv", "venv", "__pycache__", "dist", "build", "target", ".next", ".nuxt", "vendor", ".claude"]
 
 
 def admitted(captures: DataFrame) -> DataFrame:
