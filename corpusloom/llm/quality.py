@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import row_chunks, text_bytes, with_names
 from corpusloom.llm.hashed import WIDTH, fit, ngram_features, ngram_scores, slices
@@ -182,13 +183,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """One row per document: ``id``, ``quality`` (0 to 1), ``weak`` (posterior of the votes alone), ``kept``."""
     docs = with_names(docs, id=id_col, text=text_col)
     model = train(docs)
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, quality double, weak double, kept boolean"
     if not model:
-        return docs.sparkSession.createDataFrame([], schema)
-    return _apply(docs, model, threshold, schema, ["id"])
+        return docs.sparkSession.createDataFrame([], _result(docs, ["id"]))
+    return _apply(docs, model, threshold, ["id"])
 
 
-def _apply(docs: DataFrame, model: dict, threshold: float, schema: str, carry: list[str]) -> DataFrame:
+def _result(docs: DataFrame, carry: list[str]) -> T.StructType:
+    scores = [T.StructField("quality", T.DoubleType()), T.StructField("weak", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    return T.StructType([*(docs.schema[c] for c in carry), *scores])
+
+
+def _apply(docs: DataFrame, model: dict, threshold: float, carry: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model["weights"], model["posterior"]))  # of fixed size
 
     def run(batches):
@@ -207,7 +212,7 @@ def _apply(docs: DataFrame, model: dict, threshold: float, schema: str, carry: l
             cols = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(q), pa.array(np.concatenate(weak)), pa.array(q >= threshold)], names=[*carry, "quality", "weak", "kept"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _result(docs, carry))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -217,6 +222,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     if not model:
         return docs
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    inner = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    kept = _apply(whole, model, threshold, f"row struct<{inner}>, quality double, weak double, kept boolean", ["row"])
-    return kept.where("kept").select("row.*")
+    return _apply(whole, model, threshold, ["row"]).where("kept").select("row.*")

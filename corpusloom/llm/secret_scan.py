@@ -41,7 +41,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def looks_random(value: str, least_bits: float = 3.0) -> bool:
+def looks_random(value: str, least_bits: float = 2.5) -> bool:
     """Digits and letters mixed, with at least ``least_bits`` of entropy a character."""
     if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
         return False
