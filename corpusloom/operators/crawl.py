@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written in the checkpoint folder and read again: each round of a crawl begins from files."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corpusloom.session import materialise
 
 
 def scope(start: Column, asked: Column) -> Column:
@@ -34,12 +21,12 @@ def reachable(starts: DataFrame, links: DataFrame, most_rounds: int = 100) -> Da
     links, pages seen before go. The rounds end when no page is new. Starts are not checked against the scope.
     """
     site = starts.select("site", "host", "prefix")
-    seen = _cut(starts.select("site", "url", F.lit(0).alias("depth")))
+    seen = materialise(starts.select("site", "url", F.lit(0).alias("depth")))
     frontier = seen
     for depth in range(1, most_rounds):
         found = frontier.join(links.withColumnRenamed("src", "url").withColumnRenamed("dst", "next"), "url").join(site, "site")
         found = found.where(urls.crawlable(F.col("next"), F.col("host"), F.col("prefix"))).select("site", F.col("next").alias("url")).distinct()
-        frontier = _cut(found.join(seen, ["site", "url"], "left_anti").select("site", "url", F.lit(depth).alias("depth")))
+        frontier = materialise(found.join(seen, ["site", "url"], "left_anti").select("site", "url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import apispec as a
 from corpusloom.operators import chat
 from corpusloom.plans.fixtures import captures, table
+from corpusloom.session import shared_dir
 from corpusloom.streaming.ingest import ingest
 
 QUERIES, ORACLES = {}, {}
@@ -108,7 +108,7 @@ def a9(spark, d):
 @query("st1_streaming_ingest", None, "")
 def st1(spark, d):
     """The store that streaming ingest leaves after all captures; equal to a batch over them."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     rows = captures(spark, d).withColumn("harvested_at", F.lit("2026-08-20").cast("timestamp"))
     rows.write.parquet(f"{root}/in")
     ingest(spark, f"{root}/in", f"{root}/store", f"{root}/state").awaitTermination()
