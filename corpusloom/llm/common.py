@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.session import materialise, ship_package
+
+__all__ = ["map_batches", "materialise", "mix64", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
 
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a task.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, a local session) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
-
-    Unlike cached blocks, the files outlive the executors that wrote them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_names(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns cannot clash."""
     ship_package(df.sparkSession)
