@@ -6,10 +6,10 @@ that follow (6 + 10 bits); empty buckets borrow from filled ones in an order fix
 with equal sets form one class. Bands of registers propose pairs of classes, the collision-corrected estimate
 of the Jaccard similarity drops hopeless ones, and every other pair is confirmed on the full shingle sets.
 
-Within a band bucket members are first compared with pivots only, so that a bucket of thousands of copies
-gives thousands of pairs and not millions. Then, what is still in different components within a bucket is
-compared pair by pair, so no link between components is lost. Connected components are found by alternating
-large-star and small-star steps.
+Within a band bucket members are compared with a pivot only (who meets most others), so that a bucket of thousands of
+copies gives thousands of pairs and not millions. What the pivot leaves in other components can link only through
+shingles that the pivot has not; those few are joined, so no link between components is lost (``_by_edits``).
+Connected components are found by alternating large-star and small-star steps.
 
 At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**4)**40, below 3e-7.
 
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, materialise, mix64, row_chunks, sums_by_row, text_bytes, with_names
@@ -38,6 +38,8 @@ ZERO_BITS, MANTISSA_BITS = 6, 10
 SLACK, SURE_SET = 0.22, 400
 #: Pairs of one class that a task joins with its set; above it they are dealt over more tasks.
 PAIRS_A_TASK = 2000
+#: Further rounds of pivots for buckets that hold several groups.
+MORE_STARS = 2
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -210,11 +212,8 @@ def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: i
     likely = materialise(map_batches(both, lambda x: _likely(x, threshold), f"a {kind}, b {kind}, n_a long, n_b long", rows=4000))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = materialise(map_batches(docs.join(wanted, "id", "left_semi").select("id", "text"), _sets, f"id {kind}, shingles array<long>", rows=1000).dropDuplicates(["id"]))
-    one = sets.join(spread, "id").select(F.col("id").alias("a"), "salt", F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    dealt = likely.join(hot, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return dealt.join(one, ["a", "salt"]).join(two, "b").where(100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return _with_set(_with_set(likely, sets, "a"), sets, "b").where(100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -248,6 +247,65 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(now.select("v", "v").distinct()).distinct()
 
 
+def _placed(rows: DataFrame, reached: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``key`` so far, which is itself where nothing is linked to it."""
+    found = reached.select(F.col("id").alias(key), F.col("component").alias("__c"))
+    return rows.join(found, key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
+
+
+def _pivot() -> Column:
+    """Of a bucket's members the one of the highest degree; ties go to smaller sets and ids."""
+    return F.min(F.struct(-F.col("degree"), "n", "id"))["id"].alias("pivot")
+
+
+def _by_edits(stars: DataFrame, reached: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) that may still link two components, found without comparing all members of a bucket.
+
+    ``stars``: (a, b), each bucket's pivot with each of its members. Let p be the pivot of a bucket, x a member
+    outside p's component, y any other member. What x and y have in common within p is at most what either has in
+    common with p; a link needs more than that by ``least`` shingles, which x and y must share outside p ("edits").
+    An edit that members of one component alone have cannot count, and a member with fewer than ``least`` others
+    is out. The rest is joined on edits, and the number that a pair shares decides whether it is confirmed. Only
+    where x nearly links with p, and y is smaller than p, can a pair do without edits; those pairs go by size.
+    """
+    placed = _placed(_placed(stars, reached, "a", "of_a"), reached, "b", "of_b").withColumn("open", F.col("of_a") != F.col("of_b"))
+    placed = materialise(placed.join(placed.where("open").select("a").distinct(), "a", "left_semi"))
+    wanted = placed.select(F.col("a").alias("id")).union(placed.select("b")).distinct()
+    kind = stars.schema["a"].dataType.simpleString()
+    sets = materialise(map_batches(docs.join(wanted, "id", "left_semi").select("id", "text"), _sets, f"id {kind}, shingles array<long>", rows=1000).dropDuplicates(["id"]))
+    both = _with_set(_with_set(placed, sets, "a"), sets, "b")
+    edits = F.array_except("set_b", "set_a")
+    measured = materialise(both.select("a", "b", "of_b", "open", edits.alias("edits"), F.size("set_b").alias("n"), (F.size("set_b") - F.size(edits)).alias("common")))
+    smallest = measured.groupBy("a").agg(F.min("n").alias("smallest"))
+    # of a link the common part is at least t / (100 + t) of both sizes' sum
+    part = lambda n, m: threshold * (F.col(n) + F.col(m))
+    least = F.ceil(part("n", "smallest") / (100 + threshold)) - F.col("common")
+    measured = measured.join(smallest, "a").withColumn("least", least)
+    each = measured.where(F.size("edits") >= F.greatest("least", F.lit(1))).select("a", "b", "of_b", "open", "least", F.explode("edits").alias("edit"))
+    shared = each.groupBy("a", "edit").agg(F.min("of_b").alias("low"), F.max("of_b").alias("high")).where("low <> high").select("a", "edit")
+    each = materialise(each.join(shared, ["a", "edit"]))
+    enough = each.groupBy("a", "b", "least").agg(F.count("*").alias("__n")).where("__n >= least").select("a", "b")
+    each = materialise(each.join(enough, ["a", "b"]))
+    x = each.where("open").select("a", "edit", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("least").alias("least_x"))
+    y = each.select("a", "edit", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("least").alias("least_y"))
+    pairs = x.join(y, ["a", "edit"]).where("of_x <> of_y").groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("least_x", "least_y")).alias("least")).where("n >= least").select("x", "y")
+    narrow = measured.select("a", "b", "of_b", "open", "n", "common", "least")
+    near = narrow.where("open and least <= 0").select("a", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("n").alias("n_x"), "common")
+    small = narrow.select("a", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("n").alias("n_y"))
+    by_size = near.join(small, "a").where((F.col("of_x") != F.col("of_y")) & (part("n_x", "n_y") <= (100 + threshold) * F.col("common"))).select("x", "y")
+    return materialise(pairs.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """``pairs`` with the shingles of ``key``, whose rows may be many: they are dealt over salted copies of its set."""
+    hot = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("copies"))
+    other = "b" if key == "a" else "a"
+    dealt = pairs.join(hot, key).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+    spread = hot.select(F.col(key).alias("id"), F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("salt"))
+    side = sets.join(spread, "id").select(F.col("id").alias(key), "salt", F.col("shingles").alias(f"set_{key}"))
+    return dealt.join(side, [key, "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: ``id``, ``n_shingles``, ``component`` (smallest id reachable over links), ``kept``."""
     docs = with_names(docs, id=id_col, text=text_col)
@@ -257,37 +315,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # both bytes of each register, four registers a band; the class's id goes with each band
     width = 2 * BAND_ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
-    banded = classes.select("id", F.explode(bands).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    met = materialise(banded.join(shared, "band").select("band", "id", "pivot", "members"))
-    tested = materialise(met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialise(confirm(tested, classes, docs, threshold))
+    banded = classes.select("id", "n", F.explode(bands).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialise(banded.join(shared, "band"))
+    # the pivot of a bucket: whoever shares most buckets with others, as the origin of a group of copies does
+    degree = met.groupBy("id").agg(F.sum("members").alias("degree"))
+    met = met.join(degree, "id")
+    first = met.groupBy("band").agg(_pivot())
+    met = materialise(met.join(first, "band").where("id <> pivot"))
+    stars = materialise(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    links = materialise(confirm(stars, classes, docs, threshold))
     reached = components(links)
-    # buckets of two are settled; in larger ones only what lies in different components is left
-    open_ = met.where("members > 2 and id <> pivot").select("band", "id")
-    for last in (False, True):
-        placed = open_.join(reached, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("pivot"))
-        biggest = parts.groupBy("band").agg(F.max(F.struct("size", "component", "pivot")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        split = materialise(placed.join(biggest.select("band", "top.component", "top.pivot").withColumnRenamed("component", "top"), "band"))
-        if split.isEmpty():
+    # what a bucket's pivot left: the same again with a pivot of the rest, so that several groups in one bucket
+    # each become one component; buckets of two are settled
+    rest = met.where("members > 2")
+    for _ in range(MORE_STARS):
+        rest = materialise(_placed(_placed(rest, reached, "pivot", "of_pivot"), reached, "id", "of_id").where("of_id <> of_pivot").select("band", "id", "n", "degree"))
+        rest = rest.join(rest.groupBy("band").agg(_pivot()), "band").where("id <> pivot")
+        new = materialise(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+        more = materialise(confirm(new, classes, docs, threshold)) if not new.isEmpty() else new
+        if more.isEmpty():
             break
-        minor = split.where("component <> top")
-        if last:  # every pair across components
-            one = minor.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-            two = split.select("band", F.col("id").alias("y"), F.col("component").alias("cy"))
-            found = one.join(two, "band").where("cx <> cy").select("x", "y")
-        else:  # one member of the largest component against the members of the others
-            found = minor.select(F.col("pivot").alias("x"), F.col("id").alias("y"))
-        new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = materialise(new.join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(materialise(confirm(new, classes, docs, threshold)))
-        tested = tested.union(new)
+        links = links.union(more)
         reached = components(links)
+    last = materialise(confirm(_by_edits(stars, reached, docs, threshold), classes, docs, threshold))
+    if not last.isEmpty():
+        reached = components(links.union(last))
     of_class = classes.select("n", "f1", "f2", F.col("id").alias("class")).join(reached.withColumnRenamed("id", "class"), "class", "left")
     of_class = of_class.select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
     out = sketched.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
