@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text, urls
 from corpusloom.operators import extract
 from corpusloom.plans.fixtures import CAPTURES, HOST_SQL, PATH_SQL, captures, table
+from corpusloom.session import number_rows
 from corpusloom.sources import captures as scans
 
 QUERIES, ORACLES = {}, {}
@@ -183,6 +184,28 @@ def x8(spark, d):
     return extract.split_dumps(dumps, 3000).select("source", "part", "title")
 
 
+# all documents: a dump is at most PER_DUMP documents of a source, in order, so that no row grows with its source
+PER_DUMP = 250
+WHOLE_DUMPS = f"""numbered AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, text) - 1) // {PER_DUMP} AS dump FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+  dumps AS (SELECT source, dump, 'A <b>preamble</b>' || chr(10) || string_agg('## doc ' || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || text, chr(10) ORDER BY doc_id NULLS FIRST, text) AS text, count(*) AS n FROM numbered GROUP BY ALL)"""
+
+
+@query("x8_dump_split_whole", """+parts AS (SELECT source, dump, unnest(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END) AS p, generate_subscripts(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END, 1) - 1 AS part FROM dumps)
+  SELECT source, CAST(dump AS BIGINT) AS dump, CAST(part AS INTEGER) AS part, CASE WHEN part = 0 THEN 'A preamble' ELSE left(split_part(p, chr(10), 1), 90) END AS title FROM parts""", WHOLE_DUMPS)
+def x8_whole(spark, d):
+    return whole_dumps(table(spark, d, "documents"))
+
+
+def whole_dumps(documents, per_dump=PER_DUMP):
+    docs = documents.where("text is not null and source is not null").select("source", "doc_id", "text")
+    rows = number_rows(docs, ["source"], [F.col("doc_id"), F.col("text")]).withColumn("dump", F.floor(F.col("number") / per_dump))
+    block = F.concat(F.lit("## doc "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda b: b["block"])
+    dumps = rows.groupBy("source", "dump").agg(F.concat(F.lit("A <b>preamble</b>\n"), F.array_join(ordered, "\n")).alias("text"))
+    parts = extract.split_dumps(dumps.select(F.struct("source", "dump").alias("source"), "text"))
+    return parts.select("source.source", "source.dump", "part", "title")
+
+
 @query("k8_x16_provenance", "SELECT id, CASE id % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'llms' ELSE 'html' END AS kind, true AS stripped FROM captures")
 def k8(spark, d):
     kind = F.when(F.col("id") % 3 == 0, "github_repo").when(F.col("id") % 3 == 1, "llms_txt").otherwise("html")

@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -46,3 +50,43 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def number_rows(df: DataFrame, within: list[str], order: list[Column], fn: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """``df`` with ``number``: each row's place, from 0, in ``order`` among the rows that agree in ``within``.
+
+    Rows are range-partitioned by all of these columns and a salt (so that equal rows part too), sorted and numbered
+    within their partition. Only a group that goes on from the partition before has an offset: one at most for
+    each partition, so that table is broadcast. No group is collected; null keys are a group. ``fn`` changes
+    slices on the way, in the same pass, to columns of ``schema``; it keeps rows and keys.
+    """
+    ship_package(df.sparkSession)
+    kept = df.columns
+    ranged = df.withColumn("__salt", F.monotonically_increasing_id()).repartitionByRange(*within, *order, "__salt")
+    rows = ranged.sortWithinPartitions(*within, *order).select(*[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                batch = fn(batch) if fn else batch
+                keys = zip(*[batch.column(w).to_pylist() for w in within], strict=True) if within else [()] * batch.num_rows
+                places = []
+                for key in keys:
+                    n, last = (n + 1 if key == last else 0), key
+                    places.append(n)
+                more = [pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__part", "__place"])
+
+    names = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    stored = materialise(rows.mapInArrow(run, f"{names}, __part int, __place long"))
+    counts = stored.groupBy("__part", *within).agg(F.count("*").alias("__rows"))
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__offset", F.sum("__rows").over(before)).where("__offset is not null").drop("__rows")
+    same = F.col("l.__part") == F.col("r.__part")
+    for w in within:
+        same = same & F.col(f"l.{w}").eqNullSafe(F.col(f"r.{w}"))
+    both = stored.alias("l").join(F.broadcast(offsets).alias("r"), same, "left")
+    out = [c for c in stored.columns if c not in ("__part", "__place")]
+    return both.select(*[F.col(f"l.`{c}`") for c in out], (F.col("l.__place") + F.coalesce("r.__offset", F.lit(0))).alias("number"))
