@@ -2,9 +2,10 @@
 
 The states are the roles; the observations of a line are its speaker marker, if any, and shape features. Viterbi
 runs in three steps, so that one conversation may be larger than a task: each segment (a row of the transcript)
-gives the best score from any role before it to any role at its end; segments are combined in chunks, and the
-chunks of a conversation in one small table, where the best roles at the chunks' borders are traced back; then
-each chunk, with its borders known, traces its own segments, and each segment its lines.
+gives the best score from any role before it to any role at its end; segments are combined in chunks of at most
+``CHUNK`` rows, by their number in the documented order, and the chunks of a conversation in one small table, where
+the best roles at the chunks' borders are traced back; then each chunk, with its borders known, traces its own
+segments, and each segment its lines.
 
 Defined cases: a null or empty text is one blank line, which takes the role that fits around it and gives no
 turn; a null position comes first; rows with equal positions go by text; rows that repeat are parsed as often as
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, materialise, with_names
+from corpusloom.llm.common import number_rows, with_names
 
 ROLES = ("system", "user", "assistant")
 K = len(ROLES)
-#: Positions in a chunk.
+#: Rows in a chunk.
 CHUNK = 256
 #: Speaker markers of the common transcript formats, by role.
 MARKERS = {
@@ -135,12 +136,6 @@ def canonical(turns: list[dict]) -> str:
     return "".join(f"<|{t['role']}|>\n{t['text']}\n<|end|>\n" for t in turns)
 
 
-def _order(table: pa.Table) -> pa.Table:
-    # null positions first
-    keys = [(t is not None, t or 0, x is not None, x or "") for t, x in zip(table["pos"].to_pylist(), table["text"].to_pylist(), strict=True)]
-    return table.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64()))
-
-
 def _flat(m: np.ndarray) -> list[float]:
     return m.ravel().tolist()
 
@@ -149,25 +144,34 @@ def _square(v: list[float]) -> np.ndarray:
     return np.array(v).reshape(K, K)
 
 
-def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per row of the transcript: ``conv, pos``, ``role`` (of its last line), ``turns`` and ``rendered``."""
-    rows = with_names(rows, conv=conv_col, pos=pos_col, text=text_col).withColumn("pos", F.col("pos").cast("long"))
+def deal(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``conv, pos, text``, the segment's transfer ``m``, ``number`` in the conversation and ``chunk``.
+
+    Positions may be null or repeat, so chunks go by number: none has more than ``chunk`` rows.
+    """
     kind = rows.schema["conv"].dataType.simpleString()
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [_flat(transfer(split_lines(t))) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "m"])
 
-    dealt = rows.withColumn("chunk", F.coalesce(F.floor(F.col("pos") / chunk), F.lit(-(1 << 62))).cast("long"))
-    measured = materialise(map_batches(dealt, measure, f"conv {kind}, pos long, text string, chunk long, m array<double>"))
+    numbered = number_rows(rows, ["conv"], [F.col("pos"), F.col("text")], measure, f"conv {kind}, pos long, text string, m array<double>")
+    return numbered.withColumn("chunk", F.floor(F.col("number") / chunk).cast("long"))
+
+
+def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row per row of the transcript: ``conv, pos``, ``role`` (of its last line), ``turns`` and ``rendered``."""
+    rows = with_names(rows, conv=conv_col, pos=pos_col, text=text_col).withColumn("pos", F.col("pos").cast("long"))
+    kind = rows.schema["conv"].dataType.simpleString()
+    measured = deal(rows, chunk)
 
     def combine(table: pa.Table) -> pa.Table:
         total = None
-        for m in map(_square, _order(table)["m"].to_pylist()):
+        for m in map(_square, table.sort_by("number")["m"].to_pylist()):
             total = m if total is None else through(total, m)
         return pa.table({"conv": table["conv"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "m": pa.array([_flat(total)], pa.list_(pa.float64()))})
 
-    chunks = measured.groupBy("conv", "chunk").applyInArrow(combine, f"conv {kind}, chunk long, m array<double>")
+    chunks = measured.select("conv", "chunk", "number", "m").groupBy("conv", "chunk").applyInArrow(combine, f"conv {kind}, chunk long, m array<double>")
 
     def borders(table: pa.Table) -> pa.Table:
         table = table.sort_by([("chunk", "ascending")])
@@ -181,7 +185,7 @@ def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", tex
     both = measured.alias("l").join(ends.alias("r"), same).select("l.*", "r.before", "r.after")
 
     def label(table: pa.Table) -> pa.Table:
-        table = _order(table)
+        table = table.sort_by("number")
         ms = [_square(m) for m in table["m"].to_pylist()]
         before, after = table["before"][0].as_py(), table["after"][0].as_py()
         start = START if before < 0 else np.where(np.arange(K) == before, 0.0, -np.inf)

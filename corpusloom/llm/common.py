@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialise, ship_package
+from corpusloom.session import materialise, number_rows, ship_package
 
-__all__ = ["map_batches", "materialise", "mix64", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
+__all__ = ["map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
 
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a task.
 CHUNK_BYTES = 1 << 20
