@@ -6,10 +6,15 @@ strategy, complete, expected, harvested_at). A version's label, not its harvest,
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, versions
+from corpusloom.session import number_rows, ship_package
 
 KEYS = ["technology", "version"]
 PAGE_SCHEMA = "technology string, version string, ordinal long, title string, url string, content string"
@@ -97,11 +102,82 @@ def contents(pages: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda s: s["line"]), "\n").alias("contents"))
 
 
+def _block() -> Column:
+    return F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\nSource: <"), F.col("url"), F.lit(">\n\n"), F.col("content"), F.lit("\n"))
+
+
+def _head() -> Column:
+    return F.concat(F.lit("# "), F.col("technology"), F.lit(" "), F.col("version"), F.lit("\n"))
+
+
+def combined_blocks(pages: DataFrame) -> DataFrame:
+    """The combined texts as rows (technology, version, ordinal, block), one for each page; no version is collected."""
+    return pages.select(*KEYS, "ordinal", _block().alias("block"))
+
+
+def save_blocks(blocks: DataFrame, path: str, files: int | None = None) -> None:
+    """Part files of ordered blocks (``files`` or as adaptive execution sizes them); a large version has several, in the order of their names."""
+    by = [*KEYS, "ordinal", "__salt"]
+    salted = blocks.withColumn("__salt", F.monotonically_increasing_id())
+    salted = salted.repartitionByRange(files, *by) if files else salted.repartitionByRange(*by)
+    salted.sortWithinPartitions(*KEYS, "ordinal", "block").drop("__salt").write.mode("overwrite").parquet(path)
+
+
 def combined(pages: DataFrame) -> DataFrame:
-    """One Markdown text of each version: title, page blocks in order."""
-    block = F.concat(F.lit("\n---\n\n## "), F.col("title"), F.lit("\n\nSource: <"), F.col("url"), F.lit(">\n\n"), F.col("content"), F.lit("\n"))
-    rows = pages.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ordinal", block.alias("block")))).alias("blocks"))
-    return rows.select(*KEYS, F.concat(F.lit("# "), F.col("technology"), F.lit(" "), F.col("version"), F.lit("\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("text"))
+    """One Markdown text of each version: title, page blocks in order.
+
+    A version is one row here, so it must be far below 2 GB (Spark's row and array limits) and fit a task several
+    times; ``combined_blocks``, ``text_digests`` and ``split_blocks`` have no such bound.
+    """
+    rows = combined_blocks(pages).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ordinal", "block"))).alias("blocks"))
+    return rows.select(*KEYS, F.concat(_head(), F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("text"))
+
+
+def text_digests(rows: DataFrame, piece: str, between: str = "", head: Column | None = None) -> DataFrame:
+    """(technology, version, text_sha256): SHA-256 of each version's pieces joined in order, without joining them.
+
+    A version's rows are sorted in one task, which may spill, and run through the digest one by one. Null pieces
+    are left out.
+    """
+    ship_package(rows.sparkSession)
+    parts = rows.select(*KEYS, "ordinal", F.col(piece).alias("piece")).repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal", "piece")
+    parts = parts.select(*KEYS, "piece", (head if head is not None else F.lit("")).alias("head"))
+    joint = between.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, first = None, None, True
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"technology": [last[0]], "version": [last[1]], "text_sha256": [digest.hexdigest()]}, schema=schema)
+
+        schema = pa.schema([("technology", pa.string()), ("version", pa.string()), ("text_sha256", pa.string())])
+        for batch in batches:
+            for technology, version, text_, start in zip(*[batch.column(i) for i in range(4)], strict=True):
+                key = (technology.as_py(), version.as_py())
+                if key != last:
+                    if last is not None:
+                        yield done()
+                    last, digest, first = key, hashlib.sha256(start.as_py().encode()), True
+                if text_.is_valid:
+                    digest.update((b"" if first else joint) + text_.as_py().encode())
+                    first = False
+        if last is not None:
+            yield done()
+
+    return parts.mapInArrow(run, "technology string, version string, text_sha256 string")
+
+
+def combined_digests(pages: DataFrame) -> DataFrame:
+    """(technology, version, text_sha256) of the combined texts."""
+    return text_digests(combined_blocks(pages), "block", head=_head())
+
+
+def split_blocks(blocks: DataFrame) -> DataFrame:
+    """The pages of combined blocks, a row each, with ordinals 1 to n of each version."""
+    form = r"(?s)\A\n---\n\n## (.*?)\n\nSource: <(.*?)>\n\n(.*)\n\z"
+    rows = number_rows(blocks.where("block is not null"), KEYS, [F.col("ordinal"), F.col("block")])
+    found = [F.regexp_extract("block", form, i).alias(name) for i, name in enumerate(("title", "url", "content"), 1)]
+    return rows.select(*KEYS, (F.col("number") + 1).alias("ordinal"), *found)
 
 
 def split_combined(texts: DataFrame) -> DataFrame:

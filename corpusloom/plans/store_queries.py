@@ -106,8 +106,7 @@ def w5(spark, d):
 def r1(spark, d):
     newest = s.entry(doc_versions(spark, d)).select("technology", "version")
     pages = store(spark, d).join(newest, ["technology", "version"], "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "content")))
-    return pages.groupBy("technology", "version").agg(F.sha2(F.array_join(F.transform(ordered, lambda p: p["content"]), "\n"), 256).alias("text_sha256"))
+    return s.text_digests(pages, "content", "\n")
 
 
 @query("r2_read_section", """+ m AS (SELECT *, contains(lower(title), 'the of') AS t, contains(lower(content), 'the of') AS c FROM store),
@@ -156,15 +155,15 @@ COMBINED = "'# ' || technology || ' ' || version || chr(10) || string_agg(chr(10
 
 @query("k4_combined_export", f"SELECT technology, version, sha256({COMBINED}) AS text_sha256 FROM store GROUP BY technology, version", STORE)
 def k4(spark, d):
-    return s.combined(store(spark, d)).select("technology", "version", F.sha2("text", 256).alias("text_sha256"))
+    return s.combined_digests(store(spark, d))
 
 
 @query("s9_split_combined", "SELECT technology, version, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal) AS ordinal, title, url, sha256(content) AS content_sha256 FROM store", STORE)
 def s9(spark, d):
-    return s.split_combined(s.combined(store(spark, d))).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+    return s.split_blocks(s.combined_blocks(store(spark, d))).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
-QUERIES["k7_backfill"] = lambda spark, d: s.replace_versions(store(spark, d).where("version = '1.9'"), s.split_combined(s.combined(store(spark, d).where("version <> '1.9'")))).groupBy("technology", "version").agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("characters"))
+QUERIES["k7_backfill"] = lambda spark, d: s.replace_versions(store(spark, d).where("version = '1.9'"), s.split_blocks(s.combined_blocks(store(spark, d).where("version <> '1.9'")))).groupBy("technology", "version").agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("characters"))
 ORACLES["k7_backfill"] = f"WITH {STORE} SELECT technology, version, count(*) AS pages, CAST(sum(length(content)) AS BIGINT) AS characters FROM store GROUP BY ALL"
 
 

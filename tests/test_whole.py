@@ -1,12 +1,15 @@
 """Whole jobs: every row takes part, and no group grows with a hot key."""
 
+import tempfile
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat_format
-from corpusloom.plans import capture_queries
+from corpusloom.operators import store
+from corpusloom.plans import capture_queries, store_queries
 from corpusloom.session import number_rows
+from tests.conftest import DATA
 from tests.llm.test_other_tables import brute_roles
 
 
@@ -44,3 +47,25 @@ def test_chat_chunks_stay_small_without_positions(spark):
         # equal rows of one position are told apart by the role alone
         expected = Counter(zip((t for t, _ in order), brute_roles([x for _, x in order]), strict=True))
         assert Counter((r["pos"], r["role"]) for r in found if r["conv"] == c) == expected
+
+
+def test_combined_blocks(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/blocks"
+    rows = [("t", "1", 9, "a", "u", "ends in a line\n"), ("t", "1", 2, "", "v", "x\n\n---\n\n## inner\n\nSource: <w>\n\ny"), ("t", "2", 1, "c", "u", "")]
+    rows += [("hot", "1", i, f"p{i}", "u", "body " * 20) for i in range(400)]
+    pages = spark.createDataFrame(rows, store.PAGE_SCHEMA).repartition(3)
+    whole = store.combined(pages).select("technology", "version", F.sha2("text", 256)).collect()
+    assert sorted(map(tuple, store.combined_digests(pages).collect())) == sorted(map(tuple, whole))
+    blocks = store.combined_blocks(pages)
+    store.save_blocks(blocks, path, 4)
+    # a large version lies in more than one file
+    assert spark.read.parquet(path).where("technology = 'hot'").select(F.input_file_name()).distinct().count() > 1
+    expected = [(*r[:2], {9: 2, 2: 1}[r[2]] if r[:2] == ("t", "1") else r[2] + (r[0] == "hot"), *r[3:]) for r in rows]
+    assert sorted(map(tuple, store.split_blocks(spark.read.parquet(path)).select(*pages.columns).collect())) == sorted(expected)
+
+
+def test_no_version_is_collected(spark):
+    # the plans of export, split, backfill and read have no collected list
+    for name in ("k4_combined_export", "s9_split_combined", "k7_backfill", "r1_read_version"):
+        plan = store_queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan, name
