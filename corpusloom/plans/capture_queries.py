@@ -225,6 +225,13 @@ def j5(spark, d):
     return asked.join(have, "key").select("asked", "id", "status")
 
 
+@query("j5_capture_lookup_whole", "+asked AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url FROM pages) SELECT a.page_id AS asked, c.id, c.status FROM asked a JOIN captures c ON regexp_replace(regexp_replace(a.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2') = regexp_replace(regexp_replace(c.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2')")
+def j5_whole(spark, d):
+    asked = table(spark, d, "pages").select(F.col("page_id").alias("asked"), urls.normalise(F.concat("url", F.when(F.col("page_id") % 2 == 0, "#x").otherwise(""))).alias("key"))
+    have = captures(spark, d).select(urls.normalise(F.col("url")).alias("key"), "id", "status")
+    return asked.join(have, "key").select("asked", "id", "status")
+
+
 DOCS = "docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
@@ -240,6 +247,17 @@ def x18(spark, d):
     return extract.bundle(rows, "key").select("key", F.sha2("text", 256).alias("text_sha256"))
 
 
+# all documents; six ids make groups of 1, 2 and 3
+@query("x18_bundle_whole", "+k AS (SELECT doc_id, text, doc_id // 6 * 3 + CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 < 3 THEN 1 ELSE 2 END AS key FROM docs), g AS (SELECT key, count(*) AS n, string_agg(rn || '. t' || doc_id, chr(10) ORDER BY doc_id) AS listing, string_agg('# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS bodies, min(text) AS alone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM k) GROUP BY 1) SELECT key, n AS documents, sha256(CASE WHEN n = 1 THEN alone ELSE listing || chr(10) || chr(10) || bodies END) AS text_sha256 FROM g", DOCS)
+def x18_whole(spark, d):
+    six = F.col("doc_id") % 6
+    key = F.floor(F.col("doc_id") / 6) * 3 + F.when(six == 0, 0).when(six < 3, 1).otherwise(2)
+    rows = table(spark, d, "documents").where("text is not null")
+    rows = rows.select(key.alias("key"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("markdown"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("documents"))
+    return extract.bundle(rows, "key").join(sizes, "key").select("key", "documents", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("x19_t2_titles_and_cells", r"SELECT doc_id, sha256(CASE doc_id % 3 WHEN 2 THEN '# Other' || chr(10) || text ELSE text END) AS body_sha256, sha256(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '|', '\|')) AS cell_sha256 FROM docs", DOCS)
 def x19(spark, d):
     title = F.concat(F.lit("Page "), F.col("doc_id").cast("string"), F.lit(" | Site"))

@@ -181,6 +181,19 @@ def j1(spark, d):
     return doc_versions(spark, d).join(some, ["technology", "version"], "left").groupBy("technology", "version").agg(F.count("ordinal").alias("pages"))
 
 
+# all pages; each technology also has a version that no page has
+UNSTORED = ", asked AS (SELECT technology, version FROM doc_versions UNION ALL SELECT DISTINCT technology, 'unreleased' FROM doc_versions)"
+
+
+@query("j1_versions_with_pages_whole", f"{UNSTORED} SELECT v.technology, v.version, count(s.ordinal) AS pages FROM asked v LEFT JOIN store s ON s.technology = v.technology AND s.version = v.version GROUP BY ALL")
+def j1_whole(spark, d):
+    known = doc_versions(spark, d).select("technology", "version")
+    asked = known.union(known.select("technology", F.lit("unreleased")).distinct())
+    # counted before the join, so that no group grows with its version
+    sizes = store(spark, d).groupBy("technology", "version").agg(F.count("ordinal").alias("pages"))
+    return asked.join(sizes, ["technology", "version"], "left").select("technology", "version", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
 @query("j7_requested_versions", "SELECT s.technology, s.version, s.ordinal, s.title FROM store s WHERE EXISTS (SELECT 1 FROM targets t WHERE t.technology = s.technology AND (t.version IS NULL OR t.version = s.version))", STORE + TARGETS)
 def j7(spark, d):
     asked = F.col("t.version").isNull() | (F.col("s.version") == F.col("t.version"))
