@@ -71,13 +71,28 @@ TREE = """tree AS (SELECT p_brand AS repo, p_partkey AS pos, CASE p_partkey % 4
   CASE WHEN p_partkey % 11 = 0 THEN 'README.md' ELSE replace(p_name, ' ', '-') || CASE p_partkey % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.mdx' ELSE '.py' END END AS path FROM part)"""
 
 
-@query("s7_repository_tree", r"+w AS (SELECT *, regexp_full_match(lower(path), 'readme[.](md|mdx|rst|txt)') AS readme FROM tree), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY readme DESC, pos) AS rank FROM w WHERE readme OR (regexp_matches(lower(path), '[.]mdx?$') AND (lower(path) LIKE 'docs/%' OR lower(path) LIKE '%/docs/%'))) SELECT repo, pos, path, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5", TREE)
-def s7(spark, d):
+def tree(spark, d):
     k = F.col("p_partkey")
     folder = F.when(k % 4 == 0, "docs/").when(k % 4 == 1, "pkg/docs/").when(k % 4 == 2, "src/").otherwise("")
     file = F.when(k % 11 == 0, "README.md").otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(k % 3 == 0, ".md").when(k % 3 == 1, ".mdx").otherwise(".py")))
-    tree = table(spark, d, "part").select(F.col("p_brand").alias("repo"), k.alias("pos"), F.concat(folder, file).alias("path"))
-    return scans.repository_files(tree, 5)
+    return table(spark, d, "part").select(F.col("p_brand").alias("repo"), k.alias("pos"), F.concat(folder, file).alias("path"))
+
+
+@query("s7_repository_tree", r"+w AS (SELECT *, regexp_full_match(lower(path), 'readme[.](md|mdx|rst|txt)') AS readme FROM tree), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY readme DESC, pos) AS rank FROM w WHERE readme OR (regexp_matches(lower(path), '[.]mdx?$') AND (lower(path) LIKE 'docs/%' OR lower(path) LIKE '%/docs/%'))) SELECT repo, pos, path, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5", TREE)
+def s7(spark, d):
+    return scans.repository_files(tree(spark, d), 5)
+
+
+# the reference's cap of a fetch (FETCH_PAGE_CAP)
+@query("s7_repository_tree_fetch", r"+w AS (SELECT *, regexp_full_match(lower(path), 'readme[.](md|mdx|rst|txt)') AS readme FROM tree), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY readme DESC, pos) AS rank FROM w WHERE readme OR (regexp_matches(lower(path), '[.]mdx?$') AND (lower(path) LIKE 'docs/%' OR lower(path) LIKE '%/docs/%'))) SELECT repo, pos, path, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200", TREE)
+def s7_fetch(spark, d):
+    return scans.repository_files(tree(spark, d), 200)
+
+
+# a harvest: no cap
+@query("s7_repository_tree_harvest", r"+w AS (SELECT *, regexp_full_match(lower(path), 'readme[.](md|mdx|rst|txt)') AS readme FROM tree), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY readme DESC, pos) AS rank FROM w WHERE readme OR (regexp_matches(lower(path), '[.]mdx?$') AND (lower(path) LIKE 'docs/%' OR lower(path) LIKE '%/docs/%'))) SELECT repo, pos, path, CAST(rank AS INTEGER) AS rank FROM r", TREE)
+def s7_harvest(spark, d):
+    return scans.repository_files(tree(spark, d), 0)
 
 
 @query("s8_raw_text", rf"SELECT url, coalesce(nullif(string_split(rtrim({PATH_SQL}, '/'), '/')[-1], ''), url) AS title, length(trim(body)) AS size FROM captures")

@@ -60,6 +60,13 @@ def c2(spark, d):
     return crawl.statistics(reached, links(spark, d), crawl.capped(reached, ["url"], 3))
 
 
+# a harvest: no cap
+@query("c2_crawl_statistics_harvest", CAPPED.replace(" WHERE rank <= 3", "") + ", known AS (SELECT DISTINCT f.site, l.dst AS url FROM fetched f JOIN links l ON l.src = f.url UNION SELECT site, url FROM fetched), n AS (SELECT k.site, count(*) AS discovered FROM known k JOIN best b ON b.site = k.site AND b.url = k.url GROUP BY 1) SELECT n.site, (SELECT count(*) FROM fetched f WHERE f.site = n.site) AS fetched, discovered - (SELECT count(*) FROM fetched f WHERE f.site = n.site) AS remaining, discovered, discovered > (SELECT count(*) FROM fetched f WHERE f.site = n.site) AS truncated FROM n", True)
+def c2_harvest(spark, d):
+    reached = crawl.reachable(starts(spark, d), links(spark, d))
+    return crawl.statistics(reached, links(spark, d), crawl.capped(reached, ["url"], 0))
+
+
 def scopes(spark, d):
     return starts(spark, d).select("site", "host", "prefix")
 

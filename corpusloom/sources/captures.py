@@ -62,12 +62,12 @@ def index_links(indexes: DataFrame) -> DataFrame:
 
 
 def repository_files(tree: DataFrame, cap: int) -> DataFrame:
-    """README first, then Markdown files under a docs folder in tree order, ``cap`` of them at most per repository."""
+    """README first, then Markdown files under a docs folder in tree order, ``cap`` of them at most per repository (0: no cap)."""
     lower = F.lower("path")
     readme = F.lower(F.col("path")).rlike(r"^readme(\.(md|mdx|rst|txt))?$")
     wanted = tree.where(readme | (lower.rlike(r"\.mdx?$") & (lower.startswith("docs/") | lower.contains("/docs/"))))
     place = Window.partitionBy("repo").orderBy(readme.desc(), "pos")
-    return wanted.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= cap)
+    return wanted.withColumn("rank", F.row_number().over(place)).where((F.col("rank") <= cap) | F.lit(cap == 0))
 
 
 def raw_texts(captures: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chat_format
 from corpusloom.operators import store
-from corpusloom.plans import capture_queries, store_queries
+from corpusloom.plans import capture_queries, crawl_queries, store_queries
 from corpusloom.session import number_rows
+from corpusloom.sources import captures as scans
 from tests.conftest import DATA
 from tests.llm.test_other_tables import brute_roles
 
@@ -80,3 +81,11 @@ def test_whole_queries_leave_no_row_out(spark):
     versions = store_queries.QUERIES["j1_versions_with_pages_whole"](spark, DATA).collect()
     assert sum(r["pages"] for r in versions) == documents
     assert {r["version"] for r in versions if r["pages"] == 0} == {"unreleased"}
+
+
+def test_caps_and_no_cap(spark):
+    tree = spark.createDataFrame([("r", i, f"docs/p{i}.md") for i in range(300)] + [("s", 1, "README.md")], "repo string, pos long, path string")
+    for cap, expected in ((5, 6), (200, 201), (0, 301)):
+        assert scans.repository_files(tree, cap).count() == expected
+    found = crawl_queries.QUERIES["c2_crawl_statistics_harvest"](spark, DATA).collect()
+    assert found and all(r["remaining"] == 0 and not r["truncated"] and r["fetched"] == r["discovered"] for r in found)
