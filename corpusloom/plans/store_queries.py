@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import versions
 from corpusloom.operators import store as s
 from corpusloom.plans.fixtures import DOC_VERSIONS, KEY_SQL, STORE, doc_versions, store
+from corpusloom.session import number_rows
 
 QUERIES, ORACLES = {}, {}
 
@@ -233,5 +234,6 @@ def v1(spark, d):
 @query("v2_v3_ordered_labels", f"SELECT version, CAST(dense_rank() OVER (ORDER BY {KEY_SQL} DESC) AS INTEGER) AS place, CASE WHEN regexp_full_match(version, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'harvest date' WHEN regexp_matches(version, '^[vV]?\\d') THEN 'release number' ELSE 'unrecognised label' END AS why FROM (SELECT DISTINCT version FROM labels_)", LABEL_ROWS)
 def v2(spark, d):
     distinct = labels(spark, d).select("version").distinct()
-    keys = distinct.select(versions.sort_key(F.col("version")).alias("k")).distinct().selectExpr("k", "row_number() over (order by k desc) as place")
+    keys = number_rows(distinct.select(versions.sort_key(F.col("version")).alias("k")).distinct(), [], [F.desc("k")])
+    keys = keys.select("k", (F.col("number") + 1).cast("int").alias("place"))
     return distinct.withColumn("k", versions.sort_key(F.col("version"))).join(keys, "k").select("version", "place", versions.why(F.col("version")).alias("why"))

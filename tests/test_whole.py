@@ -89,3 +89,9 @@ def test_caps_and_no_cap(spark):
         assert scans.repository_files(tree, cap).count() == expected
     found = crawl_queries.QUERIES["c2_crawl_statistics_harvest"](spark, DATA).collect()
     assert found and all(r["remaining"] == 0 and not r["truncated"] and r["fetched"] == r["discovered"] for r in found)
+
+
+def test_labels_are_ordered_in_partitions(spark):
+    plan = store_queries.QUERIES["v2_v3_ordered_labels"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # the only window is over the counts of partitions
+    assert "row_number" not in plan
