@@ -155,7 +155,7 @@ def deal(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         found = [_flat(transfer(split_lines(t))) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "m"])
 
-    numbered = number_rows(rows, ["conv"], [F.col("pos"), F.col("text")], measure, f"conv {kind}, pos long, text string, m array<double>")
+    numbered = number_rows(rows, ["conv"], [F.col("pos")], "text", measure, f"conv {kind}, pos long, text string, m array<double>")
     return numbered.withColumn("chunk", F.floor(F.col("number") / chunk).cast("long"))
 
 

@@ -175,7 +175,7 @@ def combined_digests(pages: DataFrame) -> DataFrame:
 def split_blocks(blocks: DataFrame) -> DataFrame:
     """The pages of combined blocks, a row each, with ordinals 1 to n of each version."""
     form = r"(?s)\A\n---\n\n## (.*?)\n\nSource: <(.*?)>\n\n(.*)\n\z"
-    rows = number_rows(blocks.where("block is not null"), KEYS, [F.col("ordinal"), F.col("block")])
+    rows = number_rows(blocks.where("block is not null"), KEYS, [F.col("ordinal")], "block")
     found = [F.regexp_extract("block", form, i).alias(name) for i, name in enumerate(("title", "url", "content"), 1)]
     return rows.select(*KEYS, (F.col("number") + 1).alias("ordinal"), *found)
 

@@ -213,7 +213,7 @@ def x8_whole(spark, d):
 
 def whole_dumps(documents, per_dump=PER_DUMP):
     docs = documents.where("text is not null and source is not null").select("source", "doc_id", "text")
-    rows = number_rows(docs, ["source"], [F.col("doc_id"), F.col("text")]).withColumn("dump", F.floor(F.col("number") / per_dump))
+    rows = number_rows(docs, ["source"], [F.col("doc_id")], "text").withColumn("dump", F.floor(F.col("number") / per_dump))
     block = F.concat(F.lit("## doc "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda b: b["block"])
     dumps = rows.groupBy("source", "dump").agg(F.concat(F.lit("A <b>preamble</b>\n"), F.array_join(ordered, "\n")).alias("text"))

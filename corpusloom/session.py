@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Characters of a long text that take part in range bounds.
+HEAD = 100
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,21 +54,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, within: list[str], order: list[Column], fn: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
-    """``df`` with ``number``: each row's place, from 0, in ``order`` among the rows that agree in ``within``.
+def number_rows(df: DataFrame, within: list[str], order: list[Column], last: str | None = None, fn: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """``df`` with ``number``: each row's place, from 0, in ``order`` and then the string ``last`` among the rows that agree in ``within``.
 
     Rows are range-partitioned by all of these columns and a salt (so that equal rows part too), sorted and numbered
-    within their partition. Only a group that goes on from the partition before has an offset: one at most for
+    within their partition. Of ``last`` only the first HEAD characters take part in the ranges, whose bounds are
+    sampled to the driver; rows that agree in all keys and in so long a head stay in one partition, as a stream. Only a group that goes on from the partition before has an offset: one at most for
     each partition, so that table is broadcast. No group is collected; null keys are a group. ``fn`` changes
     slices on the way, in the same pass, to columns of ``schema``; it keeps rows and keys.
     """
     ship_package(df.sparkSession)
     kept = df.columns
-    ranged = df.withColumn("__salt", F.monotonically_increasing_id()).repartitionByRange(*within, *order, "__salt")
-    rows = ranged.sortWithinPartitions(*within, *order).select(*[F.col(f"`{c}`") for c in kept])
+    text = F.col(f"`{last}`") if last else F.lit("")
+    salt = F.when(F.coalesce(F.length(text), F.lit(0)) <= HEAD, F.monotonically_increasing_id()).otherwise(-1)
+    ranged = df.withColumn("__head", F.left(text, F.lit(HEAD))).withColumn("__salt", salt).repartitionByRange(*within, *order, "__head", "__salt")
+    rows = ranged.sortWithinPartitions(*within, *order, *([text] if last else [])).select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, n = TaskContext.get().partitionId(), None, 0
+        part, was, n = TaskContext.get().partitionId(), None, 0
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
@@ -74,7 +79,7 @@ def number_rows(df: DataFrame, within: list[str], order: list[Column], fn: Calla
                 keys = zip(*[batch.column(w).to_pylist() for w in within], strict=True) if within else [()] * batch.num_rows
                 places = []
                 for key in keys:
-                    n, last = (n + 1 if key == last else 0), key
+                    n, was = (n + 1 if key == was else 0), key
                     places.append(n)
                 more = [pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__part", "__place"])

@@ -23,6 +23,11 @@ def test_number_rows_across_partitions(spark):
         assert [n for n, _ in mine] == list(range(sum(k == key for k, _ in rows)))
         xs = [x for _, x in mine]
         assert xs == sorted(xs, key=lambda x: (x is not None, x or 0))
+    # long texts with one head stay in order across partitions
+    texts = ["x" * n for n in range(50, 250)] + [None, ""]
+    long = spark.createDataFrame([(1, t) for t in texts], "k long, t string").repartition(4)
+    ordered = [r["t"] for r in sorted(number_rows(long, ["k"], [], "t").collect(), key=lambda r: r["number"])]
+    assert ordered == [None, "", *texts[:-2]]
     places = sorted(r["number"] for r in number_rows(given, [], [F.desc("x")]).collect())
     assert places == list(range(len(rows)))
 
