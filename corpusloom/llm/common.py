@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialise, number_rows, ship_package
 
-__all__ = ["map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
+__all__ = ["free_name", "map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
 
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a task.
 CHUNK_BYTES = 1 << 20
@@ -23,6 +23,14 @@ def with_names(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has (Spark does not tell capitals from small letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows, which bounds what a task holds at once."""
 

@@ -7,15 +7,16 @@ with equal sets form one class. Bands of registers propose pairs of classes, the
 of the Jaccard similarity drops hopeless ones, and every other pair is confirmed on the full shingle sets.
 
 Within a band bucket members are compared with a pivot only (who meets most others), so that a bucket of thousands of
-copies gives thousands of pairs and not millions. What the pivot leaves in other components can link only through
-shingles that the pivot has not; those few are joined, so no link between components is lost (``_by_edits``).
-Connected components are found by alternating large-star and small-star steps.
+copies gives thousands of pairs and not millions. Members outside the pivot's component can link only through what
+sets them apart from the pivot; they are joined on those few shingles, and no link between components is lost
+(``near_links.by_differences`` has the argument). Connected components are found by alternating stars.
 
 At a similarity of 0.75 a pair shares no band with probability (1 - 0.75**4)**40, below 3e-7.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than a shingle has are
-one shingle; equal sets, and rows that repeat, are one class; a null id is a component of its own (null,
-kept); an empty table gives an empty result; columns other than the named ones are ignored.
+one shingle; equal sets, and rows that repeat, are one class; rows that share an id and not a text are linked by
+their texts alone; a null id is a component of its own (null, kept); an empty table gives an empty result; columns
+other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +25,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, materialise, mix64, row_chunks, sums_by_row, text_bytes, with_names
+from corpusloom.llm.common import free_name, map_batches, materialise, mix64, row_chunks, sums_by_row, text_bytes, with_names
+from corpusloom.llm.graph import components
+from corpusloom.llm.near_links import by_differences, confirm, perhaps_in, placed
+from corpusloom.session import Scratch
 
 SHINGLE_WORDS, THRESHOLD = 5, 75
 BANDS, BAND_ROWS = 40, 4
 BUCKETS = BANDS * BAND_ROWS
 ZERO_BITS, MANTISSA_BITS = 6, 10
-#: How far below the threshold an estimate may lie before its pair is dropped: over six standard deviations at
-#: 160 registers. Sets smaller than ``SURE_SET`` go to the confirmation whatever the estimate.
-SLACK, SURE_SET = 0.22, 400
-#: Pairs of one class that a task joins with its set; above it they are dealt over more tasks.
-PAIRS_A_TASK = 2000
-#: Further rounds of pivots for buckets that hold several groups.
+#: How many standard deviations below the threshold an estimate may lie before its pair is dropped.
+DEVIATIONS = 6.5
+#: Further rounds of pivots for buckets that hold several groups; what they leave goes to ``by_differences``.
 MORE_STARS = 2
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -162,188 +163,116 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return (match - chance) / (1 - chance)
 
 
+def slack(n: np.ndarray) -> np.ndarray:
+    """How far below the threshold the estimate of a pair may lie whose smaller set has ``n`` shingles.
+
+    A small set fills few buckets, and borrowed registers repeat those: they count for less than their number.
+    """
+    filled = BUCKETS * (1 - (1 - 1 / BUCKETS) ** np.maximum(n, 1))
+    return DEVIATIONS * np.sqrt(0.25 * 0.75 / (filled / (2 - filled / BUCKETS)))
+
+
+def _fingerprints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of independent mixes of each row's set, whatever the order."""
+    ends = np.cumsum(counts)
+    return tuple(sums_by_row(mix64(values ^ odd), ends - counts, ends).view(np.int64) for odd in ODD[:2])
+
+
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     flat, offsets = text_bytes(batch.column("text"))
     n, one, two, regs = [], [], [], []
     for a, b in row_chunks(offsets):
         values, counts = shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        ends = np.cumsum(counts)
+        f1, f2 = _fingerprints(values, counts)
         n.append(counts)
-        # the set's fingerprint: two sums of independent mixes, whatever the order
-        one.append(sums_by_row(mix64(values ^ ODD[0]), ends - counts, ends))
-        two.append(sums_by_row(mix64(values ^ ODD[1]), ends - counts, ends))
+        one.append(f1)
+        two.append(f2)
         regs.append(registers(values, counts))
-    whole = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+    whole = lambda parts: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64))
     regs = [r.tobytes() for part in regs for r in part]
-    arrays = [batch.column("id"), pa.array(whole(n, np.int64)), pa.array(whole(one, np.uint64).view(np.int64)), pa.array(whole(two, np.uint64).view(np.int64)), pa.array(regs, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "f1", "f2", "regs"])
+    return pa.RecordBatch.from_arrays([batch.column("id"), whole(n), whole(one), whole(two), pa.array(regs, pa.binary())], names=["id", "n", "f1", "f2", "regs"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     flat, offsets = text_bytes(batch.column("text"))
-    parts = [shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_chunks(offsets)]
-    values = np.concatenate([*(v for v, _ in parts), np.zeros(0, np.uint64)]).view(np.int64)
-    stops = np.cumsum(np.concatenate([[0], *(c for _, c in parts)])).astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(values))], names=["id", "shingles"])
+    values, counts, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in row_chunks(offsets):
+        v, c = shingle_sets(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        values.append(v)
+        counts.append(c)
+        first.append(_fingerprints(v, c)[0])
+    shingles = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(first)), shingles], names=["id", "f1", "shingles"])
 
 
 def _likely(batch: pa.RecordBatch, threshold: int) -> pa.RecordBatch:
     regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b")]
     n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-    # sets whose sizes differ too much cannot reach the threshold; small ones are not judged by their estimate
+    # sets whose sizes differ too much cannot reach the threshold
     possible = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
-    good = possible & ((np.minimum(n, m) < SURE_SET) | (estimates(*regs, n, m) >= threshold / 100 - SLACK))
+    good = possible & (estimates(*regs, n, m) >= threshold / 100 - slack(np.minimum(n, m)))
     return batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those with 100 * intersection >= threshold * union, decided on the full sets.
-
-    ``a`` may be hot (a pivot): its rows are dealt over salted copies of its sketch and of its set.
-    """
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("copies"))
-    spread = hot.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("salt"), "copies")
-    dealt = pairs.join(hot, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
-    kind = pairs.schema["a"].dataType.simpleString()
-    side = sketches.select("id", "n", "regs")
-    one = side.join(spread, "id").select(F.col("id").alias("a"), "salt", F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
-    two = side.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
-    both = dealt.join(one, ["a", "salt"]).join(two, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = materialise(map_batches(both, lambda x: _likely(x, threshold), f"a {kind}, b {kind}, n_a long, n_b long", rows=4000))
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = materialise(map_batches(docs.join(wanted, "id", "left_semi").select("id", "text"), _sets, f"id {kind}, shingles array<long>", rows=1000).dropDuplicates(["id"]))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return _with_set(_with_set(likely, sets, "a"), sets, "b").where(100 * common >= threshold * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, component) of every node of ``edges`` (a, b): the smallest id that can be reached.
-
-    Alternating large-star and small-star steps, each an aggregation and a join on the node, so that a node
-    with many neighbours is pre-aggregated and its join can be split; stops when a round changes nothing.
-    """
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        # pairs (u, v): each node's least neighbour, itself included
-        both = pairs.union(pairs.select("v", "u")) if large else pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    for _ in range(most_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark or not seen[0]:
-            break
-        mark = tuple(seen)
-        now = materialise(star(star(now, True), False))
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(now.select("v", "v").distinct()).distinct()
-
-
-def _placed(rows: DataFrame, reached: DataFrame, key: str, name: str) -> DataFrame:
-    """``rows`` with the component of ``key`` so far, which is itself where nothing is linked to it."""
-    found = reached.select(F.col("id").alias(key), F.col("component").alias("__c"))
-    return rows.join(found, key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
-
-
-def _pivot() -> Column:
-    """Of a bucket's members the one of the highest degree; ties go to smaller sets and ids."""
-    return F.min(F.struct(-F.col("degree"), "n", "id"))["id"].alias("pivot")
-
+def _buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, node, n, degree) of each class in each band bucket that it shares; degree: whom it meets, all told."""
+    width = 2 * BAND_ROWS  # both bytes of each register
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
+    banded = classes.select("node", "n", F.explode(bands).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    met = scratch.keep(banded.join(shared, "band"))
+    return met.join(met.groupBy("node").agg(F.sum("members").alias("degree")), "node")
 
-def _by_edits(stars: DataFrame, reached: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that may still link two components, found without comparing all members of a bucket.
 
-    ``stars``: (a, b), each bucket's pivot with each of its members. Let p be the pivot of a bucket, x a member
-    outside p's component, y any other member. What x and y have in common within p is at most what either has in
-    common with p; a link needs more than that by ``least`` shingles, which x and y must share outside p ("edits").
-    An edit that members of one component alone have cannot count, and a member with fewer than ``least`` others
-    is out. The rest is joined on edits, and the number that a pair shares decides whether it is confirmed. Only
-    where x nearly links with p, and y is smaller than p, can a pair do without edits; those pairs go by size.
-    """
-    placed = _placed(_placed(stars, reached, "a", "of_a"), reached, "b", "of_b").withColumn("open", F.col("of_a") != F.col("of_b"))
-    placed = materialise(placed.join(placed.where("open").select("a").distinct(), "a", "left_semi"))
-    wanted = placed.select(F.col("a").alias("id")).union(placed.select("b")).distinct()
-    kind = stars.schema["a"].dataType.simpleString()
-    sets = materialise(map_batches(docs.join(wanted, "id", "left_semi").select("id", "text"), _sets, f"id {kind}, shingles array<long>", rows=1000).dropDuplicates(["id"]))
-    both = _with_set(_with_set(placed, sets, "a"), sets, "b")
-    edits = F.array_except("set_b", "set_a")
-    measured = materialise(both.select("a", "b", "of_b", "open", edits.alias("edits"), F.size("set_b").alias("n"), (F.size("set_b") - F.size(edits)).alias("common")))
-    smallest = measured.groupBy("a").agg(F.min("n").alias("smallest"))
-    # of a link the common part is at least t / (100 + t) of both sizes' sum
-    part = lambda n, m: threshold * (F.col(n) + F.col(m))
-    least = F.ceil(part("n", "smallest") / (100 + threshold)) - F.col("common")
-    measured = measured.join(smallest, "a").withColumn("least", least)
-    each = measured.where(F.size("edits") >= F.greatest("least", F.lit(1))).select("a", "b", "of_b", "open", "least", F.explode("edits").alias("edit"))
-    shared = each.groupBy("a", "edit").agg(F.min("of_b").alias("low"), F.max("of_b").alias("high")).where("low <> high").select("a", "edit")
-    each = materialise(each.join(shared, ["a", "edit"]))
-    enough = each.groupBy("a", "b", "least").agg(F.count("*").alias("__n")).where("__n >= least").select("a", "b")
-    each = materialise(each.join(enough, ["a", "b"]))
-    x = each.where("open").select("a", "edit", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("least").alias("least_x"))
-    y = each.select("a", "edit", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("least").alias("least_y"))
-    pairs = x.join(y, ["a", "edit"]).where("of_x <> of_y").groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.first(F.greatest("least_x", "least_y")).alias("least")).where("n >= least").select("x", "y")
-    narrow = measured.select("a", "b", "of_b", "open", "n", "common", "least")
-    near = narrow.where("open and least <= 0").select("a", F.col("b").alias("x"), F.col("of_b").alias("of_x"), F.col("n").alias("n_x"), "common")
-    small = narrow.select("a", F.col("b").alias("y"), F.col("of_b").alias("of_y"), F.col("n").alias("n_y"))
-    by_size = near.join(small, "a").where((F.col("of_x") != F.col("of_y")) & (part("n_x", "n_y") <= (100 + threshold) * F.col("common"))).select("x", "y")
-    return materialise(pairs.union(by_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """``pairs`` with the shingles of ``key``, whose rows may be many: they are dealt over salted copies of its set."""
-    hot = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("copies"))
-    other = "b" if key == "a" else "a"
-    dealt = pairs.join(hot, key).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
-    spread = hot.select(F.col(key).alias("id"), F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("salt"))
-    side = sets.join(spread, "id").select(F.col("id").alias(key), "salt", F.col("shingles").alias(f"set_{key}"))
-    return dealt.join(side, [key, "salt"]).drop("salt")
+def _stars(members: DataFrame) -> DataFrame:
+    """``members`` with the ``pivot`` of their bucket, without itself: whoever shares most buckets with others, as the
+    origin of a group of copies does; ties go to smaller sets and ids."""
+    first = members.groupBy("band").agg(F.min(F.struct(-F.col("degree"), "n", "node"))["node"].alias("pivot"))
+    return members.join(first, "band").where("node <> pivot")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``component`` (smallest id reachable over links), ``kept``."""
-    docs = with_names(docs, id=id_col, text=text_col)
+def linked(classes: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of each node of ``classes`` (node, n, regs) that links with another; ``docs``: id, text."""
+    pairs = lambda stars: stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    met = scratch.keep(_stars(_buckets(classes, scratch)))
+    stars = scratch.keep(pairs(met))
+    wanted = scratch.keep(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
     kind = docs.schema["id"].dataType.simpleString()
-    sketched = materialise(map_batches(docs, _sketch, f"id {kind}, n long, f1 long, f2 long, regs binary"))
-    classes = materialise(sketched.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
-    # both bytes of each register, four registers a band; the class's id goes with each band
-    width = 2 * BAND_ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
-    banded = classes.select("id", "n", F.explode(bands).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    met = materialise(banded.join(shared, "band"))
-    # the pivot of a bucket: whoever shares most buckets with others, as the origin of a group of copies does
-    degree = met.groupBy("id").agg(F.sum("members").alias("degree"))
-    met = met.join(degree, "id")
-    first = met.groupBy("band").agg(_pivot())
-    met = materialise(met.join(first, "band").where("id <> pivot"))
-    stars = materialise(met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialise(confirm(stars, classes, docs, threshold))
-    reached = components(links)
+    found = map_batches(perhaps_in(docs, wanted.select("node.id")), _sets, f"id {kind}, f1 long, shingles array<long>", rows=1000)
+    # rows that repeat bring their set once more
+    found = found.select(F.struct("id", "f1").alias("node"), "shingles").join(wanted, "node", "left_semi")
+    sets = scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sketches = scratch.keep(classes.select("node", "n", "regs").join(wanted, "node", "left_semi"))
+    check = lambda some: confirm(some, sketches, sets, threshold, _likely, scratch)
+    links = check(stars)
+    reached = scratch.keep(components(links))
     # what a bucket's pivot left: the same again with a pivot of the rest, so that several groups in one bucket
     # each become one component; buckets of two are settled
-    rest = met.where("members > 2")
+    rest = met.where("members > 2").drop("members")
     for _ in range(MORE_STARS):
-        rest = materialise(_placed(_placed(rest, reached, "pivot", "of_pivot"), reached, "id", "of_id").where("of_id <> of_pivot").select("band", "id", "n", "degree"))
-        rest = rest.join(rest.groupBy("band").agg(_pivot()), "band").where("id <> pivot")
-        new = materialise(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-        more = materialise(confirm(new, classes, docs, threshold)) if not new.isEmpty() else new
+        rest = placed(placed(rest, reached, "pivot", "of_pivot"), reached, "node", "of_node").where("of_node <> of_pivot").select("band", "node", "n", "degree")
+        rest = scratch.keep(_stars(scratch.keep(rest)))
+        more = check(pairs(rest))
         if more.isEmpty():
             break
         links = links.union(more)
-        reached = components(links)
-    last = materialise(confirm(_by_edits(stars, reached, docs, threshold), classes, docs, threshold))
-    if not last.isEmpty():
-        reached = components(links.union(last))
-    of_class = classes.select("n", "f1", "f2", F.col("id").alias("class")).join(reached.withColumnRenamed("id", "class"), "class", "left")
-    of_class = of_class.select("n", "f1", "f2", F.coalesce("component", "class").alias("component"))
-    out = sketched.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+        reached = scratch.keep(components(links))
+    last = check(by_differences(stars, reached, sets, threshold, scratch))
+    return reached if last.isEmpty() else components(links.union(last))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: ``id``, ``n_shingles``, ``component`` (smallest id reachable over links), ``kept``."""
+    docs = with_names(docs, id=id_col, text=text_col)
+    kind = docs.schema["id"].dataType.simpleString()
+    with Scratch(docs.sparkSession) as scratch:
+        sketched = scratch.keep(map_batches(docs, _sketch, f"id {kind}, n long, f1 long, f2 long, regs binary"))
+        classes = sketched.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("regs").alias("regs"))
+        # a node of the graph is its class's smallest id, with the set it stands for
+        classes = scratch.keep(classes.select(F.struct("id", "f1").alias("node"), "n", "f1", "f2", "regs"))
+        reached = linked(classes, docs, threshold, scratch).select(F.col("id").alias("node"), "component")
+        of_class = classes.join(reached, "node", "left").select("n", "f1", "f2", F.coalesce("component.id", "node.id").alias("component"))
+        out = materialise(sketched.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left").select("id", "n", "component"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
@@ -351,12 +280,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id; all columns stay.
 
-    Rows that repeat an id are one document and leave one row. A row without an id stays.
+    Rows that repeat an id are one document and leave one row, which stays where one of its texts is kept. A row
+    without an id stays.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold)
-    # a repeated id may come with several texts; it stays where one of them is kept
-    kept = found.where("kept and id is not null").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = materialise(kept)
-    once = docs.join(kept.where("__rows = 1"), docs[id_col] == F.col("__id"), "left_semi")
-    more = docs.join(kept.where("__rows > 1"), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    ids = near_duplicates(docs, id_col, text_col, threshold).where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = materialise(ids.where("not kept or rows > 1"))
+    key = free_name(docs, "key")
+    named = lambda rows: rows.select(F.col("id").alias(key))
+    match = F.col(f"`{id_col}`") == F.col(key)
+    repeated = named(ids.where("kept"))
+    out = docs.join(named(ids), match, "left_anti")
+    return out if repeated.isEmpty() else out.unionByName(docs.join(repeated, match, "left_semi").dropDuplicates([id_col]))
