@@ -37,7 +37,7 @@ LABELLERS = {
     "capitals": ("above", 0.45, None),
     "shouts": ("above", 0.25, None),
     "echoes": ("above", 0.20, None),
-    "variety": ("below", 0.20, 0.40),
+    "variety": ("below", 0.70, 0.82),
     "plain": ("below", 0.60, 0.85),
     "length": ("below", 1.0, None),
 }
@@ -70,15 +70,15 @@ def statistics(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last = word_ends(flat, offsets)
     tidy = np.concatenate([[0], np.cumsum(TIDY[flat[last - 1]])])
     letters = share(letter, np.ones(rows)) * 1.0
-    # of as many words as a short text has, so that long texts are not blamed
-    variety = distinct / np.maximum(np.minimum(counts, 500), 1)
+    # logarithms: the distinct words of prose grow as a power of its length, at any length; one word is varied
+    variety = np.where(counts > 1, np.log(np.maximum(distinct, 1)) / np.log(np.maximum(counts, 2)), 1.0)
     out = [
         share(SIGNS[flat], size),
         share(flat == ord("|"), counts),
         share(upper, letters),
         share(flat == ord("!"), counts),
         (echo[ends] - echo[ends - counts]) / np.maximum(counts, 1),
-        np.minimum(variety, 1.0),
+        variety,
         (tidy[ends] - tidy[ends - counts]) / np.maximum(counts, 1),
         counts.astype(np.float64),
     ]
