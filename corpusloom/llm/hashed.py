@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Hashed dimensions of each n-gram order, and the factor on relative frequencies.
@@ -51,19 +52,23 @@ def ngram_features(text: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(value)
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, hinge: bool, epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def descend(index: pa.ListArray, value: pa.ListArray, rows: np.ndarray, y: np.ndarray, width: int, hinge: bool, epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights (the bias last) by stochastic gradient descent with averaging; ``y`` is the target in 0..1.
 
-    Classes weigh alike, whatever their numbers.
+    ``rows`` are the numbers of the examples, in an order that does not depend on their places in the arrays; the
+    arrays are read in place. Classes weigh alike, whatever their numbers.
     """
+    begins, ids, values = index.offsets.to_numpy(), index.values.to_numpy(), value.values.to_numpy()
+    skip = value.offsets.to_numpy() - begins  # the same for all, as both lists of an example are as long
     w, mean, n = np.zeros(width + 1), np.zeros(width + 1), 0
     share = max(1e-9, min(1 - 1e-9, float(y.mean())))
     order = np.random.default_rng(5)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for r in order.permutation(len(rows)):
-            index, value = rows[r]
-            margin = float(w[index] @ value) + w[-1]
+            start, stop = begins[rows[r]], begins[rows[r] + 1]
+            at, x = ids[start:stop], values[start + skip[0] : stop + skip[0]]
+            margin = float(w[at] @ x) + w[-1]
             if hinge:
                 sign = 1.0 if y[r] > 0.5 else -1.0
                 pull = sign if sign * margin < 1 else 0.0
@@ -71,7 +76,7 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int
                 pull = y[r] - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             pull *= step * 0.5 / (share if y[r] > 0.5 else 1 - share)
             if pull:
-                w[index] += pull * value
+                w[at] += pull * x
                 w[-1] += pull * 0.1
         w *= 1 - decay
         if epoch >= epochs // 2:
@@ -83,14 +88,16 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int
 def fit(rows: DataFrame, width: int, hinge: bool) -> dict[str, np.ndarray]:
     """A linear model for each ``model`` of ``rows`` (model, y, index, value), each fitted in a task of its own.
 
-    The caller bounds the rows of a model. Only the weights come to the driver.
+    ``index`` and ``value`` are lists of int and float. The caller bounds the rows of a model. Only the weights come
+    to the driver.
     """
 
     def train(group: pa.Table) -> pa.Table:
-        table = group.sort_by([("key", "ascending")])
-        pairs = [(np.array(i, np.int64), np.array(v)) for i, v in zip(table["index"].to_pylist(), table["value"].to_pylist(), strict=True)]
-        w = descend(pairs, table["y"].to_numpy(), width, hinge).astype(np.float32)
-        return pa.table({"model": table["model"].slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
+        # flat arrays of 8 bytes a feature, no objects of Python
+        order = pc.sort_indices(group, sort_keys=[("key", "ascending")]).to_numpy()
+        index, value = (group[c].combine_chunks() for c in ("index", "value"))
+        w = descend(index, value, order, group["y"].to_numpy()[order], width, hinge).astype(np.float32)
+        return pa.table({"model": group["model"].slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
 
     found = rows.groupBy("model").applyInArrow(train, "model string, w binary").collect()
     return {r["model"]: np.frombuffer(bytes(r["w"]), np.float32) for r in found}

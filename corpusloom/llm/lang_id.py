@@ -72,10 +72,10 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> dict:
                     for model, y in _models(lang, langs):
                         for c, v in zip(out, (str(key), model, y, index, value), strict=True):
                             c.append(v)
-            types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "model", "y", "index", "value"])
 
-    data = chosen.select("key", "text", "lang").mapInArrow(features, "key string, model string, y double, index array<int>, value array<double>")
+    data = chosen.select("key", "text", "lang").mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
     return {"langs": langs, "weights": fit(data, WIDTH, hinge=True)}
 
 

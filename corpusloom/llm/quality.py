@@ -169,13 +169,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
                 index, value = np.concatenate([index, bin_ids(stats)[0]]), np.concatenate([value, np.ones(len(NAMES))])
                 for c, v in zip(out, (str(key), "quality", posterior[int(codes(votes(stats))[0])], index, value), strict=True):
                     c.append(v)
-            types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "model", "y", "index", "value"])
 
     chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / total))
     if chosen.isEmpty():  # ids that are null, or all alike
         chosen = docs.limit(sample)
-    data = chosen.mapInArrow(features, "key string, model string, y double, index array<int>, value array<double>")
+    data = chosen.mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
     return found | {"weights": fit(data, ALL, hinge=False)["quality"]}
 
 
