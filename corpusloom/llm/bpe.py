@@ -27,8 +27,9 @@ from corpusloom.llm.common import map_batches, with_names
 #: The published split of byte-level BPE, with \s as Unicode's White_Space.
 SPACE = r"\t-\r\x20\x85\xA0  -     　"
 SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Encoded pre-tokens that a task keeps; at this many it starts anew.
-CACHE_WORDS = 500_000
+#: Bytes of encoded pre-tokens that a worker keeps, about (with ``OVERHEAD`` for the objects of each); beyond them
+#: it starts anew. Only the time depends on it.
+CACHE_BYTES, OVERHEAD = 160 << 20, 300
 #: Rows whose new pieces are encoded together.
 ROWS = 1000
 
@@ -141,23 +142,27 @@ class PairIndexEncoder:
 
 
 class WordCache:
-    """Ids and bytes of the pre-tokens met so far; beyond ``limit`` of them it starts anew."""
+    """Ids and bytes of the pre-tokens met so far; beyond ``limit`` bytes of them it starts anew."""
 
-    def __init__(self, enc: PairIndexEncoder, limit: int = CACHE_WORDS):
-        self.enc, self.limit = enc, limit
+    def __init__(self, enc: PairIndexEncoder, limit: int = CACHE_BYTES):
+        self.enc, self.limit, self.size = enc, limit, 0
         self.ids: dict[str, str] = {}
         self.data: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """Ids (joined by commas) and the bytes that they decode to, of each text without special tokens."""
         split = list(map(self.enc.split.findall, texts))
-        if len(self.ids) > self.limit:
+        if self.size > self.limit:
             self.ids.clear()
             self.data.clear()
+            self.size = 0
         new = list(set().union(*split).difference(self.ids))
         found = self.enc.encode_words([w.encode() for w in new])
         text, data = self.enc.token_text.__getitem__, self.enc.token_bytes.__getitem__
-        self.ids.update(zip(new, [",".join(map(text, ids)) for ids in found], strict=True))
+        joined = [",".join(map(text, ids)) for ids in found]
+        # of a pre-token: itself, its bytes and the digits of its ids
+        self.size += sum(map(len, new)) * 2 + sum(map(len, joined)) + OVERHEAD * len(new)
+        self.ids.update(zip(new, joined, strict=True))
         self.data.update(zip(new, [b"".join(map(data, ids)) for ids in found], strict=True))
         ids, data = self.ids.__getitem__, self.data.__getitem__
         return [(",".join(map(ids, words)), b"".join(map(data, words))) for words in split]

@@ -29,8 +29,9 @@ from corpusloom.llm.common import materialise, with_names
 CAPACITY, END_ID = 2048, 1
 #: Expected pieces in a group, and the seed of the dealing.
 GROUP_PIECES, SEED = 4096, 9
-#: Encoded pieces, and words in them, that a worker keeps; at this many of either it starts anew.
-CACHE_PIECES = 600_000
+#: Bytes of encoded pieces, and of words in them, that a worker keeps, about (with ``OVERHEAD`` for the objects of
+#: each); beyond them it starts anew. Only the time depends on it.
+CACHE_BYTES, OVERHEAD = 128 << 20, 200
 ROWS = 1000
 
 
@@ -59,6 +60,7 @@ class WordEncoder:
         self.by_words = kinds == NORMALIZERS and steps[0].get("pattern") == {"Regex": WORDS} and steps[0].get("behavior") == "Removed"
         self.pieces: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        self.size = 0
         self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
         # what the last step before the model makes of each byte
         from tokenizers.pre_tokenizers import ByteLevel
@@ -69,6 +71,7 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces that no text had before."""
         plain = [p for p in new if PLAIN(p) and "<|" not in p]
+        before = len(self.words)
         split = [self.find(p.lower()) for p in plain]
         tokenize, shown = self.tokenizer.model.tokenize, self.shown
         for word in {w for words in split for w in words}.difference(self.words):
@@ -80,16 +83,16 @@ class WordEncoder:
             part = rest[at : at + 5000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found, strict=True))
+        # a character is at most 4 bytes, and so is the number of a token of one character
+        self.size += 8 * sum(map(len, new)) + OVERHEAD * (len(new) + len(self.words) - before)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {"": b""}
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
+        if self.size > CACHE_BYTES:
+            self.pieces, self.words, self.size = {"": b""}, {}, 0
         self._learn(list(set().union(*split).difference(self.pieces)))
         ids = self.pieces.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in split]
