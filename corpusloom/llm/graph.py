@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return out.where("u <> v")
 
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     was, seen = None, mark(now)
     while seen[0] and seen != was:
         after = Scratch(links.sparkSession)
-        now = after.keep(star(star(now, True), False))
+        now = after.keep(star(star(now, True), False).distinct())
         before.__exit__()
         before, was, seen = after, seen, mark(now)
     found = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))

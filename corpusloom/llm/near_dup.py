@@ -39,8 +39,6 @@ BUCKETS = BANDS * BAND_ROWS
 ZERO_BITS, MANTISSA_BITS = 6, 10
 #: How many standard deviations below the threshold an estimate may lie before its pair is dropped.
 DEVIATIONS = 6.5
-#: Further rounds of pivots for buckets that hold several groups; what they leave goes to ``by_differences``.
-MORE_STARS = 2
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -225,17 +223,15 @@ def _buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """``members`` with the ``pivot`` of their bucket, without itself: whoever shares most buckets with others, as the
+    """(a, b): each bucket's pivot with each other member. The pivot is whoever shares most buckets with others, as the
     origin of a group of copies does; ties go to smaller sets and ids."""
-    first = members.groupBy("band").agg(F.min(F.struct(-F.col("degree"), "n", "node"))["node"].alias("pivot"))
-    return members.join(first, "band").where("node <> pivot")
+    first = members.groupBy("band").agg(F.min(F.struct(-F.col("degree"), "n", "node"))["node"].alias("a"))
+    return members.join(first, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def linked(classes: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """(id, component) of each node of ``classes`` (node, n, regs) that links with another; ``docs``: id, text."""
-    pairs = lambda stars: stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    met = scratch.keep(_stars(_buckets(classes, scratch)))
-    stars = scratch.keep(pairs(met))
+    stars = scratch.keep(_stars(_buckets(classes, scratch)))
     wanted = scratch.keep(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
     kind = docs.schema["id"].dataType.simpleString()
     found = map_batches(perhaps_in(docs, wanted.select("node.id")), _sets, f"id {kind}, f1 long, shingles array<long>", rows=1000)
@@ -244,21 +240,10 @@ def linked(classes: DataFrame, docs: DataFrame, threshold: int, scratch: Scratch
     sets = scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
     sketches = scratch.keep(classes.select("node", "n", "regs").join(wanted, "node", "left_semi"))
     check = lambda some: confirm(some, sketches, sets, threshold, _likely, scratch)
-    links = check(stars)
-    reached = scratch.keep(components(links))
-    # what a bucket's pivot left: the same again with a pivot of the rest, so that several groups in one bucket
-    # each become one component; buckets of two are settled
-    rest = met.where("members > 2").drop("members")
-    for _ in range(MORE_STARS):
-        rest = placed(placed(rest, reached, "pivot", "of_pivot"), reached, "node", "of_node").where("of_node <> of_pivot").select("band", "node", "n", "degree")
-        rest = scratch.keep(_stars(scratch.keep(rest)))
-        more = check(pairs(rest))
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        reached = scratch.keep(components(links))
+    reached = scratch.keep(components(check(stars)))
     last = check(by_differences(stars, reached, sets, threshold, scratch))
-    return reached if last.isEmpty() else components(links.union(last))
+    # the components so far are stars around their smallest nodes, which the last links tie together
+    return reached if last.isEmpty() else components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_batches
 from corpusloom.session import Scratch
 
-#: Pairs of one node that a task joins with its set; above it they are dealt over more tasks.
-PAIRS_A_TASK = 2000
 #: Bits of the filter that spares most texts the way to Python; its table has a row for each 64 of them at most.
 FILTER_BITS = 1 << 24
 
@@ -42,13 +40,8 @@ def perhaps_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """``pairs`` with the shingles of ``key``, whose rows may be many: they are dealt over salted copies of its set."""
-    hot = pairs.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("copies"))
-    other = "b" if key == "a" else "a"
-    dealt = pairs.join(hot, key).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
-    spread = hot.select(F.col(key).alias("node"), F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("salt"))
-    side = sets.join(spread, "node").select(F.col("node").alias(key), "salt", F.col("shingles").alias(f"set_{key}"))
-    return dealt.join(side, [key, "salt"]).drop("salt")
+    """``pairs`` with the shingles of ``key``. A pivot's many rows are a skewed join, which adaptive execution splits."""
+    return pairs.join(sets.select(F.col("node").alias(key), F.col("shingles").alias(f"set_{key}")), key)
 
 
 def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, likely: Callable[[pa.RecordBatch, int], pa.RecordBatch], scratch: Scratch) -> DataFrame:
