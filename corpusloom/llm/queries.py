@@ -15,19 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def owned(docs: DataFrame) -> DataFrame:
-    """A document's owner is its source; the documents of a source in one language are a repository of it."""
-    return docs.withColumn("__owner", F.col("source")).withColumn("__repository", F.concat_ws("/", "source", "lang"))
+def secrets(docs: DataFrame) -> DataFrame:
+    """The scan of ``documents``: a document's owner is its source; its documents in one language are a repository."""
+    owned = docs.select("doc_id", "text", F.col("source").alias("owner"), F.concat_ws("/", "source", "lang").alias("repository"))
+    return secret_scan.scan(owned)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = owned(_table(spark, sf_dir, "documents"))
-    return secret_scan.report(secret_scan.scan(docs, owner_col="__owner", repository_col="__repository"))
+    return secret_scan.report(secrets(_table(spark, sf_dir, "documents")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+    return found.select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 OP2_SQL = """

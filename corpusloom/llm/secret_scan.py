@@ -2,7 +2,8 @@
 
 Candidate credentials of every text are hashed; the hashes are aggregated by the distinct owners and
 repositories that hold them. A value that many owners hold is a widely copied example; one that a single owner
-holds and that looks random is a live-looking credential of that owner.
+holds in few repositories and that looks random is a live-looking credential of that owner; one that a single owner
+holds in many repositories is the owner's own boilerplate, shared and not live.
 
 Defined cases: a null or empty text has no spans; a null owner or repository counts as one of its own ('');
 rows that repeat are scanned alike and count once in the frequencies; texts are scanned whole at any length;
@@ -71,11 +72,11 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("owner"), batch.column("repository"), pa.array(rows, kind)], names=["id", "owner", "repository", "spans"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "owner", repository_col: str = "repository", min_owners: int = 5) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "owner", repository_col: str = "repository", min_owners: int = 5, many_repositories: int = 4) -> DataFrame:
     """One row per document: ``id``, ``spans`` (kind, start, stop, value digest, class), by start and then kind.
 
-    Classes: ``example`` (held by ``min_owners`` owners or more), ``live`` (one owner, looks random) and
-    ``shared`` (the rest). Base spans always stay; an opaque word is a span only where it is ``live``.
+    Classes: ``example`` (held by ``min_owners`` owners or more), ``live`` (one owner, fewer than ``many_repositories``
+    of its repositories, looks random) and ``shared`` (the rest). Base spans always stay; an opaque word is a span only where it is ``live``.
     The frequency counts distinct (value, owner, repository) triples, pre-aggregated before the shuffle, so a
     value that a third of all rows hold costs each task one row.
     """
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
     frequency = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
     spans = each.select("id", "s.*").join(frequency, "value")
-    state = F.when(F.col("n_owners") >= min_owners, "example").when((F.col("n_owners") == 1) & F.col("opaque"), "live").otherwise("shared")
+    state = F.when(F.col("n_owners") >= min_owners, "example").when((F.col("n_owners") == 1) & (F.col("n_repositories") < many_repositories) & F.col("opaque"), "live").otherwise("shared")
     spans = spans.withColumn("class", state).where("kind < 3 or class = 'live'")
     # a row that repeats brings its spans once more: one of each
     grouped = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop", "value", "class", "n_owners", "n_repositories"))).alias("spans"))
@@ -107,6 +108,7 @@ def report(scanned: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     classed = lambda c: F.size(F.filter("spans", lambda s: s["class"] == c)).cast("long")
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long")
     return scanned.select(
         F.col("id").alias("doc_id"),
         count(0).alias("n_assign"),
@@ -116,7 +118,8 @@ def report(scanned: DataFrame) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         classed("example").alias("n_example"),
         classed("live").alias("n_live"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("max_owners"),
+        most("n_owners").alias("max_owners"),
+        most("n_repositories").alias("max_repositories"),
     )
 
 
@@ -125,11 +128,13 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
 
     Only documents that have such spans take part in the shuffle's other side; overlapping spans are masked as one.
     """
-    keys = scanned.select(F.col("id").alias("__id"), F.filter("spans", lambda s: s["class"] != "example").alias("__spans")).where("size(__spans) > 0").dropDuplicates(["__id"])
-    cut = keys.select("__id", F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("__spans"))
-    both = docs.join(cut, docs[id_col].eqNullSafe(cut["__id"]), "left")
+    keys = scanned.select("id", F.filter("spans", lambda s: s["class"] != "example").alias("spans")).where("size(spans) > 0").dropDuplicates(["id"])
+    cut = keys.select("id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans")).alias("r")
+    # a row goes along whole, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")).alias("l")
+    both = rows.join(cut, F.col("l.id").eqNullSafe(F.col("r.id")), "left").select("row", "spans")
+    text = F.col(f"row.`{text_col}`")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    text = F.col(f"`{text_col}`")
 
     def step(state, span):
         start, stop = F.greatest(span["start"], state["at"]), F.greatest(span["stop"], state["at"])
@@ -138,5 +143,5 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
         return F.struct(F.when(stop > state["at"], F.concat(state["out"], gap, F.when(span["start"] < state["at"], "").otherwise(F.lit(mask)))).otherwise(state["out"]).alias("out"), stop.alias("at"))
 
     # the tail after the last span
-    masked = F.aggregate("__spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    return both.select(*[F.when(F.col("spans").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
