@@ -2,6 +2,11 @@
 
 Quality classifier (rejected documents go), line dedup (repeated passages go), MinHash near-dedup (one document
 of each group stays), secret scans (credentials that are not widely copied examples are masked), packing.
+
+Defined cases: a null or empty text is rejected by the first stage; rows that repeat a doc_id leave one row after
+near-dedup (of several texts under one id, one that is kept); a row without an id stays on its own; ties go to the
+smallest doc_id; texts of any length go through whole, and a long one is packed in pieces; extra columns stay up to
+the packing, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, near_dup, quality, secret_scan
 from corpusloom.llm.common import materialise
-from corpusloom.llm.queries import owned, packed
+from corpusloom.llm.queries import packed, secrets
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -24,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.dedup_lines(docs).drop("__removed"))
+    return _measured(line_dedup.dedup_lines(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(secret_scan.redact(docs, secret_scan.scan(owned(docs), owner_col="__owner", repository_col="__repository")))
+    return _measured(secret_scan.redact(docs, secrets(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Scorer, near-duplicate components and tokens have no SQL; tests hold run() against brute force instead.
+#: Scorer, near-duplicate components and tokens have no SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
