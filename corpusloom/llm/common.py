@@ -14,7 +14,7 @@ from corpusloom.session import materialise, number_rows, ship_package
 __all__ = ["free_name", "map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
 
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def with_names(df: DataFrame, **columns: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, map_batches, materialise, mix64, row_chunks, sums_by_row, text_bytes, with_names
+from corpusloom.llm.common import CHUNK_BYTES, free_name, map_batches, materialise, mix64, row_chunks, sums_by_row, text_bytes, with_names
 from corpusloom.llm.graph import components
 from corpusloom.llm.near_links import by_differences, confirm, perhaps_in, placed
 from corpusloom.session import Scratch
@@ -48,7 +48,12 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _held_powers() -> tuple[np.ndarray, np.ndarray]:
+    """One table per worker, for chunks of usual size."""
+    return _powers(2 * CHUNK_BYTES)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     with np.errstate(over="ignore"):
@@ -78,8 +83,7 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(at):
         return np.zeros(0, np.uint64), counts
     # a polynomial hash from sums of powers: each word's sum, shifted to begin at power 0
-    size = 1 << max(10, int(len(flat)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _held_powers() if len(flat) < 2 * CHUNK_BYTES else _powers(len(flat) + 1)
     byte = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1))[LOWER[flat]]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte * power[: len(flat)])])
     return mix64((total[end] - total[at]) * inverse[at] ^ (end - at).astype(np.uint64)), counts
