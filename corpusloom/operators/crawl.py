@@ -9,28 +9,34 @@ from corpusloom.functions import urls
 from corpusloom.session import materialise
 
 
+#: Rounds of a crawl between two rewritings of what was seen.
+ROUNDS_A_TABLE = 20
+
+
 def scope(start: Column, asked: Column) -> Column:
     """The prefix that a crawl stays inside: '/' for ``host``, the start's own for '' and ``section``, else as asked."""
     return F.when(asked == "host", "/").when(F.coalesce(asked, F.lit("")).isin("", "section"), urls.docs_scope(start)).otherwise(asked)
 
 
-def reachable(starts: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
     """(site, url, depth) of the pages reached from each site's start over links that its scope admits.
 
     ``starts``: site, url, host, prefix; ``links``: src, dst. One round for each depth: the frontier joins the
-    links, pages seen before go. The rounds end when no page is new. Starts are not checked against the scope.
+    links, pages seen before go. The rounds end when no page is new, however deep the last one lies. Starts are not
+    checked against the scope.
     """
     site = starts.select("site", "host", "prefix")
     seen = materialise(starts.select("site", "url", F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, most_rounds):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         found = frontier.join(links.withColumnRenamed("src", "url").withColumnRenamed("dst", "next"), "url").join(site, "site")
         found = found.where(urls.crawlable(F.col("next"), F.col("host"), F.col("prefix"))).select("site", F.col("next").alias("url")).distinct()
         frontier = materialise(found.join(seen, ["site", "url"], "left_anti").select("site", "url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"crawl did not end in {most_rounds} rounds")
+        # one table again from time to time, so that a deep crawl does not read a table for each depth
+        seen = materialise(seen.unionByName(frontier)) if depth % ROUNDS_A_TABLE == 0 else seen.unionByName(frontier)
 
 
 def capped(reached: DataFrame, order: list[str], cap: int) -> DataFrame:

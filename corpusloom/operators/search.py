@@ -1,21 +1,26 @@
 """Ranked search over an inverted index of the page store.
 
 Score of a page: for each query term its occurrences in the title (at most 3) weigh 1.0 and in the content (at
-most 10) 0.4 each; the sum over terms is divided by 1 + ln(words of the page). All positive terms must occur.
-Terms are lower-case words without stop words, their plain English endings cut.
+most 10) 0.4 each; the sum over terms is divided by 1 + ln(1 + words of the content). All positive terms must occur;
+a term that is written twice counts once. Words are runs of letters and digits of any script, in lower case; terms are
+words without stop words, their plain English endings cut. The index holds what ranking needs, the length of a page
+included, so contents are read for phrases and for the winners alone. A phrase of stop words only is looked for in all
+contents, and its pages score 0.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.store import KEYS
 
 PAGE = [*KEYS, "ordinal"]
 STOP = "a an and are as at be by for from in is it of on or that the this to was with".split()
+#: What separates words.
+GAP = r"[^\p{L}\p{N}]+"
 TITLE_WEIGHT, BODY_WEIGHT, TITLE_MOST, BODY_MOST = 1.0, 0.4, 3, 10
 
 
@@ -29,19 +34,51 @@ def stem_word(word: str) -> str:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
+
+
+def words_of(query: str) -> list[str]:
+    return re.findall(r"[^\W_]+", query)
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """``term, technology, version, ordinal, field (A title, B content), n, first``: the inverted index."""
-    parts = pages.select(*PAGE, F.explode(F.array(F.struct(F.lit("A").alias("field"), words(F.col("title")).alias("w")), F.struct(F.lit("B").alias("field"), words(F.col("content")).alias("w")))).alias("p"))
-    each = parts.select(*PAGE, "p.field", F.posexplode("p.w").alias("pos", "word")).where(~F.col("word").isin(STOP))
-    return each.groupBy(stem(F.col("word")).alias("term"), *PAGE, "field").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    """``term, technology, version, ordinal, field (A title, B content), n, first, words``: the inverted index.
+
+    ``words`` is the length of the page's content.
+    """
+    fields = F.array(F.struct(F.lit("A").alias("field"), F.col("of_title").alias("w")), F.struct(F.lit("B").alias("field"), F.col("of_content").alias("w")))
+    split = pages.select(*PAGE, words(F.coalesce("title", F.lit(""))).alias("of_title"), words(F.coalesce("content", F.lit(""))).alias("of_content"))
+    parts = split.select(*PAGE, F.size("of_content").cast("long").alias("words"), F.explode(fields).alias("p"))
+    each = parts.select(*PAGE, "words", "p.field", F.posexplode("p.w").alias("pos", "word")).where(~F.col("word").isin(STOP))
+    found = each.groupBy(stem(F.col("word")).alias("term"), *PAGE, "field", "words").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return found.select("term", *PAGE, "field", "n", "first", "words")
+
+
+#: Parts that a stored index is dealt into by term.
+PARTS = 64
+
+
+def part_of(term: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.hash(term), F.lit(parts))
+
+
+def write_index(pages: DataFrame, path: str, parts: int = PARTS) -> None:
+    """The index as Parquet, partitioned by a hash of the term and sorted by it, so that a search reads its terms' parts
+    alone and skips row groups within them."""
+    dealt = postings(pages).withColumn("part", part_of(F.col("term"), parts))
+    dealt.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
-def write_postings(pages: DataFrame, name: str, buckets: int) -> None:
-    """The index as a table bucketed by term, so that a query's terms read few buckets and later joins do not shuffle."""
-    postings(pages).write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+def of_terms(index: DataFrame, terms: list[str], parts: int = PARTS) -> DataFrame:
+    """The postings of ``terms``; of a stored index only their parts are read."""
+    if "part" in index.columns:
+        held = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(part_of(F.col("term"), parts).alias("p"))
+        index = index.where(F.col("part").isin(sorted({r["p"] for r in held.collect()})))
+    return index.where(F.col("term").isin(terms))
 
 
 def parse(query: str) -> dict[str, list[list[str]]]:
@@ -55,9 +92,9 @@ def parse(query: str) -> dict[str, list[list[str]]]:
         if bare == "or":
             choice = bool(out["all"])
             continue
-        terms = [stem_word(w) for w in re.findall(r"[a-z0-9]+", quoted or bare) if w not in STOP]
+        terms = [stem_word(w) for w in words_of(quoted or bare) if w not in STOP]
         if quoted:
-            out["phrases"].append(re.findall(r"[a-z0-9]+", quoted))
+            out["phrases"].append(words_of(quoted))
             out["all"] += [[t] for t in terms]
         elif bare.startswith("-"):
             out["none"] += [[t] for t in terms]
@@ -66,38 +103,50 @@ def parse(query: str) -> dict[str, list[list[str]]]:
         else:
             out["all"] += [[t] for t in terms]
         choice = False
+    # what is asked for twice is asked for once
+    out["all"] = [list(c) for c in dict.fromkeys(tuple(dict.fromkeys(c)) for c in out["all"])]
     return out
 
 
-def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None) -> DataFrame:
     """The best pages with ``score`` (rounded to 6 places); ties in store order. A blank query finds nothing.
 
-    Only postings of the query's terms are read and grouped; contents are joined for the winners alone.
+    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped; contents
+    are joined for phrases, and titles for the winners.
     """
     groups = parse(query)
-    terms = [(t, g) for g, choice in enumerate(groups["all"]) for t in choice]
-    if not terms:
-        return index.limit(0).select(*PAGE, F.lit("").alias("title"), F.lit(0.0).alias("score"))
-    group = F.create_map(*[F.lit(x) for t, g in dict(terms).items() for x in (t, g)])[F.col("term")]
-    weight = F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
-    hits = index.where(F.col("term").isin([t for t, _ in terms])).groupBy(*PAGE).agg(F.sum(weight).alias("weight"), F.count_distinct(group).alias("met"))
-    hits = hits.where(F.col("met") == len(groups["all"]))
+    scope = F.lit(True)
+    for name, value in (("technology", technology), ("version", version)):
+        scope = scope & (F.col(name) == value) if value is not None else scope
+    of_term: dict[str, list[int]] = {}
+    for g, choice in enumerate(groups["all"]):
+        for t in choice:
+            of_term.setdefault(t, []).append(g)
+    phrases = [p for p in groups["phrases"] if p]
+    if of_term:
+        met = F.create_map(*[x for t, gs in of_term.items() for x in (F.lit(t), F.array(*map(F.lit, gs)))])[F.col("term")]
+        weight = F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
+        hits = of_terms(index, list(of_term)).where(scope).groupBy(*PAGE, "words").agg(F.sum(weight).alias("weight"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met"))
+        hits = hits.where(F.size("met") == len(groups["all"]))
+    else:  # stop words alone have no postings
+        hits = pages.where(scope & F.lit(bool(phrases))).select(*PAGE, F.lit(0).alias("words"), F.lit(0.0).alias("weight"))
     for forbidden in groups["none"]:
-        hits = hits.join(index.where(F.col("term").isin(forbidden)), PAGE, "left_anti")
-    text = pages.select(*PAGE, "title", F.length("content").alias("size"), "content")
-    found = hits.join(text, PAGE)
-    for phrase in groups["phrases"]:
-        found = found.where(F.lower("content").rlike(r"\b" + r"[^a-z0-9]+".join(phrase) + r"\b"))
-    score = F.round(F.col("weight") / (1 + F.ln(1 + F.col("size"))), 6)
-    top = found.select(*PAGE, "title", score.alias("score"))
-    return top.orderBy(F.col("score").desc(), *PAGE).limit(max(1, min(100, limit)))
+        hits = hits.join(of_terms(index, forbidden), PAGE, "left_anti")
+    if phrases:
+        hits = hits.join(pages.where(scope).select(*PAGE, F.lower("content").alias("content")), PAGE)
+        for phrase in phrases:
+            hits = hits.where(F.col("content").rlike(rf"(^|{GAP})" + GAP.join(phrase) + rf"($|{GAP})"))
+    score = F.round(F.col("weight") / (1 + F.ln(1 + F.col("words"))), 6)
+    order = [F.col("score").desc(), *PAGE]
+    top = hits.select(*PAGE, score.alias("score")).orderBy(*order).limit(max(1, min(100, limit)))
+    return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
 
 
 def headline(hits: DataFrame, pages: DataFrame, query: str) -> DataFrame:
     """A fragment of at most 18 words around each hit's first match, the matches in « »."""
     terms = [t for choice in parse(query)["all"] for t in choice]
     tokens = F.filter(F.split("content", r"\s+"), lambda w: w != "")
-    hit = lambda w: stem(F.regexp_replace(F.lower(w), r"[^a-z0-9]+", "")).isin(terms)
+    hit = lambda w: stem(F.regexp_replace(F.lower(w), GAP, "")).isin(terms)
     rows = hits.join(pages.select(*PAGE, tokens.alias("t")), PAGE)
     at = F.array_position(F.transform("t", lambda w: hit(w).cast("int")), 1).cast("int")
     part = F.slice("t", F.greatest(F.lit(1), at - 6), 18)

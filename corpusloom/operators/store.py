@@ -31,7 +31,9 @@ def recency() -> Column:
 
 
 def page_sizes(pages: DataFrame) -> DataFrame:
-    return pages.groupBy(*KEYS).agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("characters"))
+    """Pages and characters of each version; a saved store knows its pages' lengths, and no content is read."""
+    length = F.col("characters") if "characters" in pages.columns else F.length("content")
+    return pages.groupBy(*KEYS).agg(F.count("*").alias("pages"), F.sum(length).cast("long").alias("characters"))
 
 
 def version_list(doc_versions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -70,9 +72,23 @@ def replace_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select(*KEYS).distinct(), KEYS, "left_anti").unionByName(new)
 
 
+def with_ordinals(pages: DataFrame) -> DataFrame:
+    """``pages`` with ordinals 1 to n in each version, in the order of those given and of URLs; equal ones stay equal."""
+    place = Window.partitionBy(*KEYS).orderBy("ordinal", "url")
+    numbers = pages.select(*KEYS, "ordinal", "url").distinct().withColumn("number", F.row_number().over(place).cast("long")).alias("r")
+    same = F.lit(True)
+    for c in (*KEYS, "ordinal", "url"):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    kept = [F.col("r.number").alias("ordinal") if c == "ordinal" else F.col(f"l.{c}") for c in pages.columns]
+    return pages.alias("l").join(numbers, same).select(*kept)
+
+
 def save(new: DataFrame, path: str) -> None:
-    """Replace the partitions of ``new`` in the stored table; versions that it does not hold stay."""
-    writer = new.repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal").write.mode("overwrite")
+    """Replace the partitions of ``new`` in the stored table, pages numbered from 1; versions that it does not hold stay.
+
+    Readers that ask for a technology or version read its folders alone; ``characters`` keeps each content's length.
+    """
+    writer = with_ordinals(new).withColumn("characters", F.length("content").cast("long")).repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal").write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 

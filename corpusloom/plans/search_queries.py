@@ -1,34 +1,35 @@
-"""Inverted index and ranked search (R4-R8, J2) over the page store."""
+"""Inverted index and ranked search (R4-R8, J2) over the page store, and over a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
 from corpusloom.operators import search
 from corpusloom.plans.fixtures import STORE, store
+from corpusloom.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
 STEM = "regexp_replace({w}, '^(.{{3,}}?)(ing|ed|es|ly|s)$', '\\1')"
 STOP = ", ".join(f"'{w}'" for w in search.STOP)
-WORDS = "list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda w: w <> '')"
+WORDS = "list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
 def unnested(field: str, text: str) -> str:
-    words = WORDS.format(t=text)
-    return f"SELECT technology, version, ordinal, '{field}' AS field, unnest({words}) AS word, generate_subscripts({words}, 1) - 1 AS pos FROM store"
+    words, count = WORDS.format(t=text), WORDS.format(t="content")
+    return f"SELECT technology, version, ordinal, '{field}' AS field, len({count}) AS words, unnest({words}) AS word, generate_subscripts({words}, 1) - 1 AS pos FROM store"
 
 
 HEAD = f"""{STORE}, each AS ({unnested('A', 'title')} UNION ALL {unnested('B', 'content')}),
-postings AS (SELECT {STEM.format(w='word')} AS term, technology, version, ordinal, field, count(*) AS n, CAST(min(pos) AS INTEGER) AS first FROM each WHERE word NOT IN ({STOP}) GROUP BY ALL)"""
+postings AS (SELECT {STEM.format(w='word')} AS term, technology, version, ordinal, field, count(*) AS n, CAST(min(pos) AS INTEGER) AS first, words FROM each WHERE word NOT IN ({STOP}) GROUP BY ALL)"""
 
 
 def score_sql(groups: list[list[str]], limit: int, where: str = "true") -> str:
     """The score formula over the postings, for one parsed query."""
     terms = ", ".join(f"'{t}'" for g in groups for t in g)
-    number = "CASE term " + " ".join(f"WHEN '{t}' THEN {k}" for k, g in enumerate(groups) for t in g) + " END"
-    return f"""hits AS (SELECT technology, version, ordinal, sum(CASE WHEN field = 'A' THEN 1.0::DOUBLE * least(n, 3) ELSE 0.4::DOUBLE * least(n, 10) END) AS weight, count(DISTINCT {number}) AS met
+    met = " AND ".join(f"bool_or(term IN ({', '.join(repr(t) for t in g)}))" for g in groups)
+    return f"""hits AS (SELECT technology, version, ordinal, words, sum(CASE WHEN field = 'A' THEN 1.0::DOUBLE * least(n, 3) ELSE 0.4::DOUBLE * least(n, 10) END) AS weight, {met} AS met
   FROM postings WHERE term IN ({terms}) GROUP BY ALL),
-top AS (SELECT technology, version, ordinal, title, round(weight / (1 + ln(1 + length(content))), 6) AS score FROM hits JOIN store USING (technology, version, ordinal) WHERE met = {len(groups)} AND {where}
+top AS (SELECT technology, version, ordinal, title, round(weight / (1 + ln(1 + words)), 6) AS score FROM hits JOIN store USING (technology, version, ordinal) WHERE met AND {where}
   ORDER BY score DESC, technology, version, ordinal LIMIT {limit})"""
 
 
@@ -48,6 +49,38 @@ def groups(query: str) -> list[list[str]]:
     return search.parse(query)["all"]
 
 
+#: Where each session keeps the index of each data folder.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, d):
+    """The stored index of ``d``, written at the first use in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in STORED:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(store(spark, d), path)
+        STORED[key] = path
+    return search.read_index(spark, STORED[key])
+
+
+def ranked_stored(query: str, limit: int, **scope):
+    return lambda spark, d: search.ranked(stored(spark, d), store(spark, d), query, limit, **scope)
+
+
+def ranked_sql(query: str, limit: int, where: str = "true") -> str:
+    return f"WITH {HEAD}, {score_sql(groups(query), limit, where)} SELECT * FROM top"
+
+
+QUERIES["r4_stored_index"] = ranked_stored("released license", 20)
+ORACLES["r4_stored_index"] = ranked_sql("released license", 20)
+QUERIES["r4_repeated_words"] = ranked_stored('license license "under the" license', 100)
+ORACLES["r4_repeated_words"] = ranked_sql("license under", 100, r"regexp_matches(lower(content), '(^|[^\p{L}\p{N}]+)the[^\p{L}\p{N}]+license($|[^\p{L}\p{N}]+)')")
+QUERIES["r4_accented_words"] = ranked_stored("für", 100)
+ORACLES["r4_accented_words"] = ranked_sql("für", 100)
+QUERIES["r4_version_search"] = ranked_stored("für", 100, version="1.9")
+ORACLES["r4_version_search"] = ranked_sql("für", 100, "version = '1.9'")
+QUERIES["r4_scoped_search"] = ranked_stored("für", 100, technology="src7")
+ORACLES["r4_scoped_search"] = ranked_sql("für", 100, "technology = 'src7'")
 QUERIES["r4_ranked_search"] = ranked("released license", 20)
 ORACLES["r4_ranked_search"] = f"WITH {HEAD}, {score_sql(groups('released license'), 20)} SELECT * FROM top"
 QUERIES["r4_j2_ranked_search"] = ranked("under license", 50)
@@ -55,7 +88,7 @@ ORACLES["r4_j2_ranked_search"] = f"WITH {HEAD}, {score_sql(groups('under license
 QUERIES["r5_query_syntax"] = ranked('apache or mit -version "under the"', 30)
 ORACLES["r5_query_syntax"] = (
     f"WITH {HEAD}, "
-    + score_sql([["apache", "mit"], ["under"]], 30, r"regexp_matches(lower(content), '\bunder[^a-z0-9]+the\b') AND NOT EXISTS (SELECT 1 FROM postings p WHERE p.term = 'version' AND p.technology = store.technology AND p.version = store.version AND p.ordinal = store.ordinal)")
+    + score_sql([["apache", "mit"], ["under"]], 30, r"regexp_matches(lower(content), '(^|[^\p{L}\p{N}]+)under[^\p{L}\p{N}]+the($|[^\p{L}\p{N}]+)') AND NOT EXISTS (SELECT 1 FROM postings p WHERE p.term = 'version' AND p.technology = store.technology AND p.version = store.version AND p.ordinal = store.ordinal)")
     + " SELECT * FROM top"
 )
 QUERIES["r8_section_ranked"] = lambda spark, d: search.ranked(search.postings(store(spark, d).where("version = '2.11'")), store(spark, d), "license", 40)
@@ -68,7 +101,7 @@ def r6(spark, d):
 
 
 QUERIES["r6_headline"] = r6
-HIT = f"{STEM.format(w=chr(34) + 'x' + chr(34))}".replace('"x"', "regexp_replace(lower(w), '[^a-z0-9]+', '', 'g')")
+HIT = f"{STEM.format(w=chr(34) + 'x' + chr(34))}".replace('"x"', "regexp_replace(lower(w), '[^\\p{L}\\p{N}]+', '', 'g')")
 ORACLES["r6_headline"] = f"""WITH {HEAD}, {score_sql([['license']], 20)},
 t AS (SELECT technology, version, ordinal, list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '') AS t FROM top JOIN store USING (technology, version, ordinal)),
 a AS (SELECT *, coalesce(list_position(list_transform(t, lambda w: {HIT} = 'license'), true), 0) AS at_ FROM t)

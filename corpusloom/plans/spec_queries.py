@@ -10,7 +10,7 @@ from corpusloom.operators import apispec as a
 from corpusloom.operators import chat
 from corpusloom.plans.fixtures import captures, table
 from corpusloom.session import shared_dir
-from corpusloom.streaming.ingest import ingest
+from corpusloom.streaming.ingest import STORED, ingest
 
 QUERIES, ORACLES = {}, {}
 PATHS = "paths AS (SELECT p_brand AS spec, '/' || lower(p_type) || '/{id}' AS path, CASE WHEN max(p_size) >= 25 THEN true ELSE false END AS big, min(p_size) AS low FROM part GROUP BY ALL), ops AS (SELECT *, 'get' AS method FROM paths UNION ALL SELECT *, 'post' FROM paths WHERE big)"
@@ -112,6 +112,6 @@ def st1(spark, d):
     rows = captures(spark, d).withColumn("harvested_at", F.lit("2026-08-20").cast("timestamp"))
     rows.write.parquet(f"{root}/in")
     ingest(spark, f"{root}/in", f"{root}/store", f"{root}/state").awaitTermination()
-    stored = spark.read.schema("ordinal long, title string, url string, content string, technology string, version string").parquet(f"{root}/store")
+    stored = spark.read.schema(STORED).parquet(f"{root}/store")
     return stored.groupBy("technology", "version").agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("characters"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import versions
 from corpusloom.operators import store as s
 from corpusloom.plans.fixtures import DOC_VERSIONS, KEY_SQL, STORE, doc_versions, store
-from corpusloom.session import number_rows
+from corpusloom.session import number_rows, shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,6 +23,20 @@ def query(name: str, sql: str, head: str = DOC_VERSIONS):
     return register
 
 
+#: Where each session keeps the saved store of each data folder.
+SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved(spark, d):
+    """The store as ``save`` leaves it, written at the first use in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SAVED:
+        path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        s.save(store(spark, d), path)
+        SAVED[key] = path
+    return spark.read.schema(f"{s.PAGE_SCHEMA}, characters long").parquet(SAVED[key])
+
+
 SIZED = "+ sized AS (SELECT technology, version, count(*) AS pages, CAST(sum(length(content)) AS BIGINT) AS characters FROM store GROUP BY ALL)"
 MERGED = "CASE WHEN count(*) FILTER (WHERE NOT complete) > 0 THEN false WHEN count(*) > count(complete) THEN NULL ELSE true END"
 RECENT = f"struct_pack(k := {KEY_SQL}, h := harvested_at, v := version)"
@@ -33,6 +49,24 @@ def a1(spark, d):
     return s.technology_list(doc_versions(spark, d), store(spark, d), "SRC1")
 
 
+@query("a1_saved_technologies", f"""{SIZED} SELECT technology, count(*) AS versions, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(characters) AS BIGINT) AS characters,
+  max_by(version, {RECENT}) AS latest, strftime(max(harvested_at), '%Y-%m-%d %H:%M') AS last_harvest, {MERGED} AS complete
+  FROM doc_versions JOIN sized USING (technology, version) GROUP BY technology""")
+def a1_saved(spark, d):
+    return s.technology_list(doc_versions(spark, d), saved(spark, d))
+
+
+@query("k1_saved_ordinals", "SELECT technology, version, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal, url) AS ordinal, url, length(content) AS characters FROM store", STORE)
+def k1_saved(spark, d):
+    return saved(spark, d).select("technology", "version", "ordinal", "url", "characters")
+
+
+@query("s10_pruned_scan", """SELECT technology, version, ordinal, title, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal, url) AS number FROM store WHERE technology = 'src7' AND version IN ('1.9', 'latest'))""".replace("version, ordinal, title", "version, number AS ordinal, title"), STORE)
+def s10(spark, d):
+    return saved(spark, d).where("technology = 'src7' AND version IN ('1.9', 'latest')").select("technology", "version", "ordinal", "title", "content")
+
+
 @query("a2_versions", f"{SIZED} SELECT technology, version, source, strategy, complete, expected, pages, characters FROM doc_versions JOIN sized USING (technology, version)")
 def a2(spark, d):
     return s.version_list(doc_versions(spark, d), store(spark, d)).drop("harvested_at")
