@@ -74,7 +74,7 @@ def ranked_sql(query: str, limit: int, where: str = "true") -> str:
 QUERIES["r4_stored_index"] = ranked_stored("released license", 20)
 ORACLES["r4_stored_index"] = ranked_sql("released license", 20)
 QUERIES["r4_repeated_words"] = ranked_stored('license license "under the" license', 100)
-ORACLES["r4_repeated_words"] = ranked_sql("license under", 100, r"regexp_matches(lower(content), '(^|[^\p{L}\p{N}]+)the[^\p{L}\p{N}]+license($|[^\p{L}\p{N}]+)')")
+ORACLES["r4_repeated_words"] = ranked_sql("license under", 100, r"regexp_matches(lower(content), '(^|[^\p{L}\p{N}]+)under[^\p{L}\p{N}]+the($|[^\p{L}\p{N}]+)')")
 QUERIES["r4_accented_words"] = ranked_stored("für", 100)
 ORACLES["r4_accented_words"] = ranked_sql("für", 100)
 QUERIES["r4_version_search"] = ranked_stored("für", 100, version="1.9")

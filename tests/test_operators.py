@@ -62,20 +62,20 @@ def verdict(spark, name, url, body, ecosystem="", repository="", homepage="", vi
 
 
 def test_identity(spark):
-    assert verdict(spark, "effect", "https://other.com/", "effect " * 40) == (["names-it:40"], False)
-    assert verdict(spark, "effect", "https://effect.website/", "effect " * 4)[1] is True
-    assert verdict(spark, "htmx", "https://github.com/x/htmx", "htmx " * 9)[1] is False
-    assert verdict(spark, "htmx", "https://x.com/", "npm install htmx htmx htmx", "npm") == (["install:npm", "names-it:3"], True)
-    assert verdict(spark, "htmx", "https://x.com/", "cargo add htmx htmx htmx", "npm")[1] is False
-    assert verdict(spark, "astro", "https://docs.astro.build/", "") == (["own-domain", "docs-host"], True)
-    assert verdict(spark, "htmx", "https://docs.rs/htmx", "htmx " * 9)[1] is False
+    body = "treadle " * 30
+    assert verdict(spark, "treadle", "https://elsewhere.com/", body) == (["names-it:30"], False)
+    assert verdict(spark, "treadle", "https://treadle.website/", "treadle " * 5)[1] is True
+    assert verdict(spark, "treadle", "https://github.com/weaver/treadle", body)[1] is False  # a forge's page is not its home
+    assert verdict(spark, "treadle", "https://elsewhere.com/", "npm install treadle, treadle, treadle", "npm") == (["install:npm", "names-it:3"], True)
+    assert verdict(spark, "treadle", "https://elsewhere.com/", "cargo add treadle, treadle, treadle", "npm")[1] is False  # another ecosystem
+    assert verdict(spark, "bobbin", "https://docs.bobbin.build/", "") == (["own-domain", "docs-host"], True)
 
 
 def test_alias(spark):
-    have = spark.createDataFrame([("effect",), ("react",), ("react-query",)], "technology string")
-    asked = spark.createDataFrame([("Effect.ts",), ("EFFECT",), ("effe",), ("rea",), ("react",), ("zzz",)], "asked string")
+    have = spark.createDataFrame([("treadle",), ("spool",), ("spool-rack",)], "technology string")
+    asked = spark.createDataFrame([("Treadle.js",), ("TREADLE",), ("tread",), ("spo",), ("spool",), ("knot",)], "asked string")
     found = {r["asked"]: r["technology"] for r in resolve.alias(asked, have).collect()}
-    assert found == {"Effect.ts": "effect", "EFFECT": "effect", "effe": "effect", "rea": None, "react": "react", "zzz": None}
+    assert found == {"Treadle.js": "treadle", "TREADLE": "treadle", "tread": "treadle", "spo": None, "spool": "spool", "knot": None}
 
 
 def test_toml_and_inventory(spark):
@@ -87,12 +87,19 @@ def test_toml_and_inventory(spark):
 
 
 def test_search(spark):
-    pages = spark.createDataFrame([("t", "1", 1, "Retry policy", "u", "use a retry with backoff"), ("t", "1", 2, "Other", "u", "retry only")], PAGE)
+    pages = spark.createDataFrame([("t", "1", 1, "Retry policy", "u", "use a retry with a backoff"), ("t", "1", 2, "Other", "u", "retry only")], PAGE)
     index = search.postings(pages)
     assert [r["ordinal"] for r in search.ranked(index, pages, "retry backoff").collect()] == [1]
     assert [r["ordinal"] for r in search.ranked(index, pages, "retry").collect()] == [1, 2]
     assert [r["ordinal"] for r in search.ranked(index, pages, "retry -backoff").collect()] == [2]
     assert search.ranked(index, pages, "  ").count() == 0
+    # words that repeat, words of other scripts, stop words alone, scopes
+    assert [r["ordinal"] for r in search.ranked(index, pages, 'retry retry "retry with" retry').collect()] == [1]
+    assert [r["ordinal"] for r in search.ranked(index, pages, '"with a"').collect()] == [1]
+    other = spark.createDataFrame([("t", "1", 1, "Été", "u", "l'été à la plage"), ("t", "2", 2, "Straße", "u", "don't été"), ("u", "1", 3, "t", "u", "t")], PAGE)
+    found = lambda q, **kw: [(r["technology"], r["version"]) for r in search.ranked(search.postings(other), other, q, **kw).collect()]
+    assert found("été") == [("t", "1"), ("t", "2")] and found("straße") == [("t", "2")] and found("t") == [("u", "1"), ("t", "2")]
+    assert found("été", version="2") == [("t", "2")] and found("été", technology="u") == []
     hit = search.headline(search.ranked(index, pages, "backoff"), pages, "backoff").first()["headline"]
     assert "«backoff»" in hit
 
@@ -102,10 +109,52 @@ def test_history_takes_the_window_first(spark):
     assert chat.history(rows).count() == 34
 
 
-def test_streaming_ingest_is_idempotent(spark):
+def test_search_over_a_stored_index(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/index"
+    pages = spark.createDataFrame([("t", "1", i, f"page {i}", "u", f"word{i} common") for i in range(30)], PAGE)
+    search.write_index(pages, path)
+    stored = search.read_index(spark, path)
+    found = search.ranked(stored, pages, "word7 common")
+    assert [r["ordinal"] for r in found.collect()] == [7]
+    of_term = search.of_terms(stored, ["word7"])
+    assert len(of_term.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(part" in of_term._jdf.queryExecution().toString().replace("PartitionFilters: [part", "PartitionFilters: [isnotnull(part")
+
+
+def test_saved_store_is_numbered_and_pruned(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/store"
+    store.save(spark.createDataFrame([("t", "1", k, "a", f"u{k}", "x" * k) for k in (40, 7, 19)] + [("s", "2", 5, "b", "u", "yy")], PAGE), path)
+    saved = spark.read.schema(f"{PAGE}, characters long").parquet(path)
+    assert sorted((r["ordinal"], r["url"], r["characters"]) for r in saved.where("technology = 't'").collect()) == [(1, "u7", 7), (2, "u19", 19), (3, "u40", 40)]
+    plan = store.page_sizes(saved.where("technology = 't'"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(technology" in plan and "ReadSchema: struct<characters:bigint>" in plan
+
+
+def test_deep_crawl_ends(spark):
+    chain = [f"https://x.dev/docs/p{i}" for i in range(24)]
+    links = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "src string, dst string")
+    start = spark.createDataFrame([("s", chain[0], "x.dev", "/docs/")], "site string, url string, host string, prefix string")
+    assert sorted(r["depth"] for r in crawl.reachable(start, links).collect()) == list(range(24))
+
+
+def captured(spark, rows):
+    made = [(i, f"https://loom.dev/v1/p{p}", 200, "text/html", f"<title>t{p}</title><p>{body}", when) for i, p, body, when in rows]
+    return spark.createDataFrame(made, "id long, url string, status int, content_type string, body string, harvested_at string").withColumn("harvested_at", F.col("harvested_at").cast("timestamp"))
+
+
+def test_streaming_ingest_merges_batches_of_one_version(spark):
     root = tempfile.mkdtemp(prefix="spark-")
-    rows = spark.createDataFrame([(i, f"https://x.dev/v1/p{i}", 200, "text/html", f"<title>t{i}</title><p>body {i}") for i in range(4)], "id long, url string, status int, content_type string, body string").withColumn("harvested_at", F.lit("2026-08-20").cast("timestamp"))
-    rows.write.parquet(f"{root}/in")
-    for state in ("a", "b"):
-        ingest(spark, f"{root}/in", f"{root}/store", f"{root}/{state}").awaitTermination()
-    assert spark.read.schema(PAGE).parquet(f"{root}/store").count() == 4
+    batches = [[(i, i, f"old {i}", "2031-02-03") for i in range(4)], [(9, 1, "new 1", "2031-02-04"), (10, 7, "more", "2031-02-04")], [(11, 2, "stale", "2031-01-01")]]
+    for batch in batches:
+        captured(spark, batch).write.mode("append").parquet(f"{root}/in")
+        ingest(spark, f"{root}/in", f"{root}/store", f"{root}/state").awaitTermination()
+    # of each URL the newest capture, in the order of ids
+    newest = {}
+    for i, p, body, when in (row for batch in batches for row in batch):
+        newest[p] = max(newest.get(p, ("", 0, "")), (when, i, body))
+    expected = [(k + 1, f"https://loom.dev/v1/p{p}", body) for k, (p, (_, _, body)) in enumerate(sorted(newest.items(), key=lambda x: x[1][1]))]
+    rows = spark.read.schema(PAGE).parquet(f"{root}/store").orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["url"], r["content"]) for r in rows] == expected
+    # all captures again, as from a lost checkpoint: the same store
+    ingest(spark, f"{root}/in", f"{root}/store", f"{root}/other").awaitTermination()
+    again = spark.read.schema(PAGE).parquet(f"{root}/store").orderBy("ordinal").collect()
+    assert again == rows
