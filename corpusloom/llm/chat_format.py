@@ -1,11 +1,12 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
 The states are the roles; the observations of a line are its speaker marker, if any, and shape features. Viterbi
-runs in three steps, so that one conversation may be larger than a task: each segment (a row of the transcript)
-gives the best score from any role before it to any role at its end; segments are combined in chunks of at most
-``CHUNK`` rows, by their number in the documented order, and the chunks of a conversation in one small table, where
-the best roles at the chunks' borders are traced back; then each chunk, with its borders known, traces its own
-segments, and each segment its lines.
+runs in steps, so that one conversation may be larger than a task: each segment (a row of the transcript)
+gives the best score from any role before it to any role at its end; conversations are cut into chunks of at most
+``CHUNK`` rows, by their number in the documented order. Where a conversation has several chunks, the segments of each
+are combined and the best roles at the chunks' borders are traced back over the combinations. Then each chunk, with its
+borders known, traces its own segments, and each segment its lines. A segment may hold several turns: the role changes
+wherever its lines say so.
 
 Defined cases: a null or empty text is one blank line, which takes the role that fits around it and gives no
 turn; a null position comes first; rows with equal positions go by text; rows that repeat are parsed as often as
@@ -108,11 +109,11 @@ def trace(matrices: list[np.ndarray], start: np.ndarray, end: int | None) -> lis
 
 def label_lines(lines: list[str], before: int, after: int) -> list[int]:
     """The role of each line, given those before the segment and at its end."""
+    if len(lines) == 1:
+        return [after]
     emit = emissions(lines)
     start = NEXT[before] + emit[0]
     steps = [INSIDE + e for e in emit[1:]]
-    if not steps:
-        return [after]
     states = trace(steps, start, after)
     score = start[:, None] + steps[0]
     return [int(score[:, states[0]].argmax()), *states]
@@ -140,10 +141,6 @@ def _flat(m: np.ndarray) -> list[float]:
     return m.ravel().tolist()
 
 
-def _square(v: list[float]) -> np.ndarray:
-    return np.array(v).reshape(K, K)
-
-
 def deal(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``conv, pos, text``, the segment's transfer ``m``, ``number`` in the conversation and ``chunk``.
 
@@ -159,6 +156,24 @@ def deal(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return numbered.withColumn("chunk", F.floor(F.col("number") / chunk).cast("long"))
 
 
+def _matrices(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(-1, K, K)
+
+
+def _label(before: int | None, after: int | None, ms: list[np.ndarray], texts: list[str | None]) -> tuple[list[str], list[list[dict]]]:
+    """Roles and turns of one chunk; a chunk that is a whole conversation has no borders."""
+    begins = before is None or before < 0
+    start = START if begins else np.where(np.arange(K) == before, 0.0, -np.inf)
+    states = trace(ms, start, after)
+    if begins:
+        before = int((start[:, None] + ms[0])[:, states[0]].argmax())
+    turns = []
+    for text, was, now in zip(texts, [before, *states[:-1]], states, strict=True):
+        lines = split_lines(text)
+        turns.append(render(lines, label_lines(lines, was, now)))
+    return [ROLES[s] for s in states], turns
+
+
 def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per row of the transcript: ``conv, pos``, ``role`` (of its last line), ``turns`` and ``rendered``."""
     rows = with_names(rows, conv=conv_col, pos=pos_col, text=text_col).withColumn("pos", F.col("pos").cast("long"))
@@ -167,37 +182,57 @@ def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", tex
 
     def combine(table: pa.Table) -> pa.Table:
         total = None
-        for m in map(_square, table.sort_by("number")["m"].to_pylist()):
+        for m in _matrices(table.sort_by("number")["m"].combine_chunks()):
             total = m if total is None else through(total, m)
         return pa.table({"conv": table["conv"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "m": pa.array([_flat(total)], pa.list_(pa.float64()))})
 
-    chunks = measured.select("conv", "chunk", "number", "m").groupBy("conv", "chunk").applyInArrow(combine, f"conv {kind}, chunk long, m array<double>")
+    # only conversations of several chunks have borders
+    long = measured.where("number = " + str(chunk)).select(F.col("conv").alias("of")).distinct()
+    parts = measured.select("conv", "chunk", "number", "m").join(long, F.col("conv").eqNullSafe(F.col("of")), "left_semi")
+    chunks = parts.groupBy("conv", "chunk").applyInArrow(combine, f"conv {kind}, chunk long, m array<double>")
 
     def borders(table: pa.Table) -> pa.Table:
         table = table.sort_by([("chunk", "ascending")])
-        ms = [_square(m) for m in table["m"].to_pylist()]
-        states = trace(ms, START, None)
+        states = trace(list(_matrices(table["m"].combine_chunks())), START, None)
         before = [-1, *states[:-1]]
         return pa.table({"conv": table["conv"], "chunk": table["chunk"], "before": pa.array(before, pa.int32()), "after": pa.array(states, pa.int32())})
 
     ends = chunks.groupBy("conv").applyInArrow(borders, f"conv {kind}, chunk long, before int, after int")
     same = F.col("l.conv").eqNullSafe(F.col("r.conv")) & (F.col("l.chunk") == F.col("r.chunk"))
-    both = measured.alias("l").join(ends.alias("r"), same).select("l.*", "r.before", "r.after")
-
-    def label(table: pa.Table) -> pa.Table:
-        table = table.sort_by("number")
-        ms = [_square(m) for m in table["m"].to_pylist()]
-        before, after = table["before"][0].as_py(), table["after"][0].as_py()
-        start = START if before < 0 else np.where(np.arange(K) == before, 0.0, -np.inf)
-        states = trace(ms, start, after)
-        if before < 0:
-            before = int((start[:, None] + ms[0])[:, states[0]].argmax())
-        turns, roles = [], []
-        for text, was, now in zip(table["text"].to_pylist(), [before, *states[:-1]], states, strict=True):
-            lines = split_lines(text)
-            turns.append(render(lines, label_lines(lines, was, now)))
-            roles.append(ROLES[now])
-        kinds = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-        return pa.table({"conv": table["conv"], "pos": table["pos"], "role": pa.array(roles), "turns": pa.array(turns, kinds), "rendered": pa.array([canonical(t) for t in turns])})
+    both = measured.alias("l").join(ends.alias("r"), same, "left").select("l.*", "r.before", "r.after")
 
-    return both.groupBy("conv", "chunk").applyInArrow(label, f"conv {kind}, pos long, role string, turns array<struct<role:string,text:string>>, rendered string")
+    def label(batches):
+        """Chunks stand together and in order; one at a time is held, and a batch of results."""
+        kinds = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+        types = [None, pa.int64(), pa.string(), kinds, pa.string()]
+        out: list[list] = [[] for _ in types]
+        held: list[tuple] = []
+
+        def settle() -> None:
+            if held:
+                roles, turns = _label(held[0][4], held[0][5], [h[6] for h in held], [h[3] for h in held])
+                for c, v in zip(out, ([h[0] for h in held], [h[2] for h in held], roles, turns, map(canonical, turns)), strict=True):
+                    c.extend(v)
+                held.clear()
+
+        def result() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["conv", "pos", "role", "turns", "rendered"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            types[0] = batch.schema.field("conv").type
+            columns = [batch.column(c).to_pylist() for c in ("conv", "chunk", "pos", "text", "before", "after")]
+            for row in zip(*columns, _matrices(batch.column("m")), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    settle()
+                    if len(out[0]) >= 1000:
+                        yield result()
+                held.append(row)
+        settle()
+        if out[0]:
+            yield result()
+
+    ordered = both.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "number")
+    return ordered.mapInArrow(label, f"conv {kind}, pos long, role string, turns array<struct<role:string,text:string>>, rendered string")
