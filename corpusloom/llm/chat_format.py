@@ -37,7 +37,8 @@ MARKERS = {
 }
 LABEL = "|".join(f"(?P<{role}>{names})" for role, names in MARKERS.items())
 MARKER = re.compile(rf"\s*(?:<\|(?:im_start\|>)?\s*|\[|#{{1,4}}\s*|\*\*)?(?:{LABEL})\s*(?:\|>|\]|\*\*)?\s*(?::\s*(?:\*\*)?|(?<=\|>)|(?<=\])|$)", re.IGNORECASE)
-#: Log chances. A marker nearly decides; without one, shapes lean a little. A new segment mostly changes the role.
+#: Log chances. A marker nearly decides; without one, shapes lean a little. A new segment mostly changes the role, and
+#: so does a line with a marker, which begins a turn; any other line mostly goes on in the same role.
 MARKED, UNMARKED = np.log(0.97), np.log(0.015)
 STAY, LEAVE = np.log(0.96), np.log(0.02)
 #: Of the role that stands, unseen, before a conversation: after an assistant's a user's turn is likely.
@@ -54,15 +55,17 @@ def marker(line: str) -> tuple[int, str]:
     return ROLES.index(m.lastgroup), line[m.end() :]
 
 
-def emissions(lines: list[str]) -> np.ndarray:
-    """Log chances of each line in each role (lines x roles)."""
-    out = np.zeros((len(lines), K))
+def emissions(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log chances of each line in each role (lines x roles), and of the change of roles at each line."""
+    out, change = np.zeros((len(lines), K)), [NEXT] * len(lines)
     for i, line in enumerate(lines):
         role, rest = marker(line)
         if role >= 0:
             out[i] = UNMARKED
             out[i, role] = MARKED
             continue
+        if i:
+            change[i] = INSIDE
         shape = np.zeros(K)
         if rest.rstrip().endswith("?"):
             shape += (-0.6, 0.4, -0.2)
@@ -71,7 +74,7 @@ def emissions(lines: list[str]) -> np.ndarray:
         if len(rest) > 400:
             shape += (-0.4, -0.4, 0.3)
         out[i] = shape
-    return out
+    return out, change
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -80,10 +83,10 @@ def split_lines(text: str | None) -> list[str]:
 
 def transfer(lines: list[str]) -> np.ndarray:
     """Best log chance from each role before the segment to each role of its last line."""
-    emit = emissions(lines)
-    best = NEXT + emit[0]
-    for e in emit[1:]:
-        best = (best[:, :, None] + INSIDE[None]).max(axis=1) + e
+    emit, change = emissions(lines)
+    best = change[0] + emit[0]
+    for e, c in zip(emit[1:], change[1:], strict=True):
+        best = (best[:, :, None] + c[None]).max(axis=1) + e
     return best
 
 
@@ -111,9 +114,9 @@ def label_lines(lines: list[str], before: int, after: int) -> list[int]:
     """The role of each line, given those before the segment and at its end."""
     if len(lines) == 1:
         return [after]
-    emit = emissions(lines)
-    start = NEXT[before] + emit[0]
-    steps = [INSIDE + e for e in emit[1:]]
+    emit, change = emissions(lines)
+    start = change[0][before] + emit[0]
+    steps = [c + e for e, c in zip(emit[1:], change[1:], strict=True)]
     states = trace(steps, start, after)
     score = start[:, None] + steps[0]
     return [int(score[:, states[0]].argmax()), *states]

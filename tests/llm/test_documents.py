@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -73,11 +74,26 @@ def brute_line_dedup(rows):
 def test_line_dedup(docs, rows):
     known = docs.where("doc_id is not null")  # rows without an id share one place in the order
     expected = brute_line_dedup([r for r in rows if r["doc_id"] is not None])
-    found = line_dedup.dedup_lines(known)
-    assert found.columns == [*docs.columns, "__removed"]
+    found = line_dedup.dedup_lines(known, count_col="went")
+    assert found.columns == [*docs.columns, "went"]
     for r in found.collect():
-        assert (r["text"], r["__removed"]) == expected[r["doc_id"]]
-    assert line_dedup.dedup_lines(docs).count() == docs.count()
+        assert (r["text"], r["went"]) == expected[r["doc_id"]]
+    assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    """Lines go by row; secrets and near-duplicates too, and names that operators might use do not clash."""
+    names = ["__id", "__at", "__removed", "__spans", "__rows", "key", "of", "row", "at", "id", "spans", "node"]
+    texts = [(5, "a\nb\nc\nd\nlast"), (5, "keep1\nkeep2\nkeep3\nkeep4"), (6, "a\nb\nc\nd\nother")]
+    docs = spark.createDataFrame([(*t, *("x" for _ in names)) for t in texts], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    cut = line_dedup.dedup_lines(docs)
+    assert cut.columns == docs.columns
+    assert {r["text"] for r in cut.collect()} == {texts[0][1], texts[1][1], "other"}
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [5, 6]
+    scanned = secret_scan.scan(docs.withColumn("owner", F.lit("o")).withColumn("repository", F.lit("r")))
+    redacted = secret_scan.redact(docs, scanned)
+    assert redacted.columns == docs.columns and {r["text"] for r in redacted.collect()} == {t for _, t in texts}
 
 
 def test_near_duplicates(docs, rows):
@@ -95,6 +111,55 @@ def test_near_duplicates(docs, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({i: 1 for i, c in component.items() if i == c} | {None: 2})
 
 
+def test_near_duplicates_in_hot_buckets(spark):
+    """2,000 exact copies, and hundreds of copies of one text at all distances, half of them below the threshold."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, n, fresh):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = f"x{rng.integers(fresh)}"
+        return words
+
+    texts = [" ".join(edited(base, n, 60)) for n in rng.integers(0, 16, 500)]
+    second = edited(base, 9, 10**9)  # a group of its own within the same buckets
+    texts += [" ".join(edited(second, n, 10**9)) for n in rng.integers(0, 3, 60)]
+    texts += ["common passage of many words that all hold " + " ".join(edited(base, n, 10**9)) for n in rng.integers(0, 14, 100)]
+    sets = [near_dup.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    size = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), len(values)), np.float32)
+    held[np.repeat(np.arange(len(sets)), size), at] = 1
+    common = held @ held.T
+    linked = 100 * common >= 75 * (size[:, None] + size[None] - common)
+    component = np.arange(len(sets))
+    while True:
+        least = np.where(linked, component[None], len(sets)).min(axis=1)
+        if (least == component).all():
+            break
+        component = least
+    assert len(set(component.tolist())) > 100 and np.bincount(component).max() > 150
+    rows = [*enumerate(texts), *((1000 + i, "one text that stands here many times over") for i in range(2000))]
+    found = {r["id"]: r["component"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == component.tolist()
+    assert {found[i] for i in range(1000, 3000)} == {1000}
+
+
+def test_no_link_is_below_its_estimate():
+    """The slack of the estimate at all sizes: pairs at the threshold are not dropped."""
+    rng = np.random.default_rng(8)
+    for n in (5, 12, 40, 120, 400, 3000):
+        shared = -(-6 * n // 7)  # n each, of which as many in common as the threshold asks
+        parts = []
+        for _ in range(60):
+            values = near_dup.mix64(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64))
+            parts += [np.sort(values[:n]), np.sort(np.concatenate([values[:shared], values[n : 2 * n - shared]]))]
+        regs = near_dup.registers(np.concatenate(parts), np.full(120, n))
+        sizes = np.full(60, n)
+        assert (near_dup.estimates(regs[::2], regs[1::2], sizes, sizes) >= 0.75 - near_dup.slack(sizes)).all()
+
+
 def test_near_duplicate_chain_in_one_bucket(spark):
     """A chain in which neighbours link and ends do not: the pairs beyond the pivots decide."""
     words = [f"w{i}" for i in range(400)]
@@ -216,6 +281,16 @@ def test_quality(docs, rows):
     assert 0 < len(texts) < len(rows)
 
 
+def test_quality_of_repetitive_texts():
+    """200 words are varied once and not sixty times over, at any length."""
+    rng = np.random.default_rng(5)
+    once = [f"word{i}" for i in rng.permutation(200)]
+    stats = lambda words: quality.statistics(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))
+    vote = lambda words: quality.votes(stats(words))[0, quality.NAMES.index("variety")]
+    assert vote(once) == 1 and vote(once * 60) == 0 and vote(["one"]) == 1
+    assert vote([f"word{i}" for i in rng.zipf(1.3, 20000)]) != 0
+
+
 def test_weak_labels_find_accuracies():
     rng = np.random.default_rng(2)
     good = rng.random(5000) < 0.85
@@ -255,7 +330,7 @@ def test_pipeline_stages(spark, docs, rows):
     cut = lines(spark, good, "").cache()
     expected = brute_line_dedup([r for r in good.collect() if r["doc_id"] is not None])
     for r in cut.where("doc_id is not null").collect():
-        assert r["n_chars"] == len(r["text"]) and (r["text"] == expected[r["doc_id"]][0] or good.where("doc_id is null").count())
+        assert r["n_chars"] == len(r["text"]) and r["text"] == expected[r["doc_id"]][0]
     one = near(spark, cut, "").cache()
     component, _ = components({r["doc_id"]: r["text"] for r in cut.collect() if r["doc_id"] is not None})
     assert {r["doc_id"] for r in one.collect() if r["doc_id"] is not None} == {i for i, c in component.items() if i == c}

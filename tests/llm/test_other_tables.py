@@ -1,9 +1,15 @@
 """Top-k search and chat formatting against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import chat_format, topk_search
+from corpusloom.llm.queries import transcripts
+from tests.conftest import DATA
 
 SCHEMA = "vec_id long, embedding array<float>, id long, vec string, rank int, score double"
 
@@ -35,6 +41,20 @@ def test_top_k(spark, monkeypatch, n, block):
     assert sorted(map(tuple, topk_search.top_k(given, every=10).collect())) == brute(rows, 5, 10)
 
 
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e300])
+def test_top_k_of_large_components_and_repeated_ids(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 120)), (rng.uniform(-1, 1, 6) * (size if k % 3 == 0 else 1)).tolist()) for k in range(240)]
+    rows += [rows[0], (50, [0.5] * 6), (50, [-0.5] * 6)]
+    ints = [(i, [max(-(2**56), min(2**56, math.floor(256 * x))) for x in v]) for i, v in rows]
+    expected = []
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in ints if i == q for j, w in ints if j != i)[:5]
+        expected += [(q, n + 1, j, max(-(2**63) + 1, min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    found = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_top_k_of_nothing(spark):
     _, given = vectors(spark, 3)
     assert topk_search.top_k(given.where("false")).count() == 0
@@ -45,9 +65,10 @@ def brute_roles(segments):
     """Viterbi over all lines of a conversation at once."""
     best, back, ends = None, [], []
     for text in segments:
-        emit = chat_format.emissions(chat_format.split_lines(text))
+        lines = chat_format.split_lines(text)
+        emit, _ = chat_format.emissions(lines)
         for i, e in enumerate(emit):
-            step = chat_format.NEXT if i == 0 else chat_format.INSIDE
+            step = chat_format.NEXT if i == 0 or chat_format.marker(lines[i])[0] >= 0 else chat_format.INSIDE
             score = (chat_format.START if best is None else best)[:, None] + step
             back.append(score.argmax(axis=0))
             best = score.max(axis=0) + e
@@ -77,3 +98,21 @@ def test_chat(spark):
     assert [[tuple(t) for t in r["turns"]] for r in turns] == [[("user", "hi\nthere")], [("assistant", "hello back")]]
     assert turns[0]["rendered"] == "<|user|>\nhi\nthere\n<|end|>\n"
     assert chat_format.parse(given.where("false")).count() == 0
+
+
+def test_one_text_of_several_turns(spark):
+    said = [("system", "be brief"), ("user", "what is a loom?\nand a shuttle?"), ("assistant", "- a frame\n- a boat"), ("user", "thanks")]
+    heads = [lambda r: f"{r.capitalize()}: ", lambda r: f"<|{r}|>\n", lambda r: f"### {r.capitalize()}:\n"]
+    rows = [(k, 0, "\n".join(head(r) + t for r, t in said)) for k, head in enumerate(heads)]
+    found = chat_format.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert all([tuple(t) for t in r["turns"]] == said for r in found)
+
+
+def test_unmarked_turns(spark):
+    """Of turns without a speaker's name most are found by what stands around them."""
+    given = transcripts(spark.read.parquet(f"{DATA}/conversations.parquet").where("role is not null and conv_id is not null"))
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0
+    truth = given.select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.col("role").alias("said"), bare.alias("bare"))
+    found = chat_format.parse(given, text_col="raw").join(truth, ["conv", "pos"])
+    right = {r["bare"]: r["right"] for r in found.groupBy("bare").agg(F.avg((F.col("role") == F.col("said")).cast("int")).alias("right")).collect()}
+    assert right[False] > 0.98 and right[True] > 0.85
