@@ -66,10 +66,14 @@ def links(captures: DataFrame) -> DataFrame:
 
 def follow_stubs(captures: DataFrame, most: int = 4000) -> DataFrame:
     """(id, url, target, landed): one hop of small pages that redirect by a meta tag or a script."""
-    meta = F.regexp_extract("body", r"(?i)<meta[^>]+http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*content\s*=\s*[\"'][^\"']*url\s*=\s*([^\"'\s>]+)", 1)
-    script = F.regexp_extract("body", r"(?i)location(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']", 1)
+    tag = F.regexp_extract("body", r"(?is)<meta\b(?=[^>]*\brefresh\b)[^>]*>", 0)
+    meta = F.regexp_extract(tag, r"(?i)\burl\s*=\s*([^\s\"'<>;]+)", 1)
+    # an assignment to the location or to its href, or a call of replace or assign
+    script = F.regexp_extract("body", r"(?i)\blocation\s*(?:\.\s*href\s*)?(?:=|\.\s*(?:replace|assign)\s*\()\s*[\"']([^\"']+)[\"']", 1)
     link = F.coalesce(F.nullif(meta, F.lit("")), F.nullif(script, F.lit("")))
-    stubs = captures.where(F.length("body") <= most).select("id", "url", urls.resolve(link, F.col("url")).alias("target")).where("target is not null")
+    # exploding keeps the optimiser from repeating the patterns in every filter on the target
+    found = captures.where(F.length("body") <= most).select("id", "url", F.explode(F.array(link)).alias("link")).where("link is not null")
+    stubs = found.select("id", "url", F.explode(F.array(urls.resolve(F.col("link"), F.col("url")))).alias("target")).where("target is not null")
     stubs = stubs.where(F.regexp_replace("target", "/$", "") != F.regexp_replace("url", "/$", ""))
     good = captures.where("status = 200").select(F.col("url").alias("target"), F.lit(True).alias("landed"))
     return stubs.join(good, "target", "left").select("id", "url", "target", F.coalesce("landed", F.lit(False)).alias("landed"))
@@ -94,49 +98,121 @@ def split_dumps(dumps: DataFrame, least_size: int = SPLIT_FROM) -> DataFrame:
     return rows.select("source", "part", title.alias("title"), urls.anchor(title).alias("anchor"), "markdown")
 
 
+#: Inline marks of Markdown, by tag.
+INLINE = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+BLOCKS = ("p", "div", "section", "article", "table", "blockquote", "main")
+
+
 class _Page(HTMLParser):
-    """Title, links and blocks of a page; tolerates tags that are never closed."""
+    """Title and Markdown of a page: headings, nested lists, tables, links, code, emphasis and paragraphs.
+
+    Tags that are never closed end with what they stand in.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.in_title, self.skip = "", False, []
-        self.open: list[tuple[str, list[int]]] = []
+        self.open: list[tuple[str, list[int], str]] = []
         self.out: list[str] = []
         self.areas: dict[int, list[str]] = {}
-        self.pre = 0
+        self.pre, self.lists, self.cells, self.heads = 0, [], 0, 0
 
     def _emit(self, piece: str) -> None:
         self.out.append(piece)
-        for _, areas in self.open:
+        for _, areas, _ in self.open:
             for a in areas:
                 self.areas[a].append(piece)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: (v or "") for k, v in attrs}
-        marks = a.get("class", "").split()
-        chrome = tag in CHROME_TAGS or a.get("role") in CHROME_ROLES or a.get("aria-hidden") == "true" or any(m in CHROME_CLASSES for m in marks)
-        if self.skip or chrome:
-            if tag not in VOID:
-                self.skip.append(tag)
-            return
+    def _break(self, lines: str) -> None:
+        """A cell of a table is one line."""
+        self._emit(" " if self.cells else lines)
+
+    def _begin(self, tag: str, a: dict[str, str]) -> str:
+        """Emits what a tag begins with; what it ends with."""
         if tag == "title":
             self.in_title = True
-        if tag in ("p", "div", "section", "article", "table", "tr", "ul", "ol", "blockquote", "main"):
-            self._emit("\n\n")
+        elif tag in BLOCKS:
+            self._break("\n\n")
         elif re.fullmatch("h[1-6]", tag):
-            self._emit("\n\n" + "#" * int(tag[1]) + " ")
+            self._break("\n\n" + "#" * int(tag[1]) + " ")
+            return "\n\n"
+        elif tag in ("ul", "ol"):
+            if not self.lists:
+                self._break("\n\n")
+            self.lists.append(0 if tag == "ol" else None)
         elif tag == "li":
-            self._emit("\n- ")
+            if self.lists and self.lists[-1] is not None:
+                self.lists[-1] += 1
+            mark = "- " if not self.lists or self.lists[-1] is None else f"{self.lists[-1]}. "
+            self._break("\n" + "  " * (len(self.lists) - 1) + mark)
         elif tag == "br":
-            self._emit("\n")
+            self._break("\n")
+        elif tag == "tr":
+            self._emit("\n|")
+            self.heads = 0
+        elif tag in ("td", "th"):
+            self.cells += 1
+            self.heads += tag == "th"
+            self._emit(" ")
+            return " |"
         elif tag == "pre":
             self.pre += 1
             self._emit("\n\n```\n")
+            return "\n```\n\n"
+        elif self.pre:
+            return ""
+        elif tag == "code":
+            self._emit("`")
+            return "`"
+        elif tag in INLINE:
+            self._emit(INLINE[tag])
+            return INLINE[tag]
+        elif tag == "a" and a.get("href"):
+            self._emit("[")
+            return f"]({a['href']})"
+        return ""
+
+    def _end(self) -> None:
+        """Ends the innermost open tag."""
+        tag, _, last = self.open[-1]
+        if tag == "tr" and self.heads:
+            last = "\n|" + " --- |" * self.heads
+        elif tag in ("td", "th"):
+            self.cells -= 1
+        elif tag == "pre":
+            self.pre -= 1
+        elif tag in ("ul", "ol"):
+            self.lists.pop()
+            last = "" if self.lists or self.cells else "\n\n"
+        elif tag == "title":
+            self.in_title = False
+        if last:
+            self._emit(last)
+        self.open.pop()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: (v or "") for k, v in attrs}
+        marks = a.get("class", "").split()
+        chrome = tag in CHROME_TAGS or a.get("role") in CHROME_ROLES or a.get("aria-hidden") == "true" or any(m in CHROME_CLASSES for m in marks)
+        if self.skip or chrome:
+            if tag not in VOID:
+                self.skip.append(tag)
+            return
+        # an item, row or cell ends the one before it
+        inner = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(tag)
+        if inner:
+            same = ("td", "th") if tag in ("td", "th") else (tag,)
+            names = [t for t, _, _ in self.open]
+            at = max((i for i, t in enumerate(names) if t in same), default=-1)
+            if at > max((i for i, t in enumerate(names) if t in inner), default=-1):
+                while len(self.open) > at:
+                    self._end()
+        last = self._begin(tag, a)
         if tag not in VOID:
             mine = [i for i, c in enumerate(CONTENT) if i not in self.areas and (tag == c or c == f"#{a.get('id')}" or c[0] == "." and c[1:] in marks or c == f"[role={a.get('role')}]")]
             for i in mine:
                 self.areas[i] = []
-            self.open.append((tag, mine))
+            self.open.append((tag, mine, last))
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -144,24 +220,25 @@ class _Page(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
-        if tag == "title":
-            self.in_title = False
-        if tag == "pre" and self.pre:
-            self.pre -= 1
-            self._emit("\n```\n\n")
-        if any(t == tag for t, _ in self.open):
-            while self.open and self.open.pop()[0] != tag:
-                pass
+        if any(t == tag for t, _, _ in self.open):
+            ended = None
+            while ended != tag:
+                ended = self.open[-1][0]
+                self._end()
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
         elif not self.skip:
-            self._emit(data if self.pre else re.sub(r"\s+", " ", data))
+            text = data if self.pre else re.sub(r"\s+", " ", data)
+            if not self.pre and (not self.out or self.out[-1].endswith("\n")):
+                text = text.lstrip(" ")
+            if text:
+                self._emit(text)
 
 
 def _tidy(pieces: list[str]) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(pieces))).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(pieces))).strip()
 
 
 def page_of(html: str) -> tuple[str, str]:

@@ -36,9 +36,9 @@ def looks_like_software(body: Column, slug: Column) -> Column:
     """Why a page seems to be a software project's, else ''."""
     plain = F.regexp_replace(body, r"<[^>]+>", " ")
     return (
-        F.when(install_line(plain, slug) != "", "an install command")
-        .when(body.rlike(FORGE_LINK), "a link to its source repository")
-        .when(F.regexp_count(body, F.lit(r"(?i)<(?:code|pre)[\s>]")) >= 3, "code samples")
+        F.when(install_line(plain, slug) != "", "how to install it")
+        .when(body.rlike(FORGE_LINK), "where its source lives")
+        .when(F.regexp_count(body, F.lit(r"(?i)<(?:code|pre)[\s>]")) >= 3, "code to read")
         .otherwise("")
     )
 
@@ -87,7 +87,7 @@ def identified(found: Column) -> Column:
 
 def reason(found: Column, verified: Column) -> Column:
     listed = F.array_join(found, ", ")
-    return F.when(verified, F.concat(F.lit("identified by "), listed)).when(F.size(found) > 0, F.concat(F.lit("not enough to identify it: only "), listed)).otherwise("nothing on the page identifies it")
+    return F.when(verified, F.concat(F.lit("known by "), listed)).when(F.size(found) > 0, F.concat(F.lit("too little: "), listed)).otherwise("no sign of it on the page")
 
 
 def registry_candidates(payloads: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ signed AS (SELECT *, list_filter([CASE WHEN own THEN 'own-domain' END, CASE WHEN
 judged AS (SELECT *, CASE WHEN cargo AND strong < 2 THEN false ELSE strong >= 2 OR (strong = 1 AND hits >= 3) END AS verified FROM signed)"""
 
 
-@query("n9_n11_identity", "SELECT id, array_to_string(signals, ', ') AS signals, verified, CASE WHEN verified THEN 'identified by ' || array_to_string(signals, ', ') WHEN len(signals) > 0 THEN 'not enough to identify it: only ' || array_to_string(signals, ', ') ELSE 'nothing on the page identifies it' END AS reason FROM judged", NAMES + ", " + BODIES)
+@query("n9_n11_identity", "SELECT id, array_to_string(signals, ', ') AS signals, verified, CASE WHEN verified THEN 'known by ' || array_to_string(signals, ', ') WHEN len(signals) > 0 THEN 'too little: ' || array_to_string(signals, ', ') ELSE 'no sign of it on the page' END AS reason FROM judged", NAMES + ", " + BODIES)
 def n9(spark, d):
     rows = r.signals(bodies(spark, d))
     return rows.select("id", F.array_join("signals", ", ").alias("signals"), "verified", r.reason(F.col("signals"), F.col("verified")).alias("reason"))
@@ -147,7 +147,7 @@ def j6(spark, d):
     return bodies(spark, d).join(declared, "name").where(F.contains(F.lower("body"), F.substring(F.col("path"), F.lit(2), F.length("path")))).select("id")
 
 
-@query("n6_n8_software_gate", "SELECT id, CASE id % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'crates' ELSE '' END AS ecosystem, CASE WHEN id % 4 < 2 THEN 'an install command' WHEN id % 3 = 0 THEN 'a link to its source repository' ELSE '' END AS why, CASE WHEN id % 2 = 0 THEN 5 ELSE 2 END + CASE WHEN id % 4 < 2 THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS score FROM named")
+@query("n6_n8_software_gate", "SELECT id, CASE id % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'crates' ELSE '' END AS ecosystem, CASE WHEN id % 4 < 2 THEN 'how to install it' WHEN id % 3 = 0 THEN 'where its source lives' ELSE '' END AS why, CASE WHEN id % 2 = 0 THEN 5 ELSE 2 END + CASE WHEN id % 4 < 2 THEN 2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS score FROM named")
 def n6(spark, d):
     b = bodies(spark, d)
     plain = F.regexp_replace("body", r"<[^>]+>", " ")
@@ -172,7 +172,7 @@ def n4(spark, d):
     return r.probe_candidates(named(spark, d).select(F.concat(F.lit("https://"), "slug", F.lit(".io")).alias("origin")), site_captures(spark, d))
 
 
-@query("n5_n7_w10_own_domains", "SELECT slug AS name, 'https://' || CASE WHEN tld = 'io' THEN 'docs.example.com/' || slug ELSE slug || '.' || tld || '/' END AS url, tld, 'code samples' AS why, CASE WHEN tld = 'io' THEN 5 ELSE 0 END AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT slug, unnest(CASE WHEN id % 3 = 0 THEN ['io', 'org'] ELSE ['org', 'dev'] END) AS tld, unnest([1, 2]) AS rank FROM named WHERE id % 4 <> 0)")
+@query("n5_n7_w10_own_domains", "SELECT slug AS name, 'https://' || CASE WHEN tld = 'io' THEN 'docs.example.com/' || slug ELSE slug || '.' || tld || '/' END AS url, tld, 'code to read' AS why, CASE WHEN tld = 'io' THEN 5 ELSE 0 END AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT slug, unnest(CASE WHEN id % 3 = 0 THEN ['io', 'org'] ELSE ['org', 'dev'] END) AS tld, unnest([1, 2]) AS rank FROM named WHERE id % 4 <> 0)")
 def n5(spark, d):
     n = named(spark, d)
     tld = F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("dev"), F.lit("io"), F.lit("org"))).otherwise(F.array(F.lit("dev"), F.lit("org"), F.lit("dev2"))))

@@ -37,6 +37,22 @@ def test_page_extraction():
     assert extract.page_of("") == ("Untitled", "")
 
 
+def test_page_extraction_keeps_structure():
+    html = """<main><h2>Looms</h2><p>Use <code>weave()</code> and <a href="/warp">the <b>warp</b></a>.</p>
+    <ul><li>one<ul><li>inner</li></ul></li><li><em>two</em></ul><ol><li>first<li>second</ol>
+    <table><tr><th>name<th>size</tr><tr><td>shed<td><p>big</p></td></tr></table><pre>if x:
+    y()</pre></main>"""
+    _, body = extract.page_of(html + "<main>" + "word " * 60 + "</main>")
+    for part in ("## Looms", "Use `weave()` and [the **warp**](/warp).", "- one\n  - inner\n- *two*", "1. first\n2. second", "| name | size |\n| --- | --- |\n| shed |", "```\nif x:\n    y()\n```"):
+        assert part in body, (part, body)
+
+
+def test_stubs_by_script_and_meta(spark):
+    bodies = ["<script>window.location.replace('/b')</script>", "<script>location.href = \"/b\"</script>", "<meta content='0;URL=/b' http-equiv=refresh>", "<p>no stub</p>"]
+    rows = spark.createDataFrame([(i, f"https://x.dev/a{i}", 200, b) for i, b in enumerate(bodies)], "id long, url string, status int, body string")
+    assert sorted((r["id"], r["target"]) for r in extract.follow_stubs(rows).collect()) == [(i, "https://x.dev/b") for i in range(3)]
+
+
 def test_dump_split_keeps_every_word(spark):
     body = "<h1>Banner</h1>\n" + "\n".join(f"## s{i}\ntext {i}" for i in range(10))
     rows = extract.split_dumps(spark.createDataFrame([("s", body)], "source string, text string"), 10).orderBy("part").collect()
