@@ -5,13 +5,11 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format
 from corpusloom.operators import store
 from corpusloom.plans import capture_queries, crawl_queries, store_queries
 from corpusloom.session import number_rows
 from corpusloom.sources import captures as scans
 from tests.conftest import DATA
-from tests.llm.test_other_tables import brute_roles
 
 
 def test_number_rows_across_partitions(spark):
@@ -42,19 +40,6 @@ def test_dumps_hold_all_documents_of_a_source(spark):
     assert [(r["dump"], r["title"]) for r in found if r["source"] == "small"] == [(0, "A preamble")]
 
 
-def test_chat_chunks_stay_small_without_positions(spark):
-    talks = {None: [(i % 8, f"User: {i}" if i % 3 else f"why {i}?") for i in range(120)], 1: [(None, "hi")] * 50, 2: [(i, f"AI: {i}") for i in range(9)]}
-    rows = [(c, t, x) for c, turns in talks.items() for t, x in turns]
-    given = spark.createDataFrame(rows, "conv long, pos long, text string").repartition(3)
-    assert chat_format.deal(given, 16).groupBy("conv", "chunk").count().agg(F.max("count")).first()[0] <= 16
-    found = chat_format.parse(given, "conv", "pos", "text", chunk=16).collect()
-    for c, turns in talks.items():
-        order = sorted(turns, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        # equal rows of one position are told apart by the role alone
-        expected = Counter(zip((t for t, _ in order), brute_roles([x for _, x in order]), strict=True))
-        assert Counter((r["pos"], r["role"]) for r in found if r["conv"] == c) == expected
-
-
 def test_combined_blocks(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/blocks"
     rows = [("t", "1", 9, "a", "u", "ends in a line\n"), ("t", "1", 2, "", "v", "x\n\n---\n\n## inner\n\nSource: <w>\n\ny"), ("t", "2", 1, "c", "u", "")]
