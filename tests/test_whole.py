@@ -1,7 +1,6 @@
 """Whole jobs: every row takes part, and no group grows with a hot key."""
 
 import tempfile
-from collections import Counter
 
 from pyspark.sql import functions as F
 
