@@ -19,6 +19,7 @@ INSTALL = [
 ]
 STRONG = r"^(own-domain|docs-host|install:|repo-backlink|registry-agreement)"
 FORGE_LINK = r"(?i)https?://(?:www\.)?(?:github|gitlab|bitbucket)\.com/[\w.\-]+/"
+REGISTRIES = ["npm", "pypi", "crates"]
 MIN_TEXT, WINDOW, MOST = 200, 40_000, 6
 
 
@@ -126,13 +127,18 @@ def registry_order(answers: DataFrame, order: list[str]) -> DataFrame:
 
 def probe_candidates(origins: DataFrame, captures: DataFrame) -> DataFrame:
     """(origin, url, confidence) of conventional paths that are captured; a text index ends the search there."""
+    return probes(origins, captures).drop("pos")
+
+
+def probes(origins: DataFrame, captures: DataFrame) -> DataFrame:
+    """``probe_candidates`` with ``pos``, the path's place in the order of the search."""
     tried = origins.where(~urls.is_forge(F.col("origin"))).select("origin", F.posexplode(F.array(*map(F.lit, DOC_PATHS))).alias("pos", "path")).withColumn("url", F.concat("origin", "path"))
     found = tried.join(captures.where("status = 200").select("url", "content_type", "body"), "url")
     html = F.contains(F.lower("content_type"), F.lit("html"))
     good = F.when(F.col("path").endswith("llms.txt"), F.when(~html, 0.95)).when(html & ((F.length(text.visible_text(F.col("body"))) >= MIN_TEXT) | urls.is_docs_host(F.col("url"))), 0.70)
     rated = found.select("origin", "url", "pos", good.alias("confidence")).where("confidence is not null")
     stop = F.min(F.when(F.col("confidence") >= 0.95, F.col("pos"))).over(Window.partitionBy("origin"))
-    return rated.withColumn("stop", stop).where("stop is null or pos <= stop").select("origin", "url", "confidence")
+    return rated.withColumn("stop", stop).where("stop is null or pos <= stop").select("origin", "url", "pos", "confidence")
 
 
 def domain_candidates(wanted: DataFrame, captures: DataFrame) -> DataFrame:
@@ -146,6 +152,16 @@ def domain_candidates(wanted: DataFrame, captures: DataFrame) -> DataFrame:
     return rated.withColumn("rank", F.row_number().over(place)).where("rank <= 2").select("name", F.col("landed").alias("url"), "tld", "score", "why", "rank")
 
 
+def own_domain_candidates(wanted: DataFrame, captures: DataFrame) -> DataFrame:
+    """(name, url, source, confidence, place) of a name's own domains: what is probed under one stands before it."""
+    two = domain_candidates(wanted, captures).select("name", "url", F.concat(F.lit("domain:"), "tld").alias("source"), "rank")
+    roots = two.select("name", "rank", F.concat("source", F.lit("/probe")).alias("source"), urls.origin(F.col("url")).alias("origin"))
+    under = roots.join(probes(roots.select("origin").distinct(), captures), "origin")
+    under = under.select("name", "url", "source", F.least(F.lit(0.97), F.col("confidence") + 0.02).alias("confidence"), "rank", "pos")
+    every = under.unionByName(two.select("name", "url", "source", F.lit(0.75).alias("confidence"), "rank", F.lit(len(DOC_PATHS)).alias("pos")))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("rank", "pos"))).drop("rank", "pos")
+
+
 def top_candidates(candidates: DataFrame, most: int = MOST) -> DataFrame:
     """Per name the best by confidence, each URL once (with or without a slash at its end)."""
     key = F.regexp_replace("url", "/+$", "")
@@ -173,6 +189,43 @@ def resolve(domain: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("name", F.col("b.url").alias("best"), F.coalesce("b.via", F.lit("unresolved")).alias("via"), "candidates")
 
 
+def resolve_names(wanted: DataFrame, declared: DataFrame, captures: DataFrame, order: list[str] = REGISTRIES) -> DataFrame:
+    """(name, best, via, ecosystem, candidates) of each of ``wanted`` (name, hint), from captured pages alone.
+
+    A verified page of the name's own domain ends the search. Else ``declared`` (``registry_candidates``; of a hinted
+    name only that registry), the own domains and the conventional paths under whatever is weak and not
+    documentation are pooled, the best are verified against what the registries declare, and the first verified one
+    wins; the ecosystem is the winning registry, else the hint, else the first registry that answered. A name that no
+    registry knows stays unresolved. A candidate that was not captured is never verified.
+    """
+    pages = captures.where("status = 200").select("url", "body")
+    own = own_domain_candidates(wanted, captures)
+    blank = F.lit(None).cast("string")
+    by_itself = own.withColumns({"ecosystem": blank, "repository": blank, "homepage": blank, "via_domain": F.lit(True)})
+    judged = signals(by_itself.join(pages, "url", "left"))
+    first = judged.groupBy("name").agg(F.min_by(F.when(F.col("verified"), F.col("url")), F.when(F.col("verified"), F.col("place"))).alias("own_best"), F.least(F.lit(MOST), F.count("*")).alias("own_count"))
+    done = first.where("own_best is not null").select("name")
+
+    hint = F.coalesce("hint", F.lit(""))
+    answers = declared.join(wanted, "name").where((hint == "") | (hint == F.col("ecosystem"))).join(done, "name", "left_anti")
+    hit = registry_order(answers.select("name", "hint", "ecosystem").distinct(), order).drop("answers")
+    found = answers.select("name", "url", "source", names.score(F.col("url"), F.col("field")).alias("confidence"))
+    found = found.unionByName(own.drop("place").join(hit.select("name"), "name", "left_semi"))
+    weak = found.where((F.col("confidence") < 0.9) & ~urls.looks_like_docs(F.col("url"))).select("name", urls.origin(F.col("url")).alias("origin")).distinct()
+    extra = weak.join(probes(weak.select("origin").distinct(), captures), "origin").select("name", "url", F.lit("probe").alias("source"), "confidence")
+    ranked = top_candidates(found.unionByName(extra)).join(hit, "name").join(registry_facts(answers), "name", "left")
+    hinted = ranked.join(wanted, "name").withColumn("ecosystem", F.coalesce(F.nullif(hint, F.lit("")), F.col("first")))
+    rated = signals(hinted.withColumn("via_domain", F.col("source").startswith("domain:")).join(pages, "url", "left"))
+    best = F.when(F.col("verified"), F.struct("url", "source"))
+    pooled = rated.groupBy("name").agg(F.min_by(best, F.when(F.col("verified"), F.col("rank"))).alias("b"), F.count("*").alias("pool_count"))
+
+    out = wanted.join(first, "name", "left").join(pooled, "name", "left").join(hit, "name", "left")
+    registry = F.split_part("b.source", F.lit(":"), F.lit(1))
+    via = F.when(F.col("own_best").isNotNull() | F.col("b.source").startswith("domain:"), "domain").when(F.col("b.url").isNotNull(), "registry").otherwise("unresolved")
+    won = F.when(registry.isin(*order), registry)
+    return out.select("name", F.coalesce("own_best", "b.url").alias("best"), via.alias("via"), F.coalesce(won, F.nullif(hint, F.lit("")), F.col("first"), F.lit("")).alias("ecosystem"), F.coalesce("pool_count", "own_count", F.lit(0)).alias("candidates"))
+
+
 def alias(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """(asked, technology): exact name, else the only one that normalises alike, else the only one that it begins.
 

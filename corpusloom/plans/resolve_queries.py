@@ -222,6 +222,56 @@ def n13(spark, d):
     return r.resolve(c.where(domain), c.where(~domain))
 
 
+def web(spark, d):
+    """What was captured for the chain, by the part's number modulo 8: see CHAIN."""
+    n = named(spark, d)
+    k, slug = F.col("id") % 8, F.col("slug")
+    page = lambda more: F.concat(F.lit("<html><pre>a</pre><pre>b</pre><code>c</code> "), F.repeat(F.lit("word "), 60), *more, F.lit("</html>"))
+    npm, thrice = page([F.lit("npm install "), slug]), F.repeat(F.concat(slug, F.lit(" ")), 4)
+    backed = page([F.lit("pip install "), slug, F.lit(' <a href="https://github.com/o/'), slug, F.lit('">src</a>')])
+    one = lambda url, kind, body: F.struct(url.alias("url"), F.lit(kind).alias("content_type"), url.alias("landed"), body.alias("body"))
+    at = lambda before, after: F.concat(F.lit(before), slug, F.lit(after))
+    own = one(at("https://", ".dev"), "text/html; charset=utf-8", npm)
+    home = one(at("https://home.", ".example.net/"), "text/html", npm)
+    pages = (
+        F.when(k == 0, F.array(own, one(at("https://", ".dev/llms.txt"), "text/plain", thrice)))
+        .when(k == 4, F.array(own))
+        .when(k == 1, F.array(home))
+        .when(k == 5, F.array(home, one(at("https://home.", ".example.net/docs/"), "text/html", npm)))
+        .when(k.isin(2, 6), F.array(one(at("https://manual.example.org/", "/book"), "text/html", backed)))
+        .when(k == 3, F.array(one(at("https://plain.example.com/", ""), "text/html", page([F.lit("")]))))
+    )
+    return n.select(F.explode(pages).alias("p")).select("p.url", F.lit(200).alias("status"), "p.content_type", "p.landed", "p.body")
+
+
+def answered(spark, d):
+    """Registry answers of the chain: 1 and 5 npm, 2 and 6 npm and PyPI, 3 npm, the others none."""
+    n = named(spark, d)
+    k, slug = F.col("id") % 8, F.col("slug")
+    at = lambda before, after: F.concat(F.lit(before), slug, F.lit(after))
+    home = F.when(k.isin(1, 5), at("https://home.", ".example.net/")).when(k == 3, at("https://plain.example.com/", "")).otherwise(at("https://manual.example.org/", "/shop"))
+    npm = F.to_json(F.struct(home.alias("homepage"), F.struct(at("git+https://github.com/o/", ".git").alias("url")).alias("repository")))
+    pypi = F.to_json(F.struct(F.struct(F.create_map(F.lit("Documentation"), at("https://manual.example.org/", "/book")).alias("project_urls")).alias("info")))
+    one = lambda ecosystem, payload: F.struct(F.lit(ecosystem).alias("ecosystem"), payload.alias("payload"))
+    given = F.when(k.isin(2, 6), F.array(one("npm", npm), one("pypi", pypi))).when(k.isin(1, 3, 5), F.array(one("npm", npm)))
+    return n.select(slug.alias("name"), F.explode(given).alias("g")).select("name", "g.ecosystem", "g.payload")
+
+
+#: Own domain with a text index; npm homepage; PyPI's manual behind npm's; nothing on the page; own domain; homepage
+#: with documentation under it; the manual as a hinted name; no answer at all.
+CHAIN = """SELECT slug AS name, CASE id % 8 WHEN 0 THEN 'https://' || slug || '.dev/llms.txt' WHEN 1 THEN 'https://home.' || slug || '.example.net/' WHEN 4 THEN 'https://' || slug || '.dev'
+  WHEN 5 THEN 'https://home.' || slug || '.example.net/docs/' WHEN 2 THEN 'https://manual.example.org/' || slug || '/book' WHEN 6 THEN 'https://manual.example.org/' || slug || '/book' END AS best,
+  CASE WHEN id % 8 IN (0, 4) THEN 'domain' WHEN id % 8 IN (1, 2, 5, 6) THEN 'registry' ELSE 'unresolved' END AS via,
+  CASE WHEN id % 8 IN (1, 3, 5) THEN 'npm' WHEN id % 8 IN (2, 6) THEN 'pypi' ELSE '' END AS ecosystem,
+  CASE id % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 1 ELSE 0 END AS candidates FROM named"""
+
+
+@query("n13_o3_resolution_chain", CHAIN)
+def n13_chain(spark, d):
+    wanted = named(spark, d).select(F.col("slug").alias("name"), F.when(F.col("id") % 8 == 6, "pypi").otherwise("").alias("hint"))
+    return r.resolve_names(wanted, r.registry_candidates(answered(spark, d)), web(spark, d))
+
+
 @query("a13_accuracy", "SELECT count(*) FILTER (WHERE split_part(best, '/', 3) = 'c' || (length(name) % 8) || '.example.com') AS correct, count(*) FILTER (WHERE split_part(best, '/', 3) <> 'c' || (length(name) % 8) || '.example.com') AS wrong, count(*) FILTER (WHERE best IS NULL) AS unresolved, count(*) FILTER (WHERE split_part(best, '/', 3) <> 'c' || (length(name) % 8) || '.example.com') AS wrong_verified FROM answers", NAMES + ", " + CANDIDATES + ", " + RESOLVED)
 def a13(spark, d):
     found = n13(spark, d).withColumn("verified", F.col("best").isNotNull())
