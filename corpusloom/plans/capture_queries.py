@@ -186,28 +186,15 @@ def x7(spark, d):
     return extract.follow_stubs(rows.withColumn("body", F.when(F.col("id") % 2 == 0, meta).otherwise(script)))
 
 
-DUMPS = "dumps AS (SELECT source, 'A <b>preamble</b>' || chr(10) || string_agg('## doc ' || doc_id || chr(10) || text, chr(10) ORDER BY doc_id) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 8 = 1 GROUP BY source)"
-
-
-@query("x8_dump_split", """+parts AS (SELECT source, unnest(CASE WHEN length(text) < 3000 OR n < 3 OR n > 4000 THEN [text] ELSE string_split(text, chr(10) || '## ') END) AS p, generate_subscripts(CASE WHEN length(text) < 3000 OR n < 3 OR n > 4000 THEN [text] ELSE string_split(text, chr(10) || '## ') END, 1) - 1 AS part FROM dumps)
-  SELECT source, CAST(part AS INTEGER) AS part, CASE WHEN part = 0 THEN 'A preamble' ELSE left(split_part(p, chr(10), 1), 90) END AS title FROM parts""", DUMPS)
-def x8(spark, d):
-    docs = table(spark, d, "documents").where("text is not null and source is not null and doc_id % 8 = 1")
-    block = F.concat(F.lit("## doc "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", block.alias("block")))), lambda b: b["block"])
-    dumps = docs.groupBy("source").agg(F.concat(F.lit("A <b>preamble</b>\n"), F.array_join(ordered, "\n")).alias("text"))
-    return extract.split_dumps(dumps, 3000).select("source", "part", "title")
-
-
 # all documents: a dump is at most PER_DUMP documents of a source, in order, so that no row grows with its source
 PER_DUMP = 250
 WHOLE_DUMPS = f"""numbered AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, text) - 1) // {PER_DUMP} AS dump FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
   dumps AS (SELECT source, dump, 'A <b>preamble</b>' || chr(10) || string_agg('## doc ' || coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || text, chr(10) ORDER BY doc_id NULLS FIRST, text) AS text, count(*) AS n FROM numbered GROUP BY ALL)"""
 
 
-@query("x8_dump_split_whole", """+parts AS (SELECT source, dump, unnest(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END) AS p, generate_subscripts(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END, 1) - 1 AS part FROM dumps)
+@query("x8_dump_split", """+parts AS (SELECT source, dump, unnest(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END) AS p, generate_subscripts(CASE WHEN length(text) < 60000 OR n < 3 THEN [text] ELSE string_split(text, chr(10) || '## ') END, 1) - 1 AS part FROM dumps)
   SELECT source, CAST(dump AS BIGINT) AS dump, CAST(part AS INTEGER) AS part, CASE WHEN part = 0 THEN 'A preamble' ELSE left(split_part(p, chr(10), 1), 90) END AS title FROM parts""", WHOLE_DUMPS)
-def x8_whole(spark, d):
+def x8(spark, d):
     return whole_dumps(table(spark, d, "documents"))
 
 
@@ -233,15 +220,8 @@ def k5(spark, d):
     return captures(spark, d).select(F.concat(urls.file_slug(F.col("url")), F.lit(".md")).alias("file"), F.length("body").cast("long").alias("size"))
 
 
-@query("j5_capture_lookup", "+asked AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url FROM pages WHERE page_id % 3 = 0) SELECT a.page_id AS asked, c.id, c.status FROM asked a JOIN captures c ON regexp_replace(regexp_replace(a.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2') = regexp_replace(regexp_replace(c.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2')")
+@query("j5_capture_lookup", "+asked AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url FROM pages) SELECT a.page_id AS asked, c.id, c.status FROM asked a JOIN captures c ON regexp_replace(regexp_replace(a.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2') = regexp_replace(regexp_replace(c.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2')")
 def j5(spark, d):
-    asked = table(spark, d, "pages").where("page_id % 3 = 0").select(F.col("page_id").alias("asked"), urls.normalise(F.concat("url", F.when(F.col("page_id") % 2 == 0, "#x").otherwise(""))).alias("key"))
-    have = captures(spark, d).select(urls.normalise(F.col("url")).alias("key"), "id", "status")
-    return asked.join(have, "key").select("asked", "id", "status")
-
-
-@query("j5_capture_lookup_whole", "+asked AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url FROM pages) SELECT a.page_id AS asked, c.id, c.status FROM asked a JOIN captures c ON regexp_replace(regexp_replace(a.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2') = regexp_replace(regexp_replace(c.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2')")
-def j5_whole(spark, d):
     asked = table(spark, d, "pages").select(F.col("page_id").alias("asked"), urls.normalise(F.concat("url", F.when(F.col("page_id") % 2 == 0, "#x").otherwise(""))).alias("key"))
     have = captures(spark, d).select(urls.normalise(F.col("url")).alias("key"), "id", "status")
     return asked.join(have, "key").select("asked", "id", "status")
@@ -255,16 +235,9 @@ def x17(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(text.truncated(F.col("text"), 500), 256).alias("text_sha256"))
 
 
-@query("x18_bundle", "+g AS (SELECT doc_id // 3 AS key, count(*) AS n, string_agg(rn || '. t' || doc_id, chr(10) ORDER BY doc_id) AS listing, string_agg('# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS bodies, min(text) AS alone FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS rn FROM docs WHERE doc_id % 7 < 5) GROUP BY 1) SELECT key, sha256(CASE WHEN n = 1 THEN alone ELSE listing || chr(10) || chr(10) || bodies END) AS text_sha256 FROM g", DOCS)
-def x18(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and doc_id % 7 < 5")
-    rows = rows.select(F.floor(F.col("doc_id") / 3).alias("key"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("markdown"))
-    return extract.bundle(rows, "key").select("key", F.sha2("text", 256).alias("text_sha256"))
-
-
 # all documents; six ids make groups of 1, 2 and 3
-@query("x18_bundle_whole", "+k AS (SELECT doc_id, text, doc_id // 6 * 3 + CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 < 3 THEN 1 ELSE 2 END AS key FROM docs), g AS (SELECT key, count(*) AS n, string_agg(rn || '. t' || doc_id, chr(10) ORDER BY doc_id) AS listing, string_agg('# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS bodies, min(text) AS alone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM k) GROUP BY 1) SELECT key, n AS documents, sha256(CASE WHEN n = 1 THEN alone ELSE listing || chr(10) || chr(10) || bodies END) AS text_sha256 FROM g", DOCS)
-def x18_whole(spark, d):
+@query("x18_bundle", "+k AS (SELECT doc_id, text, doc_id // 6 * 3 + CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 < 3 THEN 1 ELSE 2 END AS key FROM docs), g AS (SELECT key, count(*) AS n, string_agg(rn || '. t' || doc_id, chr(10) ORDER BY doc_id) AS listing, string_agg('# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS bodies, min(text) AS alone FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM k) GROUP BY 1) SELECT key, n AS documents, sha256(CASE WHEN n = 1 THEN alone ELSE listing || chr(10) || chr(10) || bodies END) AS text_sha256 FROM g", DOCS)
+def x18(spark, d):
     six = F.col("doc_id") % 6
     key = F.floor(F.col("doc_id") / 6) * 3 + F.when(six == 0, 0).when(six < 3, 1).otherwise(2)
     rows = table(spark, d, "documents").where("text is not null")

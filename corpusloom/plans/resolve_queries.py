@@ -258,10 +258,10 @@ def answered(spark, d):
 
 
 #: Own domain with a text index; npm homepage; PyPI's manual behind npm's; nothing on the page; own domain; homepage
-#: with documentation under it; the manual as a hinted name; no answer at all.
+#: with documentation under it; the manual of a hinted name, whose registry declares nothing else: too little; no answer at all.
 CHAIN = """SELECT slug AS name, CASE id % 8 WHEN 0 THEN 'https://' || slug || '.dev/llms.txt' WHEN 1 THEN 'https://home.' || slug || '.example.net/' WHEN 4 THEN 'https://' || slug || '.dev'
-  WHEN 5 THEN 'https://home.' || slug || '.example.net/docs/' WHEN 2 THEN 'https://manual.example.org/' || slug || '/book' WHEN 6 THEN 'https://manual.example.org/' || slug || '/book' END AS best,
-  CASE WHEN id % 8 IN (0, 4) THEN 'domain' WHEN id % 8 IN (1, 2, 5, 6) THEN 'registry' ELSE 'unresolved' END AS via,
+  WHEN 5 THEN 'https://home.' || slug || '.example.net/docs/' WHEN 2 THEN 'https://manual.example.org/' || slug || '/book' END AS best,
+  CASE WHEN id % 8 IN (0, 4) THEN 'domain' WHEN id % 8 IN (1, 2, 5) THEN 'registry' ELSE 'unresolved' END AS via,
   CASE WHEN id % 8 IN (1, 3, 5) THEN 'npm' WHEN id % 8 IN (2, 6) THEN 'pypi' ELSE '' END AS ecosystem,
   CASE id % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 1 ELSE 0 END AS candidates FROM named"""
 

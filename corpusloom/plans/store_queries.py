@@ -210,18 +210,12 @@ def k6(spark, d):
     return old.select(F.col("technology").alias("name"), "source", urls.version_of(F.col("source"), F.col("harvested_at")).alias("version"), "complete")
 
 
-@query("j1_versions_with_pages", "SELECT v.technology, v.version, count(s.ordinal) AS pages FROM doc_versions v LEFT JOIN store s ON s.technology = v.technology AND s.version = v.version AND s.ordinal > 100 GROUP BY ALL")
-def j1(spark, d):
-    some = store(spark, d).where("ordinal > 100").select("technology", "version", "ordinal")
-    return doc_versions(spark, d).join(some, ["technology", "version"], "left").groupBy("technology", "version").agg(F.count("ordinal").alias("pages"))
-
-
 # all pages; each technology also has a version that no page has
 UNSTORED = ", asked AS (SELECT technology, version FROM doc_versions UNION ALL SELECT DISTINCT technology, 'unreleased' FROM doc_versions)"
 
 
-@query("j1_versions_with_pages_whole", f"{UNSTORED} SELECT v.technology, v.version, count(s.ordinal) AS pages FROM asked v LEFT JOIN store s ON s.technology = v.technology AND s.version = v.version GROUP BY ALL")
-def j1_whole(spark, d):
+@query("j1_versions_with_pages", f"{UNSTORED} SELECT v.technology, v.version, count(s.ordinal) AS pages FROM asked v LEFT JOIN store s ON s.technology = v.technology AND s.version = v.version GROUP BY ALL")
+def j1(spark, d):
     known = doc_versions(spark, d).select("technology", "version")
     asked = known.union(known.select("technology", F.lit("unreleased")).distinct())
     # counted before the join, so that no group grows with its version

@@ -63,11 +63,11 @@ def test_no_version_is_collected(spark):
 
 def test_whole_queries_leave_no_row_out(spark):
     documents, pages = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("documents", "pages"))
-    bundles = capture_queries.QUERIES["x18_bundle_whole"](spark, DATA)
+    bundles = capture_queries.QUERIES["x18_bundle"](spark, DATA)
     assert bundles.agg(F.sum("documents")).first()[0] == documents
     assert {r[0] for r in bundles.select("documents").distinct().collect()} == {1, 2, 3}
-    assert capture_queries.QUERIES["j5_capture_lookup_whole"](spark, DATA).select("asked").distinct().count() == pages
-    versions = store_queries.QUERIES["j1_versions_with_pages_whole"](spark, DATA).collect()
+    assert capture_queries.QUERIES["j5_capture_lookup"](spark, DATA).select("asked").distinct().count() == pages
+    versions = store_queries.QUERIES["j1_versions_with_pages"](spark, DATA).collect()
     assert sum(r["pages"] for r in versions) == documents
     assert {r["version"] for r in versions if r["pages"] == 0} == {"unreleased"}
 
