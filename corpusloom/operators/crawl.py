@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.operators import extract
 from corpusloom.session import materialise
-
+from corpusloom.sources.captures import admitted
 
 #: Rounds of a crawl between two rewritings of what was seen.
 ROUNDS_A_TABLE = 20
@@ -39,6 +40,20 @@ def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
         seen = materialise(seen.unionByName(frontier)) if depth % ROUNDS_A_TABLE == 0 else seen.unionByName(frontier)
 
 
+def crawl_captures(starts: DataFrame, captures: DataFrame) -> DataFrame:
+    """(site, url, depth, fetched) of a crawl over captured pages, whose own links it follows.
+
+    ``captures``: id, url, status, content_type, body. A URL that was not captured, failed or is no text counts as
+    seen, is not fetched, and leads nowhere. Starts and links are normalised, and links resolve against that form.
+    """
+    pages = admitted(captures).withColumn("url", urls.normalise(F.col("url")))
+    targets = extract.links(pages.select(F.col("url").alias("id"), "url", "body")).select(F.col("id").alias("src"), F.col("target").alias("dst"))
+    # the bodies are read once, not once a depth
+    found = reachable(starts.withColumn("url", urls.normalise(F.col("url"))), materialise(targets.distinct()))
+    there = pages.select("url", F.lit(True).alias("fetched")).distinct()
+    return found.join(there, "url", "left").select("site", "url", "depth", F.coalesce("fetched", F.lit(False)).alias("fetched"))
+
+
 def capped(reached: DataFrame, order: list[str], cap: int) -> DataFrame:
     """The pages that a crawl of at most ``cap`` pages fetches, first come first (0: no cap)."""
     place = Window.partitionBy("site").orderBy("depth", *order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
 from corpusloom.operators import crawl
-from corpusloom.plans.fixtures import table
+from corpusloom.plans.fixtures import CAPTURES, captures, table
 
 QUERIES, ORACLES = {}, {}
 #: Hosts with their pages numbered from 1; page i links to pages 2i and 2i + 1, and back to page 1.
@@ -51,6 +51,24 @@ def c1(spark, d):
     return crawl.reachable(starts(spark, d), links(spark, d))
 
 
+ORACLES["c1_crawl_captures"] = rf"""WITH RECURSIVE {CAPTURES},
+  there AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\1\2') AS url, body, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM captures WHERE status < 400 AND (content_type = '' OR content_type LIKE 'text/%' OR content_type LIKE '%xml' OR content_type LIKE '%json')),
+  found AS (SELECT DISTINCT url AS src, regexp_replace(origin || unnest(regexp_extract_all(body, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)', 1)), '(/[^?#]*[^?#/])/$', '\1') AS dst FROM there),
+  firsts AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS site, regexp_replace(regexp_replace(min(url), '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\1\2') AS url FROM captures GROUP BY 1),
+  reached(site, url) AS (SELECT site, url FROM firsts UNION SELECT r.site, f.dst FROM reached r JOIN found f ON f.src = r.url)
+  SELECT site, url, url IN (SELECT url FROM there) AS fetched FROM reached"""
+
+
+def c1_captures(spark, d):
+    """Failed and other pages that are no text are seen and lead nowhere; the links are the pages' own."""
+    site = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("site")
+    first = captures(spark, d).groupBy(site).agg(F.min("url").alias("url"))
+    begin = first.select("site", "url", F.lower("site").alias("host"), crawl.scope(F.col("url"), F.lit("host")).alias("prefix"))
+    return crawl.crawl_captures(begin, captures(spark, d)).drop("depth")
+
+
+QUERIES["c1_crawl_captures"] = c1_captures
+
 CAPPED = REACH + ", fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS rank FROM best) WHERE rank <= 3)"
 
 

@@ -53,6 +53,32 @@ def test_stubs_by_script_and_meta(spark):
     assert sorted((r["id"], r["target"]) for r in extract.follow_stubs(rows).collect()) == [(i, "https://x.dev/b") for i in range(3)]
 
 
+def test_crawl_of_captures_skips_failed_pages(spark):
+    to = lambda *paths: "".join(f"<a href='{p}'>x</a>" for p in paths)
+    rows = [
+        (1, "https://x.dev/docs/", 200, "text/html", to("/docs/a", "/docs/gone", "/docs/b.png", "https://else.dev/docs/q")),
+        (2, "https://x.dev/docs/a", 200, "text/html", to("/docs/", "#top", "/docs/missing", "/docs/c/")),
+        (3, "https://x.dev/docs/gone", 500, "text/html", to("/docs/behind")),
+        (4, "https://x.dev/docs/behind", 200, "text/html", ""),
+        (5, "https://x.dev/docs/c", 200, "image/png", to("/docs/behind")),
+    ]
+    captured = spark.createDataFrame(rows, "id long, url string, status int, content_type string, body string")
+    start = spark.createDataFrame([("x", "https://x.dev/docs", "x.dev", "/docs/")], "site string, url string, host string, prefix string")
+    found = {r["url"].rpartition("/docs")[2]: (r["depth"], r["fetched"]) for r in crawl.crawl_captures(start, captured).collect()}
+    assert found == {"": (0, True), "/a": (1, True), "/gone": (1, False), "/missing": (2, False), "/c": (2, False)}
+
+
+def test_resolution_chain_by_hand(spark):
+    page = "<p>" + "word " * 60 + "</p><pre>x</pre><pre>y</pre><code>z</code> "
+    web = [("https://loomkit.io", page + "pip install loomkit"), ("https://loomkit.io/docs/", page + "loomkit " * 4), ("https://spindle.example.net/", page + "npm install spindle")]
+    captured = spark.createDataFrame([(u, 200, "text/html", u, b) for u, b in web], "url string, status int, content_type string, landed string, body string")
+    wanted = spark.createDataFrame([("loomkit", ""), ("spindle", ""), ("nobody", "")], "name string, hint string")
+    declared = spark.createDataFrame([("spindle", "npm", 0, "npm:homepage", "homepage", "https://spindle.example.net/"), ("loomkit", "npm", 0, "npm:homepage", "homepage", "https://other.example.com/")], "name string, ecosystem string, pos int, source string, field string, url string")
+    found = {r["name"]: (r["best"], r["via"], r["ecosystem"], r["candidates"]) for r in resolve.resolve_names(wanted, declared, captured).collect()}
+    # the documentation under an own domain stands before the domain itself, and no registry is asked then
+    assert found == {"loomkit": ("https://loomkit.io/docs/", "domain", "", 2), "spindle": ("https://spindle.example.net/", "registry", "npm", 1), "nobody": (None, "unresolved", "", 0)}
+
+
 def test_dump_split_keeps_every_word(spark):
     body = "<h1>Banner</h1>\n" + "\n".join(f"## s{i}\ntext {i}" for i in range(10))
     rows = extract.split_dumps(spark.createDataFrame([("s", body)], "source string, text string"), 10).orderBy("part").collect()
