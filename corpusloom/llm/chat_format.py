@@ -4,7 +4,7 @@ The states are the roles; the observations of a line are its speaker marker, if
 runs in steps, so that one conversation may be larger than a task: each segment (a row of the transcript)
 gives the best score from any role before it to any role at its end; conversations are cut into chunks of at most
 ``CHUNK`` rows, by their number in the documented order. Where a conversation has several chunks, the segments of each
-are combined and the best roles at the chunks' borders are traced back over the combinations. Then each chunk, with its
+are combined, a bounded number at a time, to a tree, and the best roles at the borders are traced down from its top. Then each chunk, with its
 borders known, traces its own segments, and each segment its lines. A segment may hold several turns: the role changes
 wherever its lines say so.
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import number_rows, with_names
+from corpusloom.llm.common import materialise, number_rows, with_names
 
 ROLES = ("system", "user", "assistant")
 K = len(ROLES)
-#: Rows in a chunk.
-CHUNK = 256
+#: Rows in a chunk, and parts that one group of the tree over the chunks has at most.
+CHUNK, FAN = 256, 256
 #: Speaker markers of the common transcript formats, by role.
 MARKERS = {
     "system": r"system(?: prompt)?|sys|instructions?",
@@ -189,18 +189,33 @@ def parse(rows: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", tex
             total = m if total is None else through(total, m)
         return pa.table({"conv": table["conv"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "m": pa.array([_flat(total)], pa.list_(pa.float64()))})
 
-    # only conversations of several chunks have borders
-    long = measured.where("number = " + str(chunk)).select(F.col("conv").alias("of")).distinct()
-    parts = measured.select("conv", "chunk", "number", "m").join(long, F.col("conv").eqNullSafe(F.col("of")), "left_semi")
-    chunks = parts.groupBy("conv", "chunk").applyInArrow(combine, f"conv {kind}, chunk long, m array<double>")
-
     def borders(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("chunk", "ascending")])
-        states = trace(list(_matrices(table["m"].combine_chunks())), START, None)
-        before = [-1, *states[:-1]]
+        """The roles around each part, given those around the whole (none: a whole conversation)."""
+        table = table.sort_by("chunk")
+        first, last = table["first"][0].as_py(), table["last"][0].as_py()
+        start = START if first is None or first < 0 else np.where(np.arange(K) == first, 0.0, -np.inf)
+        states = trace(list(_matrices(table["m"].combine_chunks())), start, last)
+        before = [-1 if first is None else first, *states[:-1]]
         return pa.table({"conv": table["conv"], "chunk": table["chunk"], "before": pa.array(before, pa.int32()), "after": pa.array(states, pa.int32())})
 
-    ends = chunks.groupBy("conv").applyInArrow(borders, f"conv {kind}, chunk long, before int, after int")
+    # only conversations of several chunks have borders
+    long = measured.where("number = " + str(chunk)).select(F.col("conv").alias("of")).distinct()
+    parts = measured.select("conv", "chunk", "number", "m").join(long, F.col("conv").eqNullSafe(F.col("of")), "left_semi")
+    schema, found = f"conv {kind}, chunk long, m array<double>", f"conv {kind}, chunk long, before int, after int"
+    # a tree over the chunks of a conversation: no group has more than FAN parts, however long it is
+    tree = [parts.groupBy("conv", "chunk").applyInArrow(combine, schema)]
+    most = (measured.agg(F.max("number")).first()[0] or 0) // chunk + 1
+    while most > FAN:
+        tree[-1] = materialise(tree[-1])
+        up = tree[-1].select("conv", F.floor(F.col("chunk") / FAN).cast("long").alias("chunk"), F.col("chunk").alias("number"), "m")
+        tree.append(up.groupBy("conv", "chunk").applyInArrow(combine, schema))
+        most = -(-most // FAN)
+    none = F.lit(None).cast("int")
+    ends = tree[-1].withColumns({"first": none, "last": none}).groupBy("conv").applyInArrow(borders, found)
+    for level in reversed(tree[:-1]):
+        above = ends.select(F.col("conv").alias("of"), F.col("chunk").alias("parent"), F.col("before").alias("first"), F.col("after").alias("last"))
+        held = level.withColumn("group", F.floor(F.col("chunk") / FAN).cast("long")).join(above, F.col("conv").eqNullSafe(F.col("of")) & (F.col("group") == F.col("parent")))
+        ends = held.groupBy("conv", "group").applyInArrow(borders, found)
     same = F.col("l.conv").eqNullSafe(F.col("r.conv")) & (F.col("l.chunk") == F.col("r.chunk"))
     both = measured.alias("l").join(ends.alias("r"), same, "left").select("l.*", "r.before", "r.after")
 

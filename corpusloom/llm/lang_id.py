@@ -2,7 +2,7 @@
 between the languages of that family, over hashed byte bigrams and trigrams.
 
 The models learn only from the texts and languages of the rows marked for training, a sample of at most about
-``SAMPLE`` rows of each language (chosen by a hash of the id); prediction reads nothing but the text.
+``SAMPLE`` rows of each language (chosen by a hash of id and text); prediction reads nothing but the text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no rows to learn from every
 text is ``und``; a language alone in its family needs no machine; ties go to the name that sorts first; rows
@@ -61,12 +61,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> dict:
     if not langs:
         return {"langs": [], "weights": {}}
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / counts[lang]))])[F.col("lang")]
-    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20))
+    # each (key, text) is drawn once, so that null keys and rows that repeat keep within the bound
+    drawn = known.withColumn("draw", F.xxhash64("key", "text")).where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = drawn.dropDuplicates(["draw"])
 
     def features(batches):
         for batch in slices(batches, 200):
             out: list[list] = [[] for _ in range(5)]
-            for key, text, lang in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "lang")), strict=True):
+            for key, text, lang in zip(*(batch.column(c).to_pylist() for c in ("draw", "text", "lang")), strict=True):
                 if any(c.isalpha() for c in text):
                     index, value = ngram_features(text.encode(), True)
                     for model, y in _models(lang, langs):
@@ -75,7 +77,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> dict:
             types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "model", "y", "index", "value"])
 
-    data = chosen.select("key", "text", "lang").mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
+    data = chosen.select("draw", "text", "lang").mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
     return {"langs": langs, "weights": fit(data, WIDTH, hinge=True)}
 
 

@@ -55,9 +55,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     l, r = rows.drop("text").alias("l"), covered.alias("r")
     both = l.join(r, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.of") == F.col("r.of")), "left").select("l.row", "r.at")
     gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (window - 1)))))
-    lines = _lines(f"row.`{text_col}`")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # the text is split once: a lambda's variable holds its lines and the places that stay
+    parts = F.struct(_lines(f"row.`{text_col}`").alias("lines"), gone.alias("gone"))
+    stays = F.transform(F.array(parts), lambda p: F.struct(p["lines"].alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(p["lines"]) - 1), p["gone"]).alias("at")))
+    cut = F.transform(stays, lambda p: F.array_join(F.transform(p["at"], lambda i: F.get(p["lines"], i)), "\n"))[0]
     out = [F.when(F.col("at").isNull(), F.col(f"row.`{c}`")).otherwise(cut).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
     if count_col:
         out.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(count_col))

@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the counts of all
 vote patterns (3 to the number of labellers at most, whatever the table's size) estimates each labeller's
-accuracy and the posterior of each pattern. The posteriors of a sample of about ``SAMPLE`` documents train a
+accuracy and the posterior of each pattern. The posteriors of a sample of at most ``SAMPLE`` documents train a
 hashed linear scorer (byte n-grams and binned statistics), and the scorer decides on every document.
 
 Defined cases: a null or empty text is scored like any other (its statistics are 0), and is rejected; rows that
@@ -22,7 +22,7 @@ from corpusloom.llm.common import row_chunks, text_bytes, with_names
 from corpusloom.llm.hashed import WIDTH, fit, ngram_features, ngram_scores, slices
 from corpusloom.llm.near_dup import word_ends, word_hashes
 
-#: Documented bound: documents that train the scorer, about.
+#: Documented bound: most documents that train the scorer.
 SAMPLE = 6000
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "#$%&*+<=>@[\\]^_`{|}~"]] = True
@@ -142,6 +142,19 @@ def bin_ids(stats: np.ndarray) -> np.ndarray:
 ALL = WIDTH + len(NAMES) * BINS
 
 
+def training_rows(docs: DataFrame, total: int, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` of the ``total`` rows, by a hash of id and text (``draw``).
+
+    Each (id, text) is drawn once, however often it repeats, so that the bound holds for null ids and hot rows too.
+    """
+    drawn = docs.withColumn("draw", F.xxhash64("id", "text"))
+    some = drawn.where(F.pmod("draw", F.lit(1 << 20)) < (1 << 20) * min(1.0, 1.1 * sample / total))
+    if some.isEmpty():  # few different rows, and none of them drawn
+        some = drawn
+    last = some.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    return some.where(F.col("draw") <= last).dropDuplicates(["draw"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """``docs``: id, text. The model: EM's estimates over all rows, and the scorer's weights."""
 
@@ -162,7 +175,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     def features(batches):
         for batch in slices(batches, 200):
             out: list[list] = [[] for _ in range(5)]
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, text in zip(zip(*(batch.column(c).to_pylist() for c in ("id", "draw")), strict=True), batch.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 stats = statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 index, value = ngram_features(raw, False)
@@ -172,10 +185,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
             types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "model", "y", "index", "value"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / total))
-    if chosen.isEmpty():  # ids that are null, or all alike
-        chosen = docs.limit(sample)
-    data = chosen.mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
+    data = training_rows(docs, total, sample).mapInArrow(features, "key string, model string, y double, index array<int>, value array<float>")
     return found | {"weights": fit(data, ALL, hinge=False)["quality"]}
 
 

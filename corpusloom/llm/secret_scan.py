@@ -6,7 +6,8 @@ holds in few repositories and that looks random is a live-looking credential of
 holds in many repositories is the owner's own boilerplate, shared and not live.
 
 Defined cases: a null or empty text has no spans; a null owner or repository counts as one of its own ('');
-rows that repeat are scanned alike and count once in the frequencies; texts are scanned whole at any length;
+a row is known by its id and its text, so rows that share an id, and rows without one, keep their own spans; rows that
+repeat are scanned alike and count once in the frequencies; texts are scanned whole at any length;
 an empty table gives an empty result; columns other than the named ones are ignored.
 """
 
@@ -18,7 +19,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, materialise, with_names
@@ -30,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "opaque")
 
-FOUND = "id {id}, owner string, repository string, spans array<struct<kind:int,start:long,stop:long,value:string,opaque:boolean>>"
+FOUND = "id {id}, of string, owner string, repository string, spans array<struct<kind:int,start:long,stop:long,value:string,opaque:boolean>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -69,32 +70,38 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = base + (opaque_spans(text, base) if text else [])
         # values go on as digests: the credentials themselves are not copied around
         rows.append([{"kind": k, "start": s, "stop": e, "value": hashlib.md5(v.encode()).hexdigest(), "opaque": looks_random(v)} for s, k, e, v in spans])
-    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("owner"), batch.column("repository"), pa.array(rows, kind)], names=["id", "owner", "repository", "spans"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "of", "owner", "repository")), pa.array(rows, kind)], names=["id", "of", "owner", "repository", "spans"])
+
+
+def of_text(text: Column) -> Column:
+    """128 bits of a text, which tell the texts of one id apart."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "owner", repository_col: str = "repository", min_owners: int = 5, many_repositories: int = 4) -> DataFrame:
-    """One row per document: ``id``, ``spans`` (kind, start, stop, value digest, class), by start and then kind.
+    """One row per document: ``id``, ``of`` (of its text), ``spans`` (kind, start, stop, value digest, class), by start and then kind.
 
     Classes: ``example`` (held by ``min_owners`` owners or more), ``live`` (one owner, fewer than ``many_repositories``
     of its repositories, looks random) and ``shared`` (the rest). Base spans always stay; an opaque word is a span only where it is ``live``.
     The frequency counts distinct (value, owner, repository) triples, pre-aggregated before the shuffle, so a
     value that a third of all rows hold costs each task one row.
     """
-    docs = with_names(docs, id=id_col, text=text_col, owner=owner_col, repository=repository_col)
+    docs = with_names(docs, id=id_col, text=text_col, owner=owner_col, repository=repository_col).withColumn("of", of_text(F.col("text")))
     kind = docs.schema["id"].dataType.simpleString()
     found = materialise(map_batches(docs, _scan, FOUND.format(id=kind)))
-    each = found.where("size(spans) > 0").select("id", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("spans").alias("s"))
+    each = found.where("size(spans) > 0").select("id", "of", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("spans").alias("s"))
     held = each.select("s.value", "owner", "repository").distinct()
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
     frequency = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    spans = each.select("id", "s.*").join(frequency, "value")
+    spans = each.select("id", "of", "s.*").join(frequency, "value")
     state = F.when(F.col("n_owners") >= min_owners, "example").when((F.col("n_owners") == 1) & (F.col("n_repositories") < many_repositories) & F.col("opaque"), "live").otherwise("shared")
     spans = spans.withColumn("class", state).where("kind < 3 or class = 'live'")
     # a row that repeats brings its spans once more: one of each
-    grouped = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop", "value", "class", "n_owners", "n_repositories"))).alias("spans"))
+    grouped = spans.groupBy("id", "of").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop", "value", "class", "n_owners", "n_repositories"))).alias("spans"))
     none = F.from_json(F.lit("[]"), grouped.schema["spans"].dataType)
-    grouped = grouped.withColumnRenamed("id", "held")
-    return found.select("id").join(grouped, F.col("id").eqNullSafe(F.col("held")), "left").select("id", F.coalesce("spans", none).alias("spans"))
+    same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.of") == F.col("r.of"))
+    both = found.select("id", "of").alias("l").join(grouped.alias("r"), same, "left")
+    return both.select("l.id", "l.of", F.coalesce("r.spans", none).alias("spans"))
 
 
 def joined(spans: F.Column) -> F.Column:
@@ -123,25 +130,36 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
+def mask_spans(text: str, spans: list[dict], mask: str) -> str:
+    """``text`` with each span (by start) as ``mask``; spans that overlap or meet inside one another are one."""
+    out, at = [], 0
+    for span in spans:
+        start, stop = span["start"], span["stop"]
+        if stop <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], mask]
+        at = stop
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span that is not a widely copied example replaced by ``mask``; all columns stay.
 
     Only documents that have such spans take part in the shuffle's other side; overlapping spans are masked as one.
     """
-    keys = scanned.select("id", F.filter("spans", lambda s: s["class"] != "example").alias("spans")).where("size(spans) > 0").dropDuplicates(["id"])
-    cut = keys.select("id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans")).alias("r")
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else mask_spans(t, s, mask) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    own = F.filter("spans", lambda s: s["class"] != "example")
+    keys = scanned.select("id", "of", F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans")).where("size(spans) > 0")
+    cut = keys.dropDuplicates(["id", "of"]).alias("r")
+    text = F.col(f"`{text_col}`")
     # a row goes along whole, so that its columns may have any names
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")).alias("l")
-    both = rows.join(cut, F.col("l.id").eqNullSafe(F.col("r.id")), "left").select("row", "spans")
-    text = F.col(f"row.`{text_col}`")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(state, span):
-        start, stop = F.greatest(span["start"], state["at"]), F.greatest(span["stop"], state["at"])
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (start - state["at"]).cast("int"))
-        # a span inside what is already masked adds nothing
-        return F.struct(F.when(stop > state["at"], F.concat(state["out"], gap, F.when(span["start"] < state["at"], "").otherwise(F.lit(mask)))).otherwise(state["out"]).alias("out"), stop.alias("at"))
-
-    # the tail after the last span
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return both.select(*[F.when(F.col("spans").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), of_text(text).alias("of")).alias("l")
+    same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.of") == F.col("r.of"))
+    both = rows.join(cut, same, "left").select("row", "spans")
+    # of rows without spans nothing goes to Python
+    new = both.select("row", "spans", masked(F.when(F.col("spans").isNotNull(), F.col(f"row.`{text_col}`")), F.col("spans")).alias("new"))
+    return new.select(*[F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(F.col("new")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -14,9 +14,10 @@ Defined cases: vectors that are null or hold null or non-finite components take
 is a candidate of its own, so rows that repeat an id, and its vector or not, stand in the result as often, but never
 as candidates of a query of their id; equal scores go to the smaller id; with fewer candidates than k all are
 returned; vectors of different lengths are not compared; an empty table gives an empty result; columns other than the
-named ones are ignored. Where a quantised component reaches 2^20, the geometry works on scaled doubles and scores are
-sums of Python integers; one beyond 2^56 counts as 2^56 (with its sign), and a score beyond a long ranks by its value
-and becomes the largest or smallest long.
+named ones are ignored. A wide vector, with a quantised component of 2^20 or more (or so many components that sums of
+doubles would not be exact), stays outside the index: it is held against every query, and as a query against every
+vector, in sums of Python integers. Its components are exact whatever their size (256-fold beyond a double: the largest
+double). A score beyond a long ranks by its value (beyond 38 digits as 38 nines) and becomes the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, materialise, with_names
@@ -33,34 +34,35 @@ from corpusloom.llm.common import map_batches, materialise, with_names
 #: Vectors in a block and queries in a block, about; most pivots and rings of a pivot.
 BLOCK, QUERY_BLOCK, MOST_PIVOTS, RINGS = 1024, 256, 256, 8
 FACTOR = 256.0
-#: Below this, sums of products of doubles are exact integers (for up to 2^13 components).
-NARROW = 1 << 20
-#: The largest quantised component: scores of up to 19,000 of them keep within 38 digits.
-LARGEST = 2.0**56
+#: Components of an indexed vector are smaller; sums of products of doubles up to EXACT are exact integers.
+NARROW, EXACT = 1 << 20, 2.0**53
+#: The pivot of wide vectors, which have none.
+WIDE = -1
+MOST_DIGITS = 10**38 - 1
 
 
 def _quantise(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows with a usable vector: ``id, salt, vec`` (doubles that are integers), ``dim``, ``most`` (largest size)."""
-    ids, salts, out, dims, most = [], [], [], [], []
+    """Rows with a usable vector: ``id, salt, vec`` (integers, as doubles if ``wide``), ``dim``."""
+    ids, salts, out, dims, wide = [], [], [], [], []
     for key, salt, vector in zip(*(batch.column(c).to_pylist() for c in ("id", "salt", "vec")), strict=True):
         if key is None or not vector or None in vector:
             continue
         x = np.array(vector, np.float64)
         if np.isfinite(x).all():
             with np.errstate(over="ignore"):
-                x = np.clip(np.floor(FACTOR * x), -LARGEST, LARGEST)
+                x = np.nan_to_num(np.floor(FACTOR * x))
             ids.append(key)
             salts.append(salt)
             top = float(np.abs(x).max())
-            out.append(x.astype("<i4" if top < NARROW else "<f8").tobytes())
+            wide.append(top >= NARROW or top >= (EXACT / len(x)) ** 0.5)
+            out.append(x.astype("<f8" if wide[-1] else "<i4").tobytes())
             dims.append(len(x))
-            most.append(top)
-    cols = [pa.array(ids, pa.int64()), pa.array(salts, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int64()), pa.array(most, pa.float64())]
-    return pa.RecordBatch.from_arrays(cols, names=["id", "salt", "vec", "dim", "most"])
+    cols = [pa.array(ids, pa.int64()), pa.array(salts, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int64()), pa.array(wide, pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, names=["id", "salt", "vec", "dim", "wide"])
 
 
-def _values(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, "<i4" if len(data) == 4 * dim else "<f8").astype(np.float64)
+def _vectors(data: bytes, rows: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(data, "<f8" if wide else "<i4").reshape(rows, -1).astype(np.float64)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -68,22 +70,19 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def _key(batch: pa.RecordBatch, pivots: dict[int, np.ndarray], width: float, kind: str, scale: float) -> pa.RecordBatch:
-    data, dims = batch.column("vec").to_pylist(), batch.column("dim").to_numpy()
+def _key(batch: pa.RecordBatch, pivots: dict[int, np.ndarray], width: float) -> pa.RecordBatch:
+    data, dims, wide = batch.column("vec").to_pylist(), batch.column("dim").to_numpy(), batch.column("wide").to_numpy(zero_copy_only=False)
     pivot, ring, dist, norm = (np.zeros(len(data), t) for t in (np.int64, np.int64, float, float))
-    vecs: list = [None] * len(data)
-    for dim in np.unique(dims):
-        here = np.flatnonzero(dims == dim)
-        raw = np.stack([_values(data[i], dim) for i in here])
-        x = raw * scale
+    pivot[wide] = WIDE
+    for dim in np.unique(dims[~wide]):
+        here = np.flatnonzero((dims == dim) & ~wide)
+        x = _vectors(b"".join(data[i] for i in here), len(here), False)
         d = _distances(x, pivots[int(dim)])
         pivot[here] = d.argmin(axis=1)
         dist[here] = d.min(axis=1)
         norm[here] = (x**2).sum(axis=1)
         ring[here] = np.minimum(RINGS - 1, dist[here] // width)
-        for i, v in zip(here, raw.astype(kind), strict=True):
-            vecs[i] = v.tobytes()
-    cols = [batch.column("id"), batch.column("salt"), pa.array(vecs, pa.binary()), batch.column("dim"), pa.array(pivot), pa.array(ring), pa.array(dist), pa.array(norm)]
+    cols = [batch.column("id"), batch.column("salt"), batch.column("vec"), batch.column("dim"), pa.array(pivot), pa.array(ring), pa.array(dist), pa.array(norm)]
     return pa.RecordBatch.from_arrays(cols, names=["id", "salt", "vec", "dim", "pivot", "ring", "dist", "norm"])
 
 
@@ -94,41 +93,38 @@ def _bounds(q: np.ndarray, pivots: np.ndarray, annuli: dict[str, np.ndarray]) ->
     gap = np.maximum(0, np.maximum(d - annuli["hi"], annuli["lo"] - d))
     by_triangle = (square + annuli["norm"] - gap**2) / 2
     by_angle = (q @ pivots.T)[:, annuli["pivot"]] + np.sqrt(square) * annuli["hi"]
-    return np.minimum(by_triangle, by_angle) * (1 + 1e-9) + 1e-3 + (square + annuli["norm"]) * 1e-9
+    bound = np.minimum(by_triangle, by_angle) * (1 + 1e-9) + 1e-3 + (square + annuli["norm"]) * 1e-9
+    bound[:, annuli["pivot"] == WIDE] = np.inf
+    return bound
 
 
-def _best(q_ids: list, q: np.ndarray, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, scale: float) -> list[tuple]:
+def _best(q_ids: list, q: np.ndarray, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, wide: bool) -> list[tuple]:
     """(query, id, score) of each query's best ``k`` in a block that reach its floor, ties to smaller ids."""
     out = []
-    scores = (q * scale) @ (x * scale).T
-    # what rounding may change of a scaled score; of narrow vectors nothing
-    doubt = 0.0 if scale == 1 else 1e-12 * float(np.abs(q * scale).max(initial=0) * np.abs(x * scale).max(initial=0)) * q.shape[1] + 1e-9
+    if wide:
+        whole = [np.array([[int(v) for v in row] for row in m.tolist()], object) for m in (q, x)]
+        scores = whole[0] @ whole[1].T
+    else:
+        scores = q @ x.T
     for r, key in enumerate(q_ids):
-        at = np.flatnonzero((scores[r] >= floor[r] - doubt) & (ids != key))
-        if len(at) > 4 * k:  # of equal scores at the cut all stay
+        at = np.flatnonzero(ids != key) if wide else np.flatnonzero((scores[r] >= floor[r]) & (ids != key))
+        if len(at) > 4 * k and not wide:  # of equal scores at the cut all stay
             cut = np.partition(scores[r][at], len(at) - k)[len(at) - k]
-            at = at[scores[r][at] >= cut - 2 * doubt]
-        if scale == 1:
-            exact = scores[r][at].astype(np.int64).tolist()
-        else:
-            whole = [int(v) for v in q[r]]
-            exact = [sum(a * int(b) for a, b in zip(whole, x[o], strict=True)) for o in at]
-        best = sorted((-s, int(ids[o])) for s, o in zip(exact, at, strict=True))[:k]
+            at = at[scores[r][at] >= cut]
+        best = sorted((-max(-MOST_DIGITS, min(MOST_DIGITS, int(s))), int(ids[o])) for s, o in zip(scores[r][at].tolist(), at, strict=True))[:k]
         out += [(key, i, -s) for s, i in best]
     return out
 
 
-def _search(batch: pa.RecordBatch, k: int, kind: str, scale: float) -> pa.RecordBatch:
+def _search(batch: pa.RecordBatch, k: int, long: bool) -> pa.RecordBatch:
     rows: list[tuple] = []
     for r in range(batch.num_rows):
         get = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-        q_ids, floor = get("q_ids"), np.array(get("q_floor"), float)
-        q = np.frombuffer(get("q_vecs"), kind).reshape(len(q_ids), -1).astype(np.float64)
-        ids = np.array(get("ids"))
-        x = np.frombuffer(get("vecs"), kind).reshape(len(ids), -1).astype(np.float64)
-        rows += _best(q_ids, q, ids, x, floor, k, scale)
+        q_ids, floor, ids = get("q_ids"), np.array(get("q_floor"), float), np.array(get("ids"))
+        q_wide, x_wide = get("q_wide"), get("pivot") == WIDE
+        rows += _best(q_ids, _vectors(get("q_vecs"), len(q_ids), q_wide), ids, _vectors(get("vecs"), len(ids), x_wide), floor, k, q_wide or x_wide)
     query, found, score = list(zip(*rows, strict=True)) or [[], [], []]
-    scores = pa.array(score, pa.int64()) if scale == 1 else pa.array([Decimal(s) for s in score], pa.decimal128(38, 0))
+    scores = pa.array(score, pa.int64()) if long else pa.array([Decimal(s) for s in score], pa.decimal128(38, 0))
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), scores], names=["query", "id", "score"])
 
 
@@ -144,21 +140,22 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """``query, rank, id, score``: the ``k`` best of each query, a row whose id ``every`` divides, against all rows."""
     spark = vectors.sparkSession
     named = with_names(vectors, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), F.monotonically_increasing_id().alias("salt"), "vec")
-    ints = materialise(map_batches(named, _quantise, "id long, salt long, vec binary, dim long, most double"))
-    found = ints.groupBy("dim").agg(F.count("*").alias("n"), F.max("most").alias("most")).collect()
-    lengths, top = {r["dim"]: r["n"] for r in found}, max((r["most"] for r in found), default=0.0)
+    ints = materialise(map_batches(named, _quantise, "id long, salt long, vec binary, dim long, wide boolean"))
+    lengths = {r["dim"]: (r["n"], r["any_wide"]) for r in ints.groupBy("dim").agg(F.count_if(~F.col("wide")).alias("n"), F.bool_or("wide").alias("any_wide")).collect()}
     out_schema = "query long, rank int, id long, score long"
     if not lengths:
         return spark.createDataFrame([], out_schema)
-    # wide vectors are scaled by a power of two to below NARROW, which rounds nothing
-    kind, scale = ("<i4", 1.0) if top < NARROW else ("<f8", 2.0 ** (19 - int(np.frexp(top)[1])))
-    pivots = {}
-    for dim, n in lengths.items():  # a bounded sample: as many vectors as pivots
-        some = ints.where(F.col("dim") == dim).orderBy(F.xxhash64("id", "salt"), "id").limit(int(min(MOST_PIVOTS, max(4, n**0.5 / 4)))).collect()
-        pivots[dim] = np.stack([_values(bytes(r["vec"]), dim) * scale for r in some])
+    long = not any(w for _, w in lengths.values())
+    # a bounded sample of each length: at most as many vectors as pivots
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id", "salt"), "id"))
+    chosen: dict[int, list[bytes]] = {}
+    for r in ints.where("not wide").withColumn("place", place).where(F.col("place") <= MOST_PIVOTS).orderBy("dim", "place").collect():
+        if r["place"] <= min(MOST_PIVOTS, max(4, lengths[r["dim"]][0] ** 0.5 / 4)):
+            chosen.setdefault(r["dim"], []).append(bytes(r["vec"]))
+    pivots = {dim: _vectors(b"".join(chosen[dim]), len(chosen[dim]), False) if dim in chosen else np.zeros((1, dim)) for dim in lengths}
     typical = np.median(np.concatenate([np.sort(_distances(p, p), axis=1)[:, 1:].ravel() for p in pivots.values() if len(p) > 1] or [np.ones(1)]))
     width = max(float(typical), 1.0) * 1.25 / RINGS
-    keyed = materialise(map_batches(ints, lambda b: _key(b, pivots, width, kind, scale), "id long, salt long, vec binary, dim long, pivot long, ring long, dist double, norm double"))
+    keyed = materialise(map_batches(ints, lambda b: _key(b, pivots, width), "id long, salt long, vec binary, dim long, pivot long, ring long, dist double, norm double"))
     stats = keyed.groupBy("dim", "pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm")).orderBy("dim", "pivot", "ring").collect()
     annuli = {dim: {c: np.array([r[c] for r in stats if r["dim"] == dim]) for c in ("pivot", "ring", "n", "lo", "hi", "norm")} for dim in lengths}
     cuts = spark.createDataFrame([(r["dim"], r["pivot"], r["ring"], int(-(-r["n"] // BLOCK))) for r in stats], "dim long, pivot long, ring long, cuts int")
@@ -169,19 +166,20 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     asked = keyed.where(F.col("id") % every == 0)
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     # queries of one block lie around one pivot, where there are enough of them
-    placed = asked.withColumn("block", F.pmod(F.col("pivot") * 7919 + F.pmod(F.xxhash64("id", "salt"), F.lit(max(1, -(-groups // 8)))), F.lit(groups)))
-    queries = materialise(placed.groupBy("dim", "block").applyInArrow(lambda t: _gather(t, ("q_ids", "q_vecs"), ["dim"]), "dim long, q_ids array<long>, q_vecs binary"))
+    placed = asked.withColumn("q_wide", F.col("pivot") == WIDE).withColumn("block", F.pmod(F.col("pivot") * 7919 + F.pmod(F.xxhash64("id", "salt"), F.lit(max(1, -(-groups // 8)))), F.lit(groups)))
+    queries = materialise(placed.groupBy("dim", "q_wide", "block").applyInArrow(lambda t: _gather(t, ("q_ids", "q_vecs"), ["dim", "q_wide"]), "dim long, q_wide boolean, q_ids array<long>, q_vecs binary"))
 
     def visits(first: bool):
         """Annuli for each block of queries, with the queries that search there; ``first``: the seeds, else the rest."""
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for r in range(batch.num_rows):
-                dim, q_ids = batch.column("dim")[r].as_py(), np.array(batch.column("q_ids")[r].as_py())
-                q = np.frombuffer(batch.column("q_vecs")[r].as_py(), kind).reshape(len(q_ids), -1).astype(np.float64)
-                a = annuli[dim]
-                bound = _bounds(q * scale, pivots[dim], a)
+                dim, wide, q_ids = batch.column("dim")[r].as_py(), batch.column("q_wide")[r].as_py(), np.array(batch.column("q_ids")[r].as_py())
+                data = batch.column("q_vecs")[r].as_py()
+                size, a = len(data) // len(q_ids), annuli[dim]
+                # a wide query visits all
+                bound = np.full((len(q_ids), len(a["n"])), np.inf) if wide else _bounds(_vectors(data, len(q_ids), False), pivots[dim], a)
                 order = np.argsort(-bound, axis=1, kind="stable")
                 # sorted annuli, expanded until they hold k others than the query itself
                 held = np.cumsum(a["n"][order], axis=1)
@@ -191,26 +189,27 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 search = seeds if first else ~seeds & (bound >= floor[:, None])
                 for m in np.flatnonzero(search.any(axis=0)):
                     who = np.flatnonzero(search[:, m])
-                    row = (dim, int(a["pivot"][m]), int(a["ring"][m]), q_ids[who].tolist(), q[who].astype(kind).tobytes(), floor[who].tolist())
+                    some = b"".join(data[w * size : (w + 1) * size] for w in who.tolist())
+                    row = (dim, int(a["pivot"][m]), int(a["ring"][m]), wide, q_ids[who].tolist(), some, floor[who].tolist())
                     for c, v in zip(rows, row, strict=True):
                         c.append(v)
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=[*key, "q_ids", "q_vecs", "q_floor"])
+            types = [pa.int64()] * 3 + [pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=[*key, "q_wide", "q_ids", "q_vecs", "q_floor"])
 
         return run
 
-    score = "long" if scale == 1 else "decimal(38,0)"
+    score = "long" if long else "decimal(38,0)"
 
     def search(pairs: DataFrame) -> DataFrame:
-        return map_batches(pairs.join(blocks, key), lambda b: _search(b, k, kind, scale), f"query long, id long, score {score}", rows=64)
+        return map_batches(pairs.join(blocks, key), lambda b: _search(b, k, long), f"query long, id long, score {score}", rows=64)
 
-    plan = "dim long, pivot long, ring long, q_ids array<long>, q_vecs binary, q_floor array<double>"
+    plan = "dim long, pivot long, ring long, q_wide boolean, q_ids array<long>, q_vecs binary, q_floor array<double>"
     seeds = materialise(search(map_batches(queries, visits(True), plan, rows=4)))
     rank = "row_number() over (partition by query order by score desc, id)"
-    floors = seeds.selectExpr("*", f"{rank} as rank").where(f"rank = {k}").select("query", (F.col("score").cast("double") * scale**2).alias("floor"))
-    each = queries.select("dim", "q_vecs", F.col("q_ids").alias("all"), F.posexplode("q_ids").alias("at", "query"))
-    known = each.join(floors, "query", "left").groupBy("dim", "q_vecs", "all").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))).alias("f"))
-    known = known.select("dim", F.col("all").alias("q_ids"), "q_vecs", F.col("f.floor").alias("q_floor"))
+    floors = seeds.selectExpr("*", f"{rank} as rank").where(f"rank = {k}").select("query", F.col("score").cast("double").alias("floor"))
+    each = queries.select("dim", "q_wide", "q_vecs", F.col("q_ids").alias("all"), F.posexplode("q_ids").alias("at", "query"))
+    known = each.join(floors, "query", "left").groupBy("dim", "q_wide", "q_vecs", "all").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))).alias("f"))
+    known = known.select("dim", "q_wide", F.col("all").alias("q_ids"), "q_vecs", F.col("f.floor").alias("q_floor"))
     rest = search(map_batches(known, visits(False), plan, rows=4))
-    long = f"cast(least({2**63 - 1}, greatest({-(2**63) + 1}, score)) as long)"
-    return seeds.union(rest).selectExpr("query", f"{rank} as rank", "id", f"{long} as score").where(f"rank <= {k}").select("query", "rank", "id", "score")
+    as_long = f"cast(least(cast('{2**63 - 1}' as decimal(38,0)), greatest(cast('{-(2**63)}' as decimal(38,0)), score)) as long)"
+    return seeds.union(rest).selectExpr("query", f"{rank} as rank", "id", f"{as_long} as score").where(f"rank <= {k}").select("query", "rank", "id", "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,37 @@ def test_secret_ownership_and_redaction(spark):
     assert redacted[0] == f"key {copied} end" and redacted[9] == "my [SECRET] and [SECRET] x"
 
 
+def test_secrets_of_rows_that_share_an_id(spark):
+    """Each row keeps its own spans, whether ids repeat or are null; harmless texts stay as they are."""
+    texts = [(5, "password=hunter22 here"), (5, "a harmless text without anything in it"), (5, "x token: abcdef99, x"), (None, "secret = zzzzzz1 end"), (None, "another harmless text, quite long"), (None, None), (7, ""), (5, "password=hunter22 here")]
+    docs = spark.createDataFrame([(*t, "o", "r", "n") for t in texts], "doc_id long, text string, owner string, repository string, spans string").repartition(3)
+    scanned = secret_scan.scan(docs)
+    assert sorted(r["n_assign"] for r in secret_scan.report(scanned).collect()) == [0, 0, 0, 0, 1, 1, 1, 1]
+    redacted = secret_scan.redact(docs, scanned)
+    assert redacted.columns == docs.columns
+    masked = [(i, t if t is None else ASSIGN.sub("[SECRET]", t)) for i, t in texts]
+    assert Counter((r["doc_id"], r["text"]) for r in redacted.collect()) == Counter(masked)
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    span = lambda a, b: {"start": a, "stop": b}
+    assert secret_scan.mask_spans("abcdefghij", [span(1, 4), span(2, 3), span(3, 6), span(6, 7)], "#") == "a##hij"
+    text = "é token=abcdef12 " * 60_000
+    docs = spark.createDataFrame([(1, text, "o", "r")], "doc_id long, text string, owner string, repository string")
+    began = time.time()
+    assert secret_scan.redact(docs, secret_scan.scan(docs)).first()["text"] == "é [SECRET] " * 60_000
+    assert time.time() - began < 40
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [f"line {i % 150_000} of a long log" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    found = line_dedup.dedup_lines(docs, count_col="went").first()
+    assert time.time() - began < 20
+    assert found["went"] == 50_000 and found["text"] == "\n".join(lines[:150_000])
+
+
 def brute_line_dedup(rows):
     docs = {r["doc_id"]: r["text"] for r in rows}
     lines = {i: t.split("\n") for i, t in docs.items() if t is not None}
@@ -271,6 +303,17 @@ def test_language_id(spark, docs, rows):
     assert [r["lang_pred"] for r in none.collect()] == ["und"]
 
 
+def test_quality_sample_is_bounded(spark):
+    """By count, whether ids are null, all alike or apart."""
+    ids = spark.range(40_000)
+    for key in ("cast(null as long)", "7L", "id"):
+        rows = ids.selectExpr(f"{key} as id", "concat('text ', id % 30000) as text")
+        n = quality.training_rows(rows, 40_000).count()
+        assert 4_500 < n <= quality.SAMPLE
+    same = ids.selectExpr("cast(null as long) as id", "'one text' as text")
+    assert quality.training_rows(same, 40_000).count() == 1
+
+
 def test_quality(docs, rows):
     found = quality.score(docs).collect()
     assert len(found) == len(rows)
