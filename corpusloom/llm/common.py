@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +13,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialise, number_rows, ship_package
 
-__all__ = ["free_name", "map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "with_names"]
+__all__ = ["free_name", "held", "let_go", "map_batches", "materialise", "mix64", "number_rows", "row_chunks", "sums_by_row", "text_bytes", "trim", "with_names"]
 
 #: Bytes of text that one vectorised step works on; bounds the numpy temporaries of a task.
 CHUNK_BYTES = 1 << 19
 
 
+#: What this worker process keeps from task to task (one encoder with its cache).
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """The object of that name, made once for each worker process; another one takes its place."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after their tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def let_go() -> None:
+    """Drop what another operator's task has kept in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim()
+
+
 def with_names(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns cannot clash."""
     ship_package(df.sparkSession)
@@ -35,9 +66,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     """``mapInArrow`` in slices of at most ``rows`` rows, which bounds what a task holds at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(start, rows))
+        trim()
 
     return df.mapInArrow(run, schema)
 

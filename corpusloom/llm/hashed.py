@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.common import let_go, trim
+
 #: Hashed dimensions of each n-gram order, and the factor on relative frequencies.
 BITS, SCALE = 15, 20.0
 ORDERS = (2, 3)
@@ -104,6 +106,8 @@ def fit(rows: DataFrame, width: int, hinge: bool) -> dict[str, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    trim()

@@ -16,7 +16,6 @@ import gc
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, with_names
+from corpusloom.llm.common import held, materialise, trim, with_names
 
 CAPACITY, END_ID = 2048, 1
 #: Expected pieces in a group, and the seed of the dealing.
@@ -102,10 +101,9 @@ class WordEncoder:
 PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]*").fullmatch
 
 
-@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One per worker process."""
-    return WordEncoder(path)
+    return held(f"words of {path}", lambda: WordEncoder(path))
 
 
 def _pieces(batch: pa.RecordBatch, path: str, capacity: int, end_id: int, keep: bool) -> pa.RecordBatch:
@@ -234,6 +232,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     yield _pieces(batch.slice(start, ROWS), tokenizer, capacity, end_id, keep)
         finally:
             gc.enable()
+            trim()
 
     pieces = materialise(docs.mapInArrow(run, f"id {kind}, start long, length long, crc long, doc_tokens long, ids binary"))
     groups = max(1, -(-pieces.count() // group_pieces))
