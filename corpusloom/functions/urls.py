@@ -50,17 +50,35 @@ def normalise(url: Column) -> Column:
     return F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/[^?#]*[^?#/])/(\?|$)", "$1$2")
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its dot segments folded: ``..`` takes the segment before it, at the root nothing."""
+    full = F.split(path, "/", -1)
+    last = F.element_at(full, -1)
+
+    def fold(stack: Column, segment: Column) -> Column:
+        return F.when(segment == ".", stack).when(segment == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.array_append(stack, segment))
+
+    stack = F.aggregate(full, F.array().cast("array<string>"), fold)
+    joined = F.array_join(F.when(last.isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack), "/")
+    folded = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def resolve(link: Column, page: Column) -> Column:
-    """``link`` as seen from ``page``; dot segments stay."""
-    folder = F.concat(origin(page), F.when(path(page) == "", "/").otherwise(F.regexp_extract(path(page), r"^(.*/)", 1)))
+    """``link`` as seen from ``page``; a link with a scheme or a host of its own stays as it is written.
+
+    Of a relative link dot segments are folded and empty segments go; of one that begins at the root dot segments are folded.
+    """
+    folder = F.when(path(page) == "", "/").otherwise(F.regexp_extract(path(page), r"^(.*/)", 1))
+    own, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme(page), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin(page), link))
+        .when(link.startswith("/"), F.concat(origin(page), without_dots(own), tail))
         .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
         .when(link.startswith("?"), F.concat(origin(page), path(page), link))
         .when(link == "", page)
-        .otherwise(F.concat(folder, link))
+        .otherwise(F.concat(origin(page), without_dots(F.regexp_replace(F.concat(folder, own), "/{2,}", "/")), tail))
     )
 
 

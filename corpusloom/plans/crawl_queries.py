@@ -69,6 +69,47 @@ def c1_captures(spark, d):
 
 QUERIES["c1_crawl_captures"] = c1_captures
 
+#: Links of page i in document order, by number: written relative, with dot segments; pages whose number is 3 modulo 7 failed.
+STEPS = [(2, 1), (2, 0), (0, 1), (3, 0)]
+
+
+def linked_captures(spark, d):
+    """Captures of the places, whose bodies link other places of their host."""
+    i = F.col("i")
+
+    def href(a: int, b: int):
+        n = a * i + b
+        return F.concat(F.lit('<a href="../'), F.when(n % 5 == 4, "blog").otherwise("docs"), F.lit("/./p"), n.cast("string"), F.lit('">x</a>'))
+
+    status = F.when(i % 7 == 3, 404).otherwise(200)
+    return places(spark, d).select(i.alias("id"), "url", status.alias("status"), F.lit("text/html").alias("content_type"), F.concat(*[href(a, b) for a, b in STEPS]).alias("body"))
+
+
+def in_order(cap: int) -> str:
+    """The crawl as a walk of at most ``cap`` steps: of all ways to a page the shortest, then the first by link positions."""
+    steps = ", ".join(f"({pos}, {a}, {b})" for pos, (a, b) in enumerate(STEPS))
+    return f"""WITH RECURSIVE {HEAD}, sizes AS (SELECT site, count(*) AS n FROM hosts GROUP BY site), step(pos, a, b) AS (VALUES {steps}),
+  walk(site, i, depth, way) AS (SELECT site, 1::BIGINT, 0, []::INTEGER[] FROM sizes
+    UNION ALL SELECT w.site, s.a * w.i + s.b, w.depth + 1, list_append(w.way, s.pos) FROM walk w JOIN sizes z ON z.site = w.site, step s
+    WHERE w.depth < {cap} AND w.i <= z.n AND w.i % 7 <> 3 AND (s.a * w.i + s.b) % 5 <> 4),
+  best AS (SELECT w.*, w.i <= z.n AND w.i % 7 <> 3 AS good FROM walk w JOIN sizes z ON z.site = w.site QUALIFY row_number() OVER (PARTITION BY w.site, w.i ORDER BY depth, way) = 1),
+  counted AS (SELECT *, coalesce(sum(CAST(good AS INTEGER)) OVER (PARTITION BY site ORDER BY depth, way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM best),
+  taken AS (SELECT site, i FROM counted WHERE good AND earlier < {cap}),
+  crawled AS (SELECT site, 'https://' || site || '/docs/p' || i AS url, depth, row_number() OVER (PARTITION BY site, depth ORDER BY way) - 1 AS place,
+    CASE WHEN earlier >= {cap} THEN 'queued' WHEN good THEN 'fetched' ELSE 'failed' END AS state
+    FROM counted c WHERE i = 1 OR EXISTS (SELECT 1 FROM taken t, step s WHERE t.site = c.site AND s.a * t.i + s.b = c.i))"""
+
+
+def ordered(spark, d, cap: int):
+    pages, found = crawl.page_links(linked_captures(spark, d))
+    return crawl.crawl_in_order(starts(spark, d), pages, found, cap)
+
+
+QUERIES["c1_c6_capped_crawl"] = lambda spark, d: ordered(spark, d, 3)
+ORACLES["c1_c6_capped_crawl"] = in_order(3) + " SELECT * FROM crawled"
+QUERIES["c2_capped_crawl_report"] = lambda spark, d: crawl.crawl_report(ordered(spark, d, 3))
+ORACLES["c2_capped_crawl_report"] = in_order(3) + " SELECT site, count(*) FILTER (WHERE state = 'fetched') AS fetched, count(*) FILTER (WHERE state = 'queued') AS remaining, count(*) FILTER (WHERE state <> 'failed') AS discovered, count(*) FILTER (WHERE state = 'queued') > 0 AS truncated FROM crawled GROUP BY site"
+
 CAPPED = REACH + ", fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS rank FROM best) WHERE rank <= 3)"
 
 

@@ -104,17 +104,19 @@ SELECT id, CASE WHEN n_docsy >= 5 THEN docsy WHEN n_rest > 0 THEN NOT marketing
 
 def _links(spark, sf_dir):
     """U2 over links of several kinds, against each URL as the page."""
-    kinds = F.array(*map(F.lit, ["/abs/x", "rel/y", "//other.example.com/z", "#frag", "?q=1", "https://full.example.com/", "mailto:a@example.com"]))
+    kinds = F.array(*map(F.lit, ["/abs/x", "rel/y", "//other.example.com/z", "#frag", "?q=1", "https://full.example.com/", "mailto:a@example.com", "../up", "./here?x=/../y", "/a/./b/../c", "../../../../../../top#../z", "x/../", ".."]))
     rows = urls(spark, sf_dir).select("id", "url", F.posexplode(kinds).alias("pos", "link"))
     return rows.select("id", "pos", u.resolve(F.col("link"), _url()).alias("target"))
 
 
 QUERIES["u2_resolve_link"] = _links
 ORACLES["u2_resolve_link"] = rf"""WITH {URLS}, l AS (
-  SELECT id, url, unnest([0, 1, 2, 3, 4, 5, 6]) AS pos, unnest(['/abs/x', 'rel/y', '//other.example.com/z', '#frag', '?q=1', 'https://full.example.com/', 'mailto:a@example.com']) AS link,
-    regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, {PATH_SQL} AS path FROM urls)
+  SELECT id, url, unnest(range(13)) AS pos, unnest(['/abs/x', 'rel/y', '//other.example.com/z', '#frag', '?q=1', 'https://full.example.com/', 'mailto:a@example.com', '../up', './here?x=/../y', '/a/./b/../c', '../../../../../../top#../z', 'x/../', '..']) AS link,
+    regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, {PATH_SQL} AS path, CASE WHEN {PATH_SQL} = '' THEN '/' ELSE regexp_extract({PATH_SQL}, '^(.*/)', 1) END AS folder FROM urls)
 SELECT id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN origin || link WHEN 1 THEN origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link
-  WHEN 2 THEN split_part(url, ':', 1) || ':' || link WHEN 3 THEN regexp_replace(url, '#.*$', '') || link WHEN 4 THEN origin || path || link ELSE link END AS target FROM l"""
+  WHEN 2 THEN split_part(url, ':', 1) || ':' || link WHEN 3 THEN regexp_replace(url, '#.*$', '') || link WHEN 4 THEN origin || path || link
+  WHEN 7 THEN origin || regexp_replace(folder, '[^/]+/$', '') || 'up' WHEN 8 THEN origin || folder || 'here?x=/../y' WHEN 9 THEN origin || '/a/c' WHEN 10 THEN origin || '/top#../z'
+  WHEN 11 THEN origin || folder WHEN 12 THEN origin || regexp_replace(folder, '[^/]+/$', '') ELSE link END AS target FROM l"""
 
 
 def _remotes(spark, sf_dir):
