@@ -1,16 +1,20 @@
 """Ranked search over an inverted index of the page store.
 
 Score of a page: for each query term its occurrences in the title (at most 3) weigh 1.0 and in the content (at
-most 10) 0.4 each; the sum over terms is divided by 1 + ln(1 + words of the content). All positive terms must occur;
-a term that is written twice counts once. Words are runs of letters and digits of any script, in lower case; terms are
-words without stop words, their plain English endings cut. The index holds what ranking needs, the length of a page
-included, so contents are read for phrases and for the winners alone. A phrase of stop words only is looked for in all
-contents, and its pages score 0.
+most 10) 0.4 each; the sum over terms is divided by 1 + ln(1 + words of the content). All positive parts of a query must
+occur; a term that is written twice counts once. Words are runs of letters and digits of any script, in lower case; terms are
+words without stop words, their plain English endings cut. The index holds what ranking needs: the length of a page, and
+each term's positions, so that phrases are found by intersection and no contents are read. Stop words have postings of
+their own (``=the``), for phrases alone.
+
+A stored index is made of segments, one for each save. A log names the segment that holds each version's postings, so that
+a save, a replacement or a deletion becomes visible at once, when its log entries are written; a merge rewrites what is live.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,109 +46,221 @@ def words_of(query: str) -> list[str]:
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """``term, technology, version, ordinal, field (A title, B content), n, first, words``: the inverted index.
+    """``term, technology, version, ordinal, field (A title, B content), n, first, words, positions``: the inverted index.
 
-    ``words`` is the length of the page's content.
+    ``words`` is the length of the page's content, ``positions`` the term's places in the field, ascending.
     """
     fields = F.array(F.struct(F.lit("A").alias("field"), F.col("of_title").alias("w")), F.struct(F.lit("B").alias("field"), F.col("of_content").alias("w")))
     split = pages.select(*PAGE, words(F.coalesce("title", F.lit(""))).alias("of_title"), words(F.coalesce("content", F.lit(""))).alias("of_content"))
     parts = split.select(*PAGE, F.size("of_content").cast("long").alias("words"), F.explode(fields).alias("p"))
-    each = parts.select(*PAGE, "words", "p.field", F.posexplode("p.w").alias("pos", "word")).where(~F.col("word").isin(STOP))
-    found = each.groupBy(stem(F.col("word")).alias("term"), *PAGE, "field", "words").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return found.select("term", *PAGE, "field", "n", "first", "words")
+    each = parts.select(*PAGE, "words", "p.field", F.posexplode("p.w").alias("pos", "word"))
+    term = F.when(F.col("word").isin(STOP), F.concat(F.lit("="), "word")).otherwise(stem(F.col("word")))
+    found = each.groupBy(term.alias("term"), *PAGE, "field", "words").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return found.select("term", *PAGE, "field", F.size("positions").cast("long").alias("n"), F.get("positions", F.lit(0)).alias("first"), "words", "positions")
 
 
-#: Parts that a stored index is dealt into by term.
+#: Parts that a stored index is dealt into by term, and titles by page.
 PARTS = 64
+#: Postings that one file of a part holds, about: a part with more is written as several, by ranges of terms.
+ROWS_A_FILE = 2_000_000
 
 
-def part_of(term: Column, parts: int = PARTS) -> Column:
-    return F.pmod(F.hash(term), F.lit(parts))
+def part_of(*key: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.hash(*key), F.lit(parts))
 
 
-def write_index(pages: DataFrame, path: str, parts: int = PARTS) -> None:
-    """The index as Parquet, partitioned by a hash of the term and sorted by it, so that a search reads its terms' parts
-    alone and skips row groups within them."""
-    dealt = postings(pages).withColumn("part", part_of(F.col("term"), parts))
-    dealt.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+def _folder(path: str, segment: str) -> tuple[str, str]:
+    return f"{path}/postings/segment={segment}", f"{path}/titles/segment={segment}"
+
+
+def _write_segment(found: DataFrame, titles: DataFrame, path: str, segment: str) -> None:
+    to, titles_to = _folder(path, segment)
+    dealt = found.withColumn("part", part_of(F.col("term")))
+    writer = dealt.repartitionByRange("part", "term").sortWithinPartitions("part", "term").write.option("maxRecordsPerFile", ROWS_A_FILE)
+    writer.partitionBy("part").parquet(to)
+    named = titles.withColumn("part", part_of(*[F.col(c) for c in PAGE]))
+    named.repartitionByRange("part", *PAGE).sortWithinPartitions("part", *PAGE).write.partitionBy("part").parquet(titles_to)
+
+
+LOG = "technology string, version string, segment string, save long"
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """All entries so far; a version's last one holds, and one without a segment is a deletion."""
+    return spark.read.schema(LOG).parquet(f"{path}/log")
+
+
+def _commit(entries: DataFrame, path: str) -> None:
+    """Make a save visible; ``entries``: technology, version, segment."""
+    spark = entries.sparkSession
+    spark.createDataFrame([], LOG).write.mode("append").parquet(f"{path}/log")  # the first commit makes the folder
+    last = _log(spark, path).agg(F.max("save")).first()[0] or 0
+    entries.select(*KEYS, "segment", F.lit(last + 1).cast("long").alias("save")).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def live(spark: SparkSession, path: str) -> DataFrame:
+    """(technology, version, segment) of the versions that the index holds now."""
+    return _log(spark, path).groupBy(*KEYS).agg(F.max_by("segment", "save").alias("segment")).where("segment is not null")
+
+
+def add_to_index(pages: DataFrame, path: str) -> None:
+    """The versions of ``pages`` as they are now: what the index held of them before is no longer live."""
+    segment = f"s{uuid.uuid4().hex}"
+    _write_segment(postings(pages), pages.select(*PAGE, "title"), path, segment)
+    _commit(pages.select(*KEYS).distinct().withColumn("segment", F.lit(segment)), path)
+
+
+def write_index(pages: DataFrame, path: str) -> None:
+    """A new index at ``path``, of one segment."""
+    add_to_index(pages, path)
+
+
+def drop_from_index(targets: DataFrame, path: str) -> None:
+    """Forget ``targets`` (technology, version; a null version means all of them)."""
+    held = live(targets.sparkSession, path).alias("p")
+    same = (F.col("p.technology") == F.col("t.technology")) & (F.col("t.version").isNull() | (F.col("p.version") == F.col("t.version")))
+    _commit(held.join(targets.alias("t"), same, "left_semi").select(*KEYS, F.lit(None).cast("string").alias("segment")), path)
+
+
+def merge_index(spark: SparkSession, path: str) -> None:
+    """Rewrite what is live as one segment, and delete the segments before it; no reader may be at work on these."""
+    before = [r["segment"] for r in _log(spark, path).select("segment").distinct().where("segment is not null").collect()]
+    segment = f"s{uuid.uuid4().hex}"
+    _write_segment(read_index(spark, path).drop("segment", "part"), read_titles(spark, path).drop("segment", "part"), path, segment)
+    _commit(live(spark, path).select(*KEYS).withColumn("segment", F.lit(segment)), path)
+    for old in before:
+        for folder in _folder(path, old):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _live_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/{table}")
+    return rows.join(live(spark, path), [*KEYS, "segment"], "left_semi")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _live_rows(spark, path, "postings")
+
 
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    return _live_rows(spark, path, "titles")
 
-def of_terms(index: DataFrame, terms: list[str], parts: int = PARTS) -> DataFrame:
+
+def _parts(spark: SparkSession, rows: list[tuple], schema: str) -> list[int]:
+    frame = spark.createDataFrame(rows, schema)
+    return sorted({r["p"] for r in frame.select(part_of(*[F.col(c) for c in frame.columns]).alias("p")).collect()})
+
+
+def of_terms(index: DataFrame, terms: list[str]) -> DataFrame:
     """The postings of ``terms``; of a stored index only their parts are read."""
     if "part" in index.columns:
-        held = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(part_of(F.col("term"), parts).alias("p"))
-        index = index.where(F.col("part").isin(sorted({r["p"] for r in held.collect()})))
+        index = index.where(F.col("part").isin(_parts(index.sparkSession, [(t,) for t in terms], "term string")))
     return index.where(F.col("term").isin(terms))
 
 
-def parse(query: str) -> dict[str, list[list[str]]]:
-    """Groups of a search string: ``all`` (each a choice of terms), ``none`` (terms), ``phrases`` (terms in order).
+def of_phrase(text: str) -> tuple[str, ...]:
+    """The terms of a phrase in their places; stop words have marked ones."""
+    return tuple(f"={w}" if w in STOP else stem_word(w) for w in words_of(text))
+
 
-    Bare words are all required, ``a or b`` is a choice, ``-a`` forbids and quotes bind words in order.
+def parse(query: str) -> dict[str, list]:
+    """The parts of a search string: ``all``, each a choice of items, and ``none``, items that must not occur.
+
+    An item is a term, or a tuple of terms in order (a phrase). Bare words are all required, ``a or b`` is a choice,
+    ``-`` forbids what follows it and quotes bind words in order; both stand before and between quotes too.
     """
-    out: dict[str, list[list[str]]] = {"all": [], "none": [], "phrases": []}
+    out: dict[str, list] = {"all": [], "none": []}
     choice = False
-    for quoted, bare in re.findall(r'"([^"]*)"|(\S+)', query.lower()):
+    for minus, quoted, bare in re.findall(r'(-?)"([^"]*)"|(\S+)', query.lower()):
         if bare == "or":
             choice = bool(out["all"])
             continue
-        terms = [stem_word(w) for w in words_of(quoted or bare) if w not in STOP]
-        if quoted:
-            out["phrases"].append(words_of(quoted))
-            out["all"] += [[t] for t in terms]
-        elif bare.startswith("-"):
-            out["none"] += [[t] for t in terms]
-        elif choice and terms:
-            out["all"][-1] += terms
+        forbids = bool(minus) or bare.startswith("-")
+        if bare:
+            items: list = [stem_word(w) for w in words_of(bare) if w not in STOP]
+        else:
+            phrase = of_phrase(quoted)
+            items = [phrase] if len(phrase) > 1 or (phrase and phrase[0].startswith("=")) else list(phrase)
+        if forbids:
+            out["none"] += items
+        elif choice and items:
+            out["all"][-1] += items
         else:
-            out["all"] += [[t] for t in terms]
+            out["all"] += [[t] for t in items]
         choice = False
     # what is asked for twice is asked for once
     out["all"] = [list(c) for c in dict.fromkeys(tuple(dict.fromkeys(c)) for c in out["all"])]
+    out["none"] = list(dict.fromkeys(out["none"]))
     return out
 
 
-def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None) -> DataFrame:
-    """The best pages with ``score`` (rounded to 6 places); ties in store order. A blank query finds nothing.
+def terms_of(items: list) -> list[str]:
+    """The terms of items, each once, those of phrases included."""
+    return list(dict.fromkeys(t for item in items for t in ((item,) if isinstance(item, str) else item)))
+
+
+def _begins(term: str, field: str, place: int) -> Column:
+    """Where a phrase would begin, by the positions of the term at that place in it."""
+    held = F.filter("p", lambda x: (x["term"] == term) & (x["field"] == field))
+    return F.transform(F.flatten(F.transform(held, lambda x: x["at"])), lambda a: a - place)
+
+
+def _holds(item: str | tuple[str, ...]) -> Column:
+    """Whether a page, whose postings are in ``p``, holds an item."""
+    if isinstance(item, str):
+        return F.exists("p", lambda x: x["term"] == item)
+    found = F.lit(False)
+    for field in ("A", "B"):
+        begins = _begins(item[0], field, 0)
+        for place, term in enumerate(item[1:], 1):
+            begins = F.array_intersect(begins, _begins(term, field, place))
+        found = found | (F.size(begins) > 0)
+    return found
+
+
+def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """The best pages with ``score`` (rounded to 6 places); ties in store order. A query without a positive part finds nothing.
 
-    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped; contents
-    are joined for phrases, and titles for the winners.
+    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped. With the
+    ``titles`` of a stored index the winners (at most 100) are looked up in their parts, and ``pages`` are not read.
     """
-    groups = parse(query)
+    tree = parse(query)
     scope = F.lit(True)
     for name, value in (("technology", technology), ("version", version)):
         scope = scope & (F.col(name) == value) if value is not None else scope
-    of_term: dict[str, list[int]] = {}
-    for g, choice in enumerate(groups["all"]):
-        for t in choice:
-            of_term.setdefault(t, []).append(g)
-    phrases = [p for p in groups["phrases"] if p]
-    if of_term:
-        met = F.create_map(*[x for t, gs in of_term.items() for x in (F.lit(t), F.array(*map(F.lit, gs)))])[F.col("term")]
-        weight = F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
-        hits = of_terms(index, list(of_term)).where(scope).groupBy(*PAGE, "words").agg(F.sum(weight).alias("weight"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met"))
-        hits = hits.where(F.size("met") == len(groups["all"]))
-    else:  # stop words alone have no postings
-        hits = pages.where(scope & F.lit(bool(phrases))).select(*PAGE, F.lit(0).alias("words"), F.lit(0.0).alias("weight"))
-    for forbidden in groups["none"]:
-        hits = hits.join(of_terms(index, forbidden), PAGE, "left_anti")
-    if phrases:
-        hits = hits.join(pages.where(scope).select(*PAGE, F.lower("content").alias("content")), PAGE)
-        for phrase in phrases:
-            hits = hits.where(F.col("content").rlike(rf"(^|{GAP})" + GAP.join(phrase) + rf"($|{GAP})"))
+    positive = [item for choice in tree["all"] for item in choice]
+    scored = [t for t in terms_of(positive) if not t.startswith("=")]
+    placed = terms_of([item for item in positive + tree["none"] if not isinstance(item, str)])
+    weight = F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
+    weight = F.when(F.col("term").isin(scored), weight).otherwise(0.0)
+    # positions go along for the terms of phrases alone
+    at = F.when(F.col("term").isin(placed), F.col("positions")).otherwise(F.array().cast("array<int>"))
+    rows = of_terms(index, terms_of(positive + tree["none"])).where(scope & F.lit(bool(positive)))
+    hits = rows.groupBy(*PAGE, "words").agg(F.sum(weight).alias("weight"), F.collect_list(F.struct("term", "field", at.alias("at"))).alias("p"))
+    for choice in tree["all"]:
+        met = F.lit(False)
+        for item in choice:
+            met = met | _holds(item)
+        hits = hits.where(met)
+    for item in tree["none"]:
+        hits = hits.where(~_holds(item))
     score = F.round(F.col("weight") / (1 + F.ln(1 + F.col("words"))), 6)
     order = [F.col("score").desc(), *PAGE]
     top = hits.select(*PAGE, score.alias("score")).orderBy(*order).limit(max(1, min(100, limit)))
-    return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
+    if titles is None:
+        return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
+    winners = top.collect()
+    spark = index.sparkSession
+    kept = spark.createDataFrame(winners, top.schema)
+    parts = _parts(spark, [tuple(r[c] for c in PAGE) for r in winners], ", ".join(f"{c} {top.schema[c].dataType.simpleString()}" for c in PAGE)) if winners else []
+    of_winners = titles.where(F.col("part").isin(parts)).select(*PAGE, "title")
+    return of_winners.join(F.broadcast(kept), PAGE).select(*PAGE, "title", "score").orderBy(*order)
 
 
 def headline(hits: DataFrame, pages: DataFrame, query: str) -> DataFrame:
     """A fragment of at most 18 words around each hit's first match, the matches in « »."""
-    terms = [t for choice in parse(query)["all"] for t in choice]
+    terms = [t for t in terms_of([item for choice in parse(query)["all"] for item in choice]) if not t.startswith("=")]
     tokens = F.filter(F.split("content", r"\s+"), lambda w: w != "")
     hit = lambda w: stem(F.regexp_replace(F.lower(w), GAP, "")).isin(terms)
     rows = hits.join(pages.select(*PAGE, tokens.alias("t")), PAGE)

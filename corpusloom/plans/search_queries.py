@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import search
 from corpusloom.plans.fixtures import STORE, store
 from corpusloom.session import shared_dir
@@ -20,7 +22,14 @@ def unnested(field: str, text: str) -> str:
 
 
 HEAD = f"""{STORE}, each AS ({unnested('A', 'title')} UNION ALL {unnested('B', 'content')}),
-postings AS (SELECT {STEM.format(w='word')} AS term, technology, version, ordinal, field, count(*) AS n, CAST(min(pos) AS INTEGER) AS first, words FROM each WHERE word NOT IN ({STOP}) GROUP BY ALL)"""
+tokens AS (SELECT technology, version, ordinal, field, words, CAST(pos AS INTEGER) AS pos, CASE WHEN word IN ({STOP}) THEN '=' || word ELSE {STEM.format(w='word')} END AS term FROM each),
+postings AS (SELECT term, technology, version, ordinal, field, count(*) AS n, min(pos) AS first, words, list_sort(list(pos)) AS positions FROM tokens GROUP BY ALL)"""
+
+
+def phrase_sql(*terms: str) -> str:
+    """Whether a page of the store holds the terms one after the other."""
+    more = "".join(f" JOIN tokens t{k} ON t{k}.technology = t0.technology AND t{k}.version = t0.version AND t{k}.ordinal = t0.ordinal AND t{k}.field = t0.field AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{t}'" for k, t in enumerate(terms) if k)
+    return f"(technology, version, ordinal) IN (SELECT (t0.technology, t0.version, t0.ordinal) FROM tokens t0{more} WHERE t0.term = '{terms[0]}')"
 
 
 def score_sql(groups: list[list[str]], limit: int, where: str = "true") -> str:
@@ -34,11 +43,11 @@ top AS (SELECT technology, version, ordinal, title, round(weight / (1 + ln(1 + w
 
 
 def r7(spark, d):
-    return search.postings(store(spark, d))
+    return search.postings(store(spark, d)).withColumn("positions", F.array_join("positions", ","))
 
 
 QUERIES["r7_inverted_index"] = r7
-ORACLES["r7_inverted_index"] = f"WITH {HEAD} SELECT * FROM postings"
+ORACLES["r7_inverted_index"] = f"WITH {HEAD} SELECT * REPLACE (array_to_string(list_transform(positions, lambda x: CAST(x AS VARCHAR)), ',') AS positions) FROM postings"
 
 
 def ranked(query: str, limit: int):
@@ -54,17 +63,21 @@ STORED: dict[tuple[str, str], str] = {}
 
 
 def stored(spark, d):
-    """The stored index of ``d``, written at the first use in a session."""
+    """Where the stored index of ``d`` is, written at the first use in a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in STORED:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         search.write_index(store(spark, d), path)
         STORED[key] = path
-    return search.read_index(spark, STORED[key])
+    return STORED[key]
 
 
 def ranked_stored(query: str, limit: int, **scope):
-    return lambda spark, d: search.ranked(stored(spark, d), store(spark, d), query, limit, **scope)
+    def run(spark, d):
+        path = stored(spark, d)
+        return search.ranked(search.read_index(spark, path), store(spark, d), query, limit, titles=search.read_titles(spark, path), **scope)
+
+    return run
 
 
 def ranked_sql(query: str, limit: int, where: str = "true") -> str:
@@ -91,6 +104,36 @@ ORACLES["r5_query_syntax"] = (
     + score_sql([["apache", "mit"], ["under"]], 30, r"regexp_matches(lower(content), '(^|[^\p{L}\p{N}]+)under[^\p{L}\p{N}]+the($|[^\p{L}\p{N}]+)') AND NOT EXISTS (SELECT 1 FROM postings p WHERE p.term = 'version' AND p.technology = store.technology AND p.version = store.version AND p.ordinal = store.ordinal)")
     + " SELECT * FROM top"
 )
+QUERIES["r5_negated_phrase"] = ranked_stored('license -"under the mit"', 100)
+ORACLES["r5_negated_phrase"] = ranked_sql("license", 100, f"NOT {phrase_sql('under', '=the', 'mit')}")
+QUERIES["r5_phrase_or_word"] = ranked_stored('"mit license" or apache -bsd', 100)
+ORACLES["r5_phrase_or_word"] = f"""WITH {HEAD}, hits AS (SELECT technology, version, ordinal, words, sum(CASE WHEN field = 'A' THEN 1.0::DOUBLE * least(n, 3) ELSE 0.4::DOUBLE * least(n, 10) END) AS weight
+  FROM postings WHERE term IN ('mit', 'license', 'apache') GROUP BY ALL)
+SELECT technology, version, ordinal, title, round(weight / (1 + ln(1 + words)), 6) AS score FROM hits JOIN store USING (technology, version, ordinal)
+WHERE ({phrase_sql('mit', 'license')} OR {phrase_sql('apache')}) AND NOT {phrase_sql('bsd')} ORDER BY score DESC, technology, version, ordinal LIMIT 100"""
+QUERIES["r5_inflected_phrase"] = ranked_stored('"releasing under the"', 100)
+ORACLES["r5_inflected_phrase"] = ranked_sql("releasing under", 100, phrase_sql("releas", "under", "=the"))
+
+
+def changed(spark, d):
+    """An index that followed the store: two versions replaced by half their pages, one deleted, then merged and one version saved anew."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    pages = store(spark, d)
+    search.add_to_index(pages.where("version <> 'latest'"), path)
+    search.add_to_index(pages.where("version in ('1.9', '1.10') and ordinal % 2 = 0"), path)
+    search.drop_from_index(pages.where("version = '2.11'").select("technology", "version").distinct(), path)
+    search.merge_index(spark, path)
+    search.add_to_index(pages.where("version = 'latest'"), path)
+    return path
+
+
+def r7_changed(spark, d):
+    path = changed(spark, d)
+    return search.ranked(search.read_index(spark, path), None, "license", 100, titles=search.read_titles(spark, path))
+
+
+QUERIES["r7_index_follows_saves"] = r7_changed
+ORACLES["r7_index_follows_saves"] = ranked_sql("license", 100, "version <> '2.11' AND (version NOT IN ('1.9', '1.10') OR ordinal % 2 = 0 OR (technology, version) NOT IN (SELECT (technology, version) FROM store WHERE ordinal % 2 = 0))")
 QUERIES["r8_section_ranked"] = lambda spark, d: search.ranked(search.postings(store(spark, d).where("version = '2.11'")), store(spark, d), "license", 40)
 ORACLES["r8_section_ranked"] = f"WITH {HEAD}, {score_sql([['license']], 40, chr(39).join(['version = ', '2.11', '']))} SELECT * FROM top"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import urls
-from corpusloom.operators import extract, store
+from corpusloom.operators import extract, search, store
 from corpusloom.session import Scratch
 from corpusloom.sources.captures import admitted
 
@@ -42,9 +42,11 @@ def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
     return newest.select("page.*").withColumn("ordinal", F.col("came"))
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, index: str | None = None) -> StreamingQuery:
     """Reads what is new in ``source`` (Parquet captures) and merges it into the versions that ``target`` holds.
 
+    With ``index`` the search index there follows each batch.
+
     A version may arrive in several batches or runs. A batch that is run again finds its own pages and leaves the same
     store, with ordinals 1 to n.
     """
@@ -56,6 +58,9 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
             # the first batch makes the folder; what was stored is read before it is replaced
             new.limit(0).write.mode("append").partitionBy(*store.KEYS).parquet(target)
             stored = batch.sparkSession.read.schema(STORED).parquet(target)
-            store.save(scratch.keep(merged(stored, new)), target)
+            whole = scratch.keep(merged(stored, new))
+            store.save(whole, target)
+            if index:
+                search.add_to_index(store.with_ordinals(whole), index)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
