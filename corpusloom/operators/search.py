@@ -49,20 +49,26 @@ def postings(pages: DataFrame) -> DataFrame:
     """``term, technology, version, ordinal, field (A title, B content), n, first, words, positions``: the inverted index.
 
     ``words`` is the length of the page's content, ``positions`` the term's places in the field, ascending.
+    A page is one row: keys do not repeat.
     """
     fields = F.array(F.struct(F.lit("A").alias("field"), F.col("of_title").alias("w")), F.struct(F.lit("B").alias("field"), F.col("of_content").alias("w")))
     split = pages.select(*PAGE, words(F.coalesce("title", F.lit(""))).alias("of_title"), words(F.coalesce("content", F.lit(""))).alias("of_content"))
     parts = split.select(*PAGE, F.size("of_content").cast("long").alias("words"), F.explode(fields).alias("p"))
-    each = parts.select(*PAGE, "words", "p.field", F.posexplode("p.w").alias("pos", "word"))
-    term = F.when(F.col("word").isin(STOP), F.concat(F.lit("="), "word")).otherwise(stem(F.col("word")))
-    found = each.groupBy(term.alias("term"), *PAGE, "field", "words").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    term = lambda w: F.when(w.isin(STOP), F.concat(F.lit("="), w)).otherwise(stem(w))
+    # a page's words are sorted and cut into runs of one term within its row, so nothing is shuffled
+    filled = parts.select(*PAGE, "words", "p.field", F.col("p.w").alias("w")).where(F.size("w") > 0)
+    placed = filled.select(*PAGE, "words", "field", F.sort_array(F.transform("w", lambda w, i: F.struct(term(w).alias("term"), i.alias("pos")))).alias("s"))
+    ends = placed.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])))
+    run = lambda a, k: F.slice("s", a + 1, F.coalesce(F.get("starts", k + 1), F.size("s")) - a)
+    runs = F.transform("starts", lambda a, k: F.struct(F.get("s", a)["term"].alias("term"), F.transform(run(a, k), lambda x: x["pos"]).alias("positions")))
+    found = ends.select(*PAGE, "field", "words", F.explode(runs).alias("r")).select("r.term", *PAGE, "field", "words", "r.positions")
     return found.select("term", *PAGE, "field", F.size("positions").cast("long").alias("n"), F.get("positions", F.lit(0)).alias("first"), "words", "positions")
 
 
 #: Parts that a stored index is dealt into by term, and titles by page.
 PARTS = 64
-#: Postings that one file of a part holds, about: a part with more is written as several, by ranges of terms.
-ROWS_A_FILE = 2_000_000
+#: Pages for which each part has one more writer, and so one more file.
+PAGES_A_WRITER = 200_000
 
 
 def part_of(*key: Column, parts: int = PARTS) -> Column:
@@ -74,12 +80,13 @@ def _folder(path: str, segment: str) -> tuple[str, str]:
 
 
 def _write_segment(found: DataFrame, titles: DataFrame, path: str, segment: str) -> None:
+    """A part has as many writers as the number of pages asks for; a frequent term's postings are spread over all of them."""
     to, titles_to = _folder(path, segment)
-    dealt = found.withColumn("part", part_of(F.col("term")))
-    writer = dealt.repartitionByRange("part", "term").sortWithinPartitions("part", "term").write.option("maxRecordsPerFile", ROWS_A_FILE)
-    writer.partitionBy("part").parquet(to)
-    named = titles.withColumn("part", part_of(*[F.col(c) for c in PAGE]))
-    named.repartitionByRange("part", *PAGE).sortWithinPartitions("part", *PAGE).write.partitionBy("part").parquet(titles_to)
+    writers = 1 + titles.count() // PAGES_A_WRITER
+    spread = F.pmod(F.xxhash64(*PAGE), F.lit(writers))
+    for rows, key, folder in ((found, [F.col("term")], to), (titles, [F.col(c) for c in PAGE], titles_to)):
+        dealt = rows.withColumn("part", part_of(*key)).repartition("part", spread)
+        dealt.sortWithinPartitions("part", *key).write.partitionBy("part").parquet(folder)
 
 
 LOG = "technology string, version string, segment string, save long"
