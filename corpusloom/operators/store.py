@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text, versions
+from corpusloom.functions import text, urls, versions
 from corpusloom.session import number_rows, ship_package
 
 KEYS = ["technology", "version"]
@@ -188,6 +188,43 @@ def combined_digests(pages: DataFrame) -> DataFrame:
     return text_digests(combined_blocks(pages), "block", head=_head())
 
 
+def file_pieces(pages: DataFrame, doc_versions: DataFrame) -> DataFrame:
+    """(technology, version, ordinal, piece): the rows that, joined in order, make each version's documentation file.
+
+    Fixed values: the layout, which is a title by the source's host, a comment with pages, source, strategy and time,
+    numbered contents with links, and each page after a rule, without its own stamp. ``ordinal`` is (part, number).
+    Contents go through no window and no version is collected: the list is numbered by ranges over titles and URLs.
+    Two blank lines stay at the end where a version's last page has no content.
+    """
+    number_of = lambda part, number: F.struct(F.lit(part).alias("part"), F.col(number).cast("long").alias("number")).alias("ordinal")
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    sizes = pages.groupBy(*KEYS).agg(F.count("*").alias("pages"))
+    about = doc_versions.join(sizes, KEYS).withColumn("first", F.lit(0))
+    host = F.coalesce(F.nullif(urls.host(filled("source")), F.lit("")), filled("source"))
+    comment = F.concat(F.lit("<!-- harvested: "), F.col("pages").cast("string"), F.lit(" pages | from: "), filled("source"), F.lit(" | via: "), filled("strategy"), F.lit(" | "), F.coalesce(F.date_format("harvested_at", "yyyy-MM-dd HH:mm"), F.lit("")), F.lit(" -->"))
+    heads = about.select(*KEYS, number_of(0, "first"), F.concat(F.lit("# "), host, F.lit(" documentation\n\n"), comment, F.lit("\n\n## Contents\n\n")).alias("piece"))
+    titles = number_rows(pages.select(*KEYS, "ordinal", filled("title").alias("title"), filled("url").alias("url")), KEYS, [F.col("ordinal")], "url")
+    line = F.concat((F.col("number") + 1).cast("string"), F.lit(". ["), "title", F.lit("]("), "url", F.lit(")\n"))
+    listed = titles.select(*KEYS, number_of(1, "number"), line.alias("piece"))
+    body = F.regexp_replace(text.strip_stamp(filled("content")), r"^\s+|\s+$", "")
+    block = F.concat(F.lit("\n\n---\n\n## "), filled("title"), F.lit("\n\nSource: <"), filled("url"), F.lit(">\n\n"), body, F.lit("\n"))
+    return heads.unionByName(listed).unionByName(pages.select(*KEYS, number_of(2, "ordinal"), block.alias("piece")))
+
+
+def file_digests(pages: DataFrame, doc_versions: DataFrame) -> DataFrame:
+    """(technology, version, text_sha256) of the documentation files."""
+    return text_digests(file_pieces(pages, doc_versions), "piece")
+
+
+def pages_by_ordinal(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each page asked for (technology, version, ordinal), with ``found`` and ``reason``: a page that is not there is a row too."""
+    by = [*KEYS, "ordinal"]
+    rows = asked.join(pages.select(*by, "title", "url", "content", F.lit(True).alias("there")), by, "left")
+    found = F.coalesce("there", F.lit(False))
+    reason = F.when(~found, F.concat(F.col("technology"), F.lit(" has no page "), F.col("ordinal").cast("string")))
+    return rows.select(*by, found.alias("found"), reason.alias("reason"), "title", "url", "content")
+
+
 def split_blocks(blocks: DataFrame) -> DataFrame:
     """The pages of combined blocks, a row each, with ordinals 1 to n of each version."""
     form = r"(?s)\A\n---\n\n## (.*?)\n\nSource: <(.*?)>\n\n(.*)\n\z"
@@ -206,7 +243,7 @@ def split_combined(texts: DataFrame) -> DataFrame:
         F.col("pos").cast("long").alias("ordinal"),
         F.regexp_extract("part", r"^## ([^\n]*)", 1).alias("title"),
         F.regexp_extract("part", r"^## [^\n]*\n+Source: <([^>]*)>", 1).alias("url"),
-        F.regexp_replace(body, r"\n(\n---\n)?$", "").alias("content"),
+        F.regexp_replace(body, r"\n(\n{1,2}---\n)?$", "").alias("content"),
     )
 
 

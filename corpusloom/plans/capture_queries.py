@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
 from corpusloom.operators import extract
 from corpusloom.plans.fixtures import CAPTURES, HOST_SQL, PATH_SQL, captures, table
-from corpusloom.session import number_rows
+from corpusloom.session import number_rows, shared_dir
 from corpusloom.sources import captures as scans
+from corpusloom.sources.page_files import write_files
 
 QUERIES, ORACLES = {}, {}
 ORIGIN_SQL = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
@@ -35,6 +38,21 @@ def s2(spark, d):
     return scans.decoded(rows).select("id", F.sha2("body", 256).alias("body_sha256"))
 
 
+#: A declared charset, bytes in it and what they say, by id; the last two are a name without a codec and a broken byte.
+FOREIGN = [("; charset=windows-1252", "80", "€"), ("; charset=Shift_JIS", "93FA967B", "日本"), (";charset=\"gb18030\"", "C4E3BAC3", "你好"), ("; charset=x-none", "C3A9", "é"), ("", "FF41", "\ufffdA")]
+
+
+@query("s2_declared_charsets", "SELECT id, sha256(CASE id % 6 " + " ".join(f"WHEN {i} THEN ascii || '{said}'" for i, (_, _, said) in enumerate(FOREIGN)) + r" ELSE ascii || 'ü€' END) AS body_sha256 FROM (SELECT id, regexp_replace(body, '[^\x00-\x7F]', '', 'g') AS ascii FROM captures)")
+def s2_declared(spark, d):
+    rows = captures(spark, d).withColumn("body", F.regexp_replace("body", r"[^\x00-\x7F]", ""))
+    kind, body = F.lit("; charset=UTF-16"), F.encode(F.concat("body", F.lit("ü€")), "UTF-16")
+    for i, (declared, raw, _) in enumerate(FOREIGN):
+        here = F.col("id") % 6 == i
+        kind, body = F.when(here, declared).otherwise(kind), F.when(here, F.concat(F.encode("body", "UTF-8"), F.unhex(F.lit(raw)))).otherwise(body)
+    rows = rows.select("id", F.concat(F.lit("text/html"), kind).alias("content_type"), body.alias("body"))
+    return scans.decoded(rows).select("id", F.sha2("body", 256).alias("body_sha256"))
+
+
 # one sitemap for each host, and an index over the hosts of a domain
 def sitemaps(spark, d):
     rows = captures(spark, d).select("url", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"))
@@ -220,6 +238,15 @@ def k5(spark, d):
     return captures(spark, d).select(F.concat(urls.file_slug(F.col("url")), F.lit(".md")).alias("file"), F.length("body").cast("long").alias("size"))
 
 
+@query("k5_written_files", rf"SELECT left(regexp_replace(regexp_replace({HOST_SQL} || {PATH_SQL}, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) || '-' || left(sha1(url), 8) || '.md' AS file, sha256(coalesce(body, '')) AS content_sha256 FROM captures")
+def k5_written(spark, d):
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages = captures(spark, d).select(F.concat(urls.file_slug(F.col("url")), F.lit(".md")).alias("file"), F.col("id").alias("ordinal"), F.col("body").alias("content"))
+    write_files(pages, path)
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("file"), F.sha2("value", 256).alias("content_sha256"))
+
+
 @query("j5_capture_lookup", "+asked AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END AS url FROM pages) SELECT a.page_id AS asked, c.id, c.status FROM asked a JOIN captures c ON regexp_replace(regexp_replace(a.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2') = regexp_replace(regexp_replace(c.url, '#.*$', ''), '^([a-z]+://[^/?#]*/[^?#]*[^?#/])/([?]|$)', '\\1\\2')")
 def j5(spark, d):
     asked = table(spark, d, "pages").select(F.col("page_id").alias("asked"), urls.normalise(F.concat("url", F.when(F.col("page_id") % 2 == 0, "#x").otherwise(""))).alias("key"))

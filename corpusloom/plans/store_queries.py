@@ -193,6 +193,29 @@ def k4(spark, d):
     return s.combined_digests(store(spark, d))
 
 
+#: Every third page has a stamp of its own, which the file leaves out.
+STAMP = "<!-- source: x | type: html | scraped: y -->"
+
+
+@query("k4_documentation_file", r"""+ n AS (SELECT *, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal) AS n FROM store),
+  t AS (SELECT technology, version, count(*) AS pages, string_agg(n || '. [' || title || '](' || url || ')' || chr(10), '' ORDER BY n) AS listing,
+    string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || 'Source: <' || url || '>' || chr(10) || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10), '' ORDER BY n) AS blocks FROM n GROUP BY ALL)
+  SELECT technology, version, sha256('# ' || technology || '.example.dev documentation' || chr(10) || chr(10) || '<!-- harvested: ' || pages || ' pages | from: ' || source || ' | via: ' || strategy || ' | ' || strftime(harvested_at, '%Y-%m-%d %H:%M') || ' -->' || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || listing || blocks) AS text_sha256
+  FROM t JOIN doc_versions USING (technology, version)""")
+def k4_file(spark, d):
+    stamped = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit(STAMP + "\n\n"), "content")).otherwise(F.col("content"))
+    return s.file_digests(store(spark, d).withColumn("content", stamped), doc_versions(spark, d))
+
+
+@query("w4_pages_asked", """+ asked AS (SELECT technology, version, least(min(ordinal), 3) + g AS ordinal FROM store, (SELECT unnest([0, 1, 100000000]) AS g) GROUP BY technology, version, g)
+  SELECT technology, version, ordinal, s.url IS NOT NULL AS found, CASE WHEN s.url IS NULL THEN technology || ' has no page ' || ordinal END AS reason, s.title, s.url, s.content FROM asked LEFT JOIN store s USING (technology, version, ordinal)""", STORE)
+def w4_asked(spark, d):
+    rows = store(spark, d)
+    first = rows.groupBy("technology", "version").agg(F.least(F.min("ordinal"), F.lit(3)).alias("low"))
+    asked = first.select("technology", "version", F.explode(F.array(*[F.col("low") + g for g in (0, 1, 100_000_000)])).alias("ordinal"))
+    return s.pages_by_ordinal(rows, asked)
+
+
 @query("s9_split_combined", "SELECT technology, version, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal) AS ordinal, title, url, sha256(content) AS content_sha256 FROM store", STORE)
 def s9(spark, d):
     return s.split_blocks(s.combined_blocks(store(spark, d))).withColumn("content_sha256", F.sha2("content", 256)).drop("content")

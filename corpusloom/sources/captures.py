@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.session import ship_package
 
 # Where sitemaps usually lie, which manifests are read and which folders are not.
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap-0.xml", "/docs/sitemap.xml"]
@@ -19,11 +21,32 @@ def admitted(captures: DataFrame) -> DataFrame:
     return captures.where((F.col("status") < 400) & ((kind == "") | kind.startswith("text/") | kind.endswith("xml") | kind.endswith("json")))
 
 
+def _decoded(body: bytes, charset: str) -> str:
+    """Bytes by a charset's name, what it does not know replaced; by UTF-8 where no codec has the name."""
+    try:
+        text = body.decode(charset, "replace")
+    except (LookupError, ValueError):
+        text = body.decode("utf-8", "replace")
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _decoded_batch(bodies: pa.Array, charsets: pa.Array) -> pa.Array:
+    pairs = zip(bodies, charsets, strict=True)
+    return pa.array([_decoded(b.as_py(), c.as_py()) if b.is_valid and c.is_valid else None for b, c in pairs], pa.string())
+
+
 def decoded(captures: DataFrame) -> DataFrame:
-    """``body`` bytes as text, by the declared charset where Spark knows it, else UTF-8."""
-    charset = F.upper(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset=\"?([A-Za-z0-9_-]+)", 1))
-    latin = charset.isin("ISO-8859-1", "LATIN1", "LATIN-1")
-    return captures.withColumn("body", F.when(latin, F.decode("body", "ISO-8859-1")).when(charset == "US-ASCII", F.decode("body", "US-ASCII")).otherwise(F.try_validate_utf8(F.col("body").cast("string"))))
+    """``body`` bytes as text, by the declared charset, else UTF-8; bytes without a character become U+FFFD, null stays.
+
+    UTF-8 and Latin-1 are decoded by Spark; only bodies of other charsets go to Python, in Arrow batches. A name that
+    no codec has counts as UTF-8.
+    """
+    ship_package(captures.sparkSession)
+    charset = F.lower(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:+-]+)", 1))
+    body, latin = F.col("body").cast("binary"), charset.isin("iso-8859-1", "latin1", "latin-1")
+    other = ~latin & ~charset.isin("", "utf-8", "utf8")
+    foreign = F.arrow_udf(_decoded_batch, "string")(F.when(other, body), F.when(other, charset))
+    return captures.withColumn("body", F.when(latin, F.decode(body, "ISO-8859-1")).when(other, foreign).otherwise(F.make_valid_utf8(body.cast("string"))))
 
 
 def locations(body: Column) -> Column:
@@ -86,6 +109,6 @@ def manifest_paths(files: DataFrame, depth: int = 3) -> DataFrame:
 
 def read_manifests(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
     """``path, body`` of the manifests below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path = F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit(root.rstrip("/")), F.lit("")), r"^[a-z]*:?/*", "")
     return manifest_paths(files.select(path.alias("path"), F.col("value").alias("body")), depth)
