@@ -62,9 +62,9 @@ def entry(doc_versions: DataFrame) -> DataFrame:
 
 
 def numbered(pages: DataFrame) -> DataFrame:
-    """Keys, ``came`` (the order of the input) and ordinals 1 to n of each version; contents stay out of the window."""
-    place = Window.partitionBy(*KEYS).orderBy("came")
-    return pages.select(*KEYS, F.col("ordinal").alias("came")).withColumn("ordinal", F.row_number().over(place).cast("long"))
+    """Keys, ``came`` (the order of the input) and ordinals 1 to n of each version, by ranges of narrow rows."""
+    rows = number_rows(pages.select(*KEYS, F.col("ordinal").alias("came")), KEYS, [F.col("came")])
+    return rows.select(*KEYS, "came", (F.col("number") + 1).alias("ordinal"))
 
 
 def replace_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,22 +73,37 @@ def replace_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_ordinals(pages: DataFrame) -> DataFrame:
-    """``pages`` with ordinals 1 to n in each version, in the order of those given and of URLs; equal ones stay equal."""
-    place = Window.partitionBy(*KEYS).orderBy("ordinal", "url")
-    numbers = pages.select(*KEYS, "ordinal", "url").distinct().withColumn("number", F.row_number().over(place).cast("long")).alias("r")
+    """``pages`` with ordinals 1 to n in each version, in the order of those given and of URLs; equal ones stay equal.
+
+    Narrow rows are numbered by ranges, so a large version is no single task, and joined back by all that they hold.
+    """
+    numbers = number_rows(pages.select(*KEYS, "ordinal", "url").distinct(), KEYS, [F.col("ordinal")], "url").alias("r")
     same = F.lit(True)
     for c in (*KEYS, "ordinal", "url"):
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    kept = [F.col("r.number").alias("ordinal") if c == "ordinal" else F.col(f"l.{c}") for c in pages.columns]
+    kept = [(F.col("r.number") + 1).alias("ordinal") if c == "ordinal" else F.col(f"r.{c}") if c in KEYS else F.col(f"l.{c}") for c in pages.columns]
     return pages.alias("l").join(numbers, same).select(*kept)
 
 
-def save(new: DataFrame, path: str) -> None:
+#: Pages in one file of a saved version.
+PAGES_A_FILE = 20_000
+#: Fixed value: the folder name that Spark reads as a null partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def save(new: DataFrame, path: str, pages_a_file: int = PAGES_A_FILE) -> None:
     """Replace the partitions of ``new`` in the stored table, pages numbered from 1; versions that it does not hold stay.
 
-    Readers that ask for a technology or version read its folders alone; ``characters`` keeps each content's length.
+    A version has a file for every ``pages_a_file`` of its ordinals, each with a writer of its own. Readers that ask for
+    a technology or version read its folders alone, and those that ask for ordinals the files whose range holds them;
+    ``characters`` keeps each content's length. Versions are replaced one after another when the job ends: a reader at
+    that moment may find some old and some new.
     """
-    writer = with_ordinals(new).withColumn("characters", F.length("content").cast("long")).repartition(*KEYS).sortWithinPartitions(*KEYS, "ordinal").write.mode("overwrite")
+    rows = with_ordinals(new).withColumn("characters", F.length("content").cast("long"))
+    for key in KEYS:  # never null, so that the writer keeps the order of ordinals instead of sorting by the keys alone
+        rows = rows.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit(NO_VALUE)))
+    dealt = rows.repartition(*KEYS, F.floor((F.col("ordinal") - 1) / pages_a_file))
+    writer = dealt.sortWithinPartitions(*KEYS, "ordinal").write.mode("overwrite").option("maxRecordsPerFile", pages_a_file)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
@@ -111,11 +126,17 @@ def delete_preview(doc_versions: DataFrame, pages: DataFrame, targets: DataFrame
 
 
 def contents(pages: DataFrame) -> DataFrame:
-    """A numbered contents list of each version."""
-    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("title"))
-    place = Window.partitionBy(*KEYS).orderBy("ordinal")
-    rows = pages.select(*KEYS, "ordinal", "title").withColumn("n", F.row_number().over(place))
-    return rows.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda s: s["line"]), "\n").alias("contents"))
+    """A numbered contents list of each version, which is one row of titles; ``file_pieces`` has it as rows."""
+    titles = F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("title", F.lit("")).alias("title"))))
+    line = lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["title"])
+    return pages.groupBy(*KEYS).agg(F.array_join(F.transform(titles, line), "\n").alias("contents"))
+
+
+def first_titles(pages: DataFrame, most: int = 2000) -> DataFrame:
+    """(technology, version, titles): the first ``most`` titles of each version; the others never reach its group."""
+    rows = number_rows(pages.select(*KEYS, "ordinal", "title"), KEYS, [F.col("ordinal")], "title").where(F.col("number") < most)
+    titles = F.array_sort(F.collect_list(F.struct("number", "title")))
+    return rows.groupBy(*KEYS).agg(F.array_join(F.transform(titles, lambda t: t["title"]), "\n").alias("titles"))
 
 
 def _block() -> Column:

@@ -102,8 +102,7 @@ def a10(spark, d):
 
 @query("a11_page_titles", "SELECT technology, version, array_to_string(list(title ORDER BY ordinal)[1:2000], chr(10)) AS titles FROM store GROUP BY ALL", STORE)
 def a11(spark, d):
-    titles = F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "title"))), 1, 2000)
-    return store(spark, d).groupBy("technology", "version").agg(F.array_join(F.transform(titles, lambda t: t["title"]), "\n").alias("titles"))
+    return s.first_titles(store(spark, d))
 
 
 @query("a12_contents_list", "+ n AS (SELECT *, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal) AS n FROM store) SELECT technology, version, string_agg(n || '. ' || title, chr(10) ORDER BY n) AS contents FROM n GROUP BY ALL", STORE)

@@ -130,3 +130,27 @@ def test_manifests_are_read_whole(spark):
             out.write(body)
     found = {r.path: r.body for r in captures.read_manifests(spark, folder).collect()}
     assert found == {name: bodies[name] for name in ("go.mod", "app/package.json")}
+
+
+def test_a_large_version_has_several_files(spark):
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/store"
+    n = 1000
+    rows = spark.range(n).select(F.lit("t").alias("technology"), F.when(F.col("id") % 10 == 0, "2").otherwise("1").alias("version"), (n * 3 - F.col("id") * 3).alias("ordinal"), F.lit("x").alias("title"), F.col("id").cast("string").alias("url"), F.lit("é").alias("content"))
+    store.save(rows, path, pages_a_file=200)
+    saved = spark.read.schema(f"{store.PAGE_SCHEMA}, characters long").parquet(path)
+    files = saved.groupBy("version", F.col("_metadata.file_name").alias("f")).agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.count("*").alias("n")).collect()
+    # each file holds one range of 200 ordinals, and together they are 1 to n
+    assert sorted((f.version, f.a, f.b, f.n) for f in files) == [("1", 1, 200, 200), ("1", 201, 400, 200), ("1", 401, 600, 200), ("1", 601, 800, 200), ("1", 801, 900, 100), ("2", 1, 100, 100)]
+    assert [r.url for r in saved.where("version = '2'").orderBy("ordinal").collect()] == [str(i) for i in range(990, -1, -10)]
+    # saved again, shorter: nothing of the old version stays
+    store.save(rows.where("version = '1' and ordinal < 100"), path)
+    again = spark.read.schema(f"{store.PAGE_SCHEMA}, characters long").parquet(path)
+    assert again.groupBy("version").count().orderBy("version").collect() == [("1", 30), ("2", 100)]
+
+
+def test_versions_without_a_name(spark):
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/store"
+    rows = spark.createDataFrame([(None, "1", 7, "a", "u", "x"), ("t", None, 7, "b", None, None), ("t", "", 8, "c", "v", "y")], store.PAGE_SCHEMA)
+    store.save(rows, path)
+    saved = spark.read.schema(f"{store.PAGE_SCHEMA}, characters long").parquet(path)
+    assert sorted((r.title, r.technology, r.version, r.ordinal, r.characters) for r in saved.collect()) == [("a", None, "1", 1, 1), ("b", "t", None, 1, None), ("c", "t", None, 1, 1)]
