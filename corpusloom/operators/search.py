@@ -9,16 +9,22 @@ their own (``=the``), for phrases alone.
 
 A stored index is made of segments, one for each save. A log names the segment that holds each version's postings, so that
 a save, a replacement or a deletion becomes visible at once, when its log entries are written; a merge rewrites what is live.
+Postings lie in bands of pages of like length, and ``levels`` knows the largest weight of each term in each band, so that
+the ranked search reads bands by the best score that they may hold, and stops where no page left can be among the best.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import substring
+from corpusloom.operators.parts import of_keys, part_of, parts_holding
 from corpusloom.operators.store import KEYS
 
 PAGE = [*KEYS, "ordinal"]
@@ -65,28 +71,43 @@ def postings(pages: DataFrame) -> DataFrame:
     return found.select("term", *PAGE, "field", F.size("positions").cast("long").alias("n"), F.get("positions", F.lit(0)).alias("first"), "words", "positions")
 
 
-#: Parts that a stored index is dealt into by term, and titles by page.
-PARTS = 64
 #: Pages for which each part has one more writer, and so one more file.
 PAGES_A_WRITER = 200_000
 
 
-def part_of(*key: Column, parts: int = PARTS) -> Column:
-    return F.pmod(F.hash(*key), F.lit(parts))
+def band_of(words: Column) -> Column:
+    """Pages whose lengths differ by a fourth or so share a band: all postings of a page lie in one."""
+    return F.floor(4 * F.ln(1 + words)).cast("int")
 
 
-def _folder(path: str, segment: str) -> tuple[str, str]:
-    return f"{path}/postings/segment={segment}", f"{path}/titles/segment={segment}"
+def weight() -> Column:
+    """What a posting adds to its page's score, before the division by length."""
+    return F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
 
 
-def _write_segment(found: DataFrame, titles: DataFrame, path: str, segment: str) -> None:
-    """A part has as many writers as the number of pages asks for; a frequent term's postings are spread over all of them."""
-    to, titles_to = _folder(path, segment)
-    writers = 1 + titles.count() // PAGES_A_WRITER
-    spread = F.pmod(F.xxhash64(*PAGE), F.lit(writers))
-    for rows, key, folder in ((found, [F.col("term")], to), (titles, [F.col(c) for c in PAGE], titles_to)):
-        dealt = rows.withColumn("part", part_of(*key)).repartition("part", spread)
-        dealt.sortWithinPartitions("part", *key).write.partitionBy("part").parquet(folder)
+#: The tables of a segment, and what deals each into parts.
+TABLES = {"postings": ["term"], "titles": PAGE, "grams": ["gram"], "levels": ["term"]}
+
+
+def _write(rows: DataFrame, table: str, within: list[str], spread: Column, path: str, segment: str) -> None:
+    key = TABLES[table]
+    dealt = rows.withColumn("part", part_of(*[F.col(c) for c in key])).repartition("part", spread)
+    dealt.sortWithinPartitions("part", *key, *within).write.partitionBy("part").parquet(f"{path}/{table}/segment={segment}")
+
+
+def _write_segment(found: DataFrame, titles: DataFrame, grams: DataFrame, path: str, segment: str) -> None:
+    """A part has as many writers as the number of pages asks for; a frequent term's postings are spread over all of them.
+
+    The levels are read off the postings as written.
+    """
+    writers = F.lit(1 + titles.count() // PAGES_A_WRITER)
+    by_page, by_block = F.pmod(F.xxhash64(*PAGE), writers), F.pmod(F.xxhash64(*KEYS, "block"), writers)
+    _write(found.withColumn("band", band_of(F.col("words"))), "postings", ["band"], by_page, path, segment)
+    _write(titles, "titles", [], by_page, path, segment)
+    _write(grams, "grams", [*KEYS, "block"], by_block, path, segment)
+    rows = found.sparkSession.read.parquet(f"{path}/postings/segment={segment}")
+    levels = rows.groupBy("term", "field", "band").agg(F.count("*").alias("rows"), F.max(weight()).alias("most"), F.min("words").alias("shortest"))
+    _write(levels, "levels", ["band"], F.lit(0), path, segment)
 
 
 LOG = "technology string, version string, segment string, save long"
@@ -113,7 +134,7 @@ def live(spark: SparkSession, path: str) -> DataFrame:
 def add_to_index(pages: DataFrame, path: str) -> None:
     """The versions of ``pages`` as they are now: what the index held of them before is no longer live."""
     segment = f"s{uuid.uuid4().hex}"
-    _write_segment(postings(pages), pages.select(*PAGE, "title"), path, segment)
+    _write_segment(postings(pages), pages.select(*PAGE, "title"), substring.grams(pages), path, segment)
     _commit(pages.select(*KEYS).distinct().withColumn("segment", F.lit(segment)), path)
 
 
@@ -133,11 +154,12 @@ def merge_index(spark: SparkSession, path: str) -> None:
     """Rewrite what is live as one segment, and delete the segments before it; no reader may be at work on these."""
     before = [r["segment"] for r in _log(spark, path).select("segment").distinct().where("segment is not null").collect()]
     segment = f"s{uuid.uuid4().hex}"
-    _write_segment(read_index(spark, path).drop("segment", "part"), read_titles(spark, path).drop("segment", "part"), path, segment)
+    kept = [_live_rows(spark, path, table).drop("segment", "part") for table in ("postings", "titles", "grams")]
+    _write_segment(*kept, path, segment)
     _commit(live(spark, path).select(*KEYS).withColumn("segment", F.lit(segment)), path)
     for old in before:
-        for folder in _folder(path, old):
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        for table in TABLES:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/segment={old}")
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
@@ -154,16 +176,13 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
     return _live_rows(spark, path, "titles")
 
 
-def _parts(spark: SparkSession, rows: list[tuple], schema: str) -> list[int]:
-    frame = spark.createDataFrame(rows, schema)
-    return sorted({r["p"] for r in frame.select(part_of(*[F.col(c) for c in frame.columns]).alias("p")).collect()})
+def read_grams(spark: SparkSession, path: str) -> DataFrame:
+    return _live_rows(spark, path, "grams")
 
 
-def of_terms(index: DataFrame, terms: list[str]) -> DataFrame:
-    """The postings of ``terms``; of a stored index only their parts are read."""
-    if "part" in index.columns:
-        index = index.where(F.col("part").isin(_parts(index.sparkSession, [(t,) for t in terms], "term string")))
-    return index.where(F.col("term").isin(terms))
+def read_levels(spark: SparkSession, path: str) -> DataFrame:
+    """The levels of segments of which a version is live; replaced pages may keep a level above the largest weight left."""
+    return spark.read.parquet(f"{path}/levels").join(live(spark, path).select("segment"), "segment", "left_semi")
 
 
 def of_phrase(text: str) -> tuple[str, ...]:
@@ -226,25 +245,15 @@ def _holds(item: str | tuple[str, ...]) -> Column:
     return found
 
 
-def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None, titles: DataFrame | None = None) -> DataFrame:
-    """The best pages with ``score`` (rounded to 6 places); ties in store order. A query without a positive part finds nothing.
-
-    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped. With the
-    ``titles`` of a stored index the winners (at most 100) are looked up in their parts, and ``pages`` are not read.
-    """
-    tree = parse(query)
-    scope = F.lit(True)
-    for name, value in (("technology", technology), ("version", version)):
-        scope = scope & (F.col(name) == value) if value is not None else scope
+def _hits(rows: DataFrame, tree: dict[str, list]) -> DataFrame:
+    """Pages that a query asks for, with ``score`` (rounded to 6 places), from the postings of its terms."""
     positive = [item for choice in tree["all"] for item in choice]
     scored = [t for t in terms_of(positive) if not t.startswith("=")]
     placed = terms_of([item for item in positive + tree["none"] if not isinstance(item, str)])
-    weight = F.when(F.col("field") == "A", TITLE_WEIGHT * F.least("n", F.lit(TITLE_MOST))).otherwise(BODY_WEIGHT * F.least("n", F.lit(BODY_MOST)))
-    weight = F.when(F.col("term").isin(scored), weight).otherwise(0.0)
     # positions go along for the terms of phrases alone
     at = F.when(F.col("term").isin(placed), F.col("positions")).otherwise(F.array().cast("array<int>"))
-    rows = of_terms(index, terms_of(positive + tree["none"])).where(scope & F.lit(bool(positive)))
-    hits = rows.groupBy(*PAGE, "words").agg(F.sum(weight).alias("weight"), F.collect_list(F.struct("term", "field", at.alias("at"))).alias("p"))
+    weights = F.sum(F.when(F.col("term").isin(scored), weight()).otherwise(0.0))
+    hits = rows.groupBy(*PAGE, "words").agg(weights.alias("weight"), F.collect_list(F.struct("term", "field", at.alias("at"))).alias("p"))
     for choice in tree["all"]:
         met = F.lit(False)
         for item in choice:
@@ -252,17 +261,89 @@ def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, tech
         hits = hits.where(met)
     for item in tree["none"]:
         hits = hits.where(~_holds(item))
-    score = F.round(F.col("weight") / (1 + F.ln(1 + F.col("words"))), 6)
-    order = [F.col("score").desc(), *PAGE]
-    top = hits.select(*PAGE, score.alias("score")).orderBy(*order).limit(max(1, min(100, limit)))
+    return hits.select(*PAGE, F.round(F.col("weight") / (1 + F.ln(1 + F.col("words"))), 6).alias("score"))
+
+
+def _bands(levels: DataFrame, tree: dict[str, list]) -> list[tuple[float, int, int]]:
+    """(best score possible, band, postings) of the bands that may hold a hit, the most promising first.
+
+    A few rows for each term of the query reach the driver: fields times bands (some 60) times live segments.
+    """
+    positive = [item for choice in tree["all"] for item in choice]
+    held: dict[int, dict[tuple[str, str], float]] = {}
+    shortest: dict[int, int] = {}
+    rows: dict[int, int] = {}
+    for r in of_keys(levels, terms_of(positive + tree["none"])).select("term", "field", "band", "rows", "most", "shortest").collect():
+        most = held.setdefault(r["band"], {})
+        most[r["term"], r["field"]] = max(r["most"], most.get((r["term"], r["field"]), 0.0))
+        shortest[r["band"]] = min(r["shortest"], shortest.get(r["band"], r["shortest"]))
+        rows[r["band"]] = rows.get(r["band"], 0) + r["rows"]
+    scored = {t for t in terms_of(positive) if not t.startswith("=")}
+    out = []
+    for band, most in held.items():
+        terms = {term for term, _ in most}
+        if all(any(terms.issuperset(terms_of([item])) for item in choice) for choice in tree["all"]):
+            bound = sum(w for (term, _), w in most.items() if term in scored) / (1 + math.log(1 + shortest[band]))
+            out.append((bound, band, rows[band]))
+    return sorted(out, reverse=True)
+
+
+#: Postings that the first round of a search reads at least; each later round reads at least four times as many.
+ROWS_A_ROUND = 1_000_000
+
+
+def best_pages(rows: DataFrame, levels: DataFrame, tree: dict[str, list], limit: int, rows_a_round: int = ROWS_A_ROUND) -> tuple[list[Row], int, int]:
+    """The ``limit`` best pages as rows, the postings read for them, and the postings of the query's terms in bands that could hold a hit.
+
+    Bands are read by their best possible scores; once that of the next is below the last page had, the others
+    cannot change the result, which is the same as that of reading all.
+    """
+    left = _bands(levels, tree)
+    total, read, best = sum(n for _, _, n in left), 0, []
+    first = lambda r: (-r["score"], *[(r[c] is not None, r[c]) for c in PAGE])
+    while left:
+        taken, had = [], 0
+        while left and had < rows_a_round:
+            _, band, n = left.pop(0)
+            taken.append(band)
+            had += n
+        top = _hits(rows.where(F.col("band").isin(taken)), tree).orderBy(F.col("score").desc(), *PAGE).limit(limit)
+        best, read = sorted(best + top.collect(), key=first)[:limit], read + had
+        # scores are rounded to 6 places
+        if left and len(best) == limit and best[-1]["score"] > left[0][0] + 2e-6:
+            break
+        rows_a_round *= 4
+    return best, read, total
+
+
+def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None, titles: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """The best pages with ``score`` (rounded to 6 places); ties in store order. A query without a positive part finds nothing.
+
+    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped. With the
+    ``titles`` of a stored index the winners (at most 100) are looked up in their parts, and ``pages`` are not read; with its
+    ``levels`` the search stops early (``best_pages``).
+    """
+    tree = parse(query)
+    scope = F.lit(True)
+    for name, value in (("technology", technology), ("version", version)):
+        scope = scope & (F.col(name) == value) if value is not None else scope
+    terms = terms_of([item for choice in tree["all"] for item in choice] + tree["none"])
+    rows = of_keys(index, terms).where(scope & F.lit(bool(tree["all"])))
+    order, most = [F.col("score").desc(), *PAGE], max(1, min(100, limit))
     if titles is None:
+        top = _hits(rows, tree).orderBy(*order).limit(most)
         return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
-    winners = top.collect()
+    if not tree["all"]:
+        winners = []
+    elif levels is None:
+        winners = _hits(rows, tree).orderBy(*order).limit(most).collect()
+    else:
+        winners = best_pages(rows, levels, tree, most)[0]
     spark = index.sparkSession
-    kept = spark.createDataFrame(winners, top.schema)
-    parts = _parts(spark, [tuple(r[c] for c in PAGE) for r in winners], ", ".join(f"{c} {top.schema[c].dataType.simpleString()}" for c in PAGE)) if winners else []
-    of_winners = titles.where(F.col("part").isin(parts)).select(*PAGE, "title")
-    return of_winners.join(F.broadcast(kept), PAGE).select(*PAGE, "title", "score").orderBy(*order)
+    columns = {c: pa.array([r[c] for r in winners], t) for c, t in zip([*PAGE, "score"], (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)}
+    kept = pa.table(columns)
+    of_winners = titles.where(F.col("part").isin(parts_holding(spark, kept.select(PAGE)))).select(*PAGE, "title")
+    return of_winners.join(F.broadcast(spark.createDataFrame(kept)), PAGE).select(*PAGE, "title", "score").orderBy(*order)
 
 
 def headline(hits: DataFrame, pages: DataFrame, query: str) -> DataFrame:

@@ -275,9 +275,14 @@ def read_section(pages: DataFrame, phrase: str) -> DataFrame:
     return titled.where("by_title or not any_title").select(*KEYS, "ordinal", "title", "url", F.when(F.col("any_title"), "title").otherwise("content").alias("matched"))
 
 
+def searched() -> Column:
+    """What a substring search looks at, in lower case."""
+    return F.lower(F.concat_ws("\n", "title", "url", "content"))
+
+
 def substring_search(pages: DataFrame, phrase: str, limit: int) -> DataFrame:
     """The first hits in store order, with a snippet around the phrase."""
-    hit = F.contains(F.lower(F.concat_ws("\n", "title", "url", "content")), F.lit(phrase.lower()))
+    hit = F.contains(searched(), F.lit(phrase.lower()))
     top = pages.where(hit).orderBy(*KEYS, "ordinal").limit(max(1, min(100, limit)))
     return top.select(*KEYS, "ordinal", "title", "url", text.snippet(F.col("content"), phrase).alias("snippet"))
 

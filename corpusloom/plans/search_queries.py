@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import search
+from corpusloom.operators import search, substring
 from corpusloom.plans.fixtures import STORE, store
+from corpusloom.plans.store_queries import saved
 from corpusloom.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
@@ -72,10 +73,20 @@ def stored(spark, d):
     return STORED[key]
 
 
+def stored_of_saved(spark, d):
+    """The same over the saved store, whose ordinals have no gaps."""
+    key = (spark.sparkContext.applicationId, f"{d} saved")
+    if key not in STORED:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(saved(spark, d), path)
+        STORED[key] = path
+    return STORED[key]
+
+
 def ranked_stored(query: str, limit: int, **scope):
     def run(spark, d):
         path = stored(spark, d)
-        return search.ranked(search.read_index(spark, path), store(spark, d), query, limit, titles=search.read_titles(spark, path), **scope)
+        return search.ranked(search.read_index(spark, path), store(spark, d), query, limit, titles=search.read_titles(spark, path), levels=search.read_levels(spark, path), **scope)
 
     return run
 
@@ -129,7 +140,7 @@ def changed(spark, d):
 
 def r7_changed(spark, d):
     path = changed(spark, d)
-    return search.ranked(search.read_index(spark, path), None, "license", 100, titles=search.read_titles(spark, path))
+    return search.ranked(search.read_index(spark, path), None, "license", 100, titles=search.read_titles(spark, path), levels=search.read_levels(spark, path))
 
 
 QUERIES["r7_index_follows_saves"] = r7_changed
@@ -149,3 +160,36 @@ ORACLES["r6_headline"] = f"""WITH {HEAD}, {score_sql([['license']], 20)},
 t AS (SELECT technology, version, ordinal, list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '') AS t FROM top JOIN store USING (technology, version, ordinal)),
 a AS (SELECT *, coalesce(list_position(list_transform(t, lambda w: {HIT} = 'license'), true), 0) AS at_ FROM t)
 SELECT technology, version, ordinal, array_to_string(list_transform(t[greatest(1, at_ - 6):greatest(1, at_ - 6) + 17], lambda w: CASE WHEN {HIT} = 'license' THEN '«' || w || '»' ELSE w END), ' ') AS headline FROM a"""
+
+
+#: The saved store in SQL, its blocks and what each holds.
+SAVED = f"""{STORE}, saved AS (SELECT technology, version, row_number() OVER (PARTITION BY technology, version ORDER BY ordinal, url) AS ordinal, title, url, content,
+  lower(title || chr(10) || url || chr(10) || content) AS searched FROM store),
+held AS (SELECT DISTINCT technology, version, ordinal // {substring.BLOCK} AS block, unnest(list_distinct(list_transform(generate_series(1, length(searched) - 2), lambda i: substr(searched, i, 3)))) AS gram FROM saved)"""
+
+
+def r3_pruned(phrase: str, limit: int):
+    return lambda spark, d: substring.search(saved(spark, d), search.read_grams(spark, stored_of_saved(spark, d)), phrase, limit)
+
+
+def r3_sql(phrase: str, limit: int) -> str:
+    return f"""WITH {SAVED}, h AS (SELECT *, greatest(instr(lower(content), '{phrase}') - 91, 0) AS begin_ FROM saved WHERE contains(searched, '{phrase}') ORDER BY technology, version, ordinal LIMIT {limit})
+SELECT technology, version, ordinal, title, url, CASE WHEN begin_ > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(content, begin_ + 1, 240), '\\s+', ' ', 'g')) || '…' AS snippet FROM h"""
+
+
+QUERIES["r3_pruned_search"] = r3_pruned("Licensed under", 25)
+ORACLES["r3_pruned_search"] = r3_sql("licensed under", 25)
+QUERIES["r3_pruned_search_everywhere"] = r3_pruned("für", 100)
+ORACLES["r3_pruned_search_everywhere"] = r3_sql("für", 100)
+PHRASES = ["licensed under", "für", "released", "zebra crossing"]
+
+
+def r3_blocks(spark, d):
+    return substring.pruning(saved(spark, d), search.read_grams(spark, stored_of_saved(spark, d)), PHRASES)
+
+
+QUERIES["r3_candidate_blocks"] = r3_blocks
+ORACLES["r3_candidate_blocks"] = f"""WITH {SAVED}, asked AS (SELECT DISTINCT phrase, substr(phrase, i, 3) AS gram FROM (SELECT phrase, unnest(generate_series(1, length(phrase) - 2)) AS i FROM (VALUES {', '.join(f"('{p}')" for p in PHRASES)}) v(phrase))),
+needed AS (SELECT phrase, count(*) AS grams FROM asked GROUP BY phrase), counted AS (SELECT phrase, technology, version, block, count(*) AS n FROM asked JOIN held USING (gram) GROUP BY ALL),
+whole AS (SELECT * FROM counted JOIN needed USING (phrase) WHERE n = grams)
+SELECT phrase, (SELECT count(*) FROM (SELECT DISTINCT technology, version, block FROM held)) AS blocks, (SELECT count(*) FROM whole w WHERE w.phrase = a.phrase) AS candidates FROM (SELECT DISTINCT phrase FROM asked) a"""
