@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTS = 64
+PARTS = 16
 
 
 def part_of(*key: Column) -> Column:

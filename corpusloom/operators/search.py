@@ -87,6 +87,13 @@ def weight() -> Column:
 
 #: The tables of a segment, and what deals each into parts.
 TABLES = {"postings": ["term"], "titles": PAGE, "grams": ["gram"], "levels": ["term"]}
+#: Their columns, so that no reader has to look into files for them.
+COLUMNS = {
+    "postings": "term string, technology string, version string, ordinal long, field string, n long, first int, words long, positions array<int>, band int",
+    "titles": "technology string, version string, ordinal long, title string",
+    "grams": "gram string, technology string, version string, block long",
+    "levels": "term string, field string, band int, rows long, most double, shortest long",
+}
 
 
 def _write(rows: DataFrame, table: str, within: list[str], spread: Column, path: str, segment: str) -> None:
@@ -163,9 +170,20 @@ def merge_index(spark: SparkSession, path: str) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _live_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/{table}")
-    return rows.join(live(spark, path), [*KEYS, "segment"], "left_semi")
+def _table(spark: SparkSession, path: str, table: str, parts: list[int] | None = None) -> DataFrame:
+    """A table of all segments, live or not; of ``parts`` alone only their folders are listed."""
+    reader = spark.read.schema(f"{COLUMNS[table]}, segment string, part int")
+    if parts is None:
+        return reader.parquet(f"{path}/{table}")
+    folders = f"{path}/{table}/segment=*/part={{{','.join(map(str, parts))}}}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], f"{COLUMNS[table]}, segment string, part int")
+    return reader.option("basePath", f"{path}/{table}").parquet(folders)
+
+
+def _live_rows(spark: SparkSession, path: str, table: str, parts: list[int] | None = None) -> DataFrame:
+    return _table(spark, path, table, parts).join(live(spark, path), [*KEYS, "segment"], "left_semi")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -180,9 +198,9 @@ def read_grams(spark: SparkSession, path: str) -> DataFrame:
     return _live_rows(spark, path, "grams")
 
 
-def read_levels(spark: SparkSession, path: str) -> DataFrame:
+def read_levels(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
     """The levels of segments of which a version is live; replaced pages may keep a level above the largest weight left."""
-    return spark.read.parquet(f"{path}/levels").join(live(spark, path).select("segment"), "segment", "left_semi")
+    return _table(spark, path, "levels", parts).join(live(spark, path).select("segment"), "segment", "left_semi")
 
 
 def of_phrase(text: str) -> tuple[str, ...]:
@@ -316,34 +334,45 @@ def best_pages(rows: DataFrame, levels: DataFrame, tree: dict[str, list], limit:
     return best, read, total
 
 
-def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None, titles: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
-    """The best pages with ``score`` (rounded to 6 places); ties in store order. A query without a positive part finds nothing.
-
-    ``technology`` and ``version`` narrow the search. Only postings of the query's terms are read and grouped. With the
-    ``titles`` of a stored index the winners (at most 100) are looked up in their parts, and ``pages`` are not read; with its
-    ``levels`` the search stops early (``best_pages``).
-    """
-    tree = parse(query)
+def _scope(technology: str | None, version: str | None) -> Column:
     scope = F.lit(True)
     for name, value in (("technology", technology), ("version", version)):
         scope = scope & (F.col(name) == value) if value is not None else scope
-    terms = terms_of([item for choice in tree["all"] for item in choice] + tree["none"])
-    rows = of_keys(index, terms).where(scope & F.lit(bool(tree["all"])))
-    order, most = [F.col("score").desc(), *PAGE], max(1, min(100, limit))
-    if titles is None:
-        top = _hits(rows, tree).orderBy(*order).limit(most)
-        return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
-    if not tree["all"]:
-        winners = []
-    elif levels is None:
-        winners = _hits(rows, tree).orderBy(*order).limit(most).collect()
-    else:
-        winners = best_pages(rows, levels, tree, most)[0]
-    spark = index.sparkSession
-    columns = {c: pa.array([r[c] for r in winners], t) for c, t in zip([*PAGE, "score"], (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)}
-    kept = pa.table(columns)
-    of_winners = titles.where(F.col("part").isin(parts_holding(spark, kept.select(PAGE)))).select(*PAGE, "title")
-    return of_winners.join(F.broadcast(spark.createDataFrame(kept)), PAGE).select(*PAGE, "title", "score").orderBy(*order)
+    return scope
+
+
+def _asked(tree: dict[str, list]) -> list[str]:
+    return terms_of([item for choice in tree["all"] for item in choice] + tree["none"])
+
+
+def ranked(index: DataFrame, pages: DataFrame, query: str, limit: int = 20, technology: str | None = None, version: str | None = None) -> DataFrame:
+    """The best pages with ``score`` (rounded to 6 places); ties in store order. A query without a positive part finds nothing.
+
+    ``technology`` and ``version`` narrow the search. All postings of the query's terms are read and grouped, and titles
+    come from ``pages``; ``search_index`` does less for the same rows.
+    """
+    tree, scope, order = parse(query), _scope(technology, version), [F.col("score").desc(), *PAGE]
+    rows = of_keys(index, _asked(tree)).where(scope & F.lit(bool(tree["all"])))
+    top = _hits(rows, tree).orderBy(*order).limit(max(1, min(100, limit)))
+    return pages.where(scope).select(*PAGE, "title").join(F.broadcast(top), PAGE).select(*PAGE, "title", "score").orderBy(*order)
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int = 20, technology: str | None = None, version: str | None = None, rows_a_round: int = ROWS_A_ROUND) -> DataFrame:
+    """The rows of ``ranked`` from a stored index: parts of the query's terms, read by bands up to the one that cannot matter.
+
+    The winners (at most 100) are on the driver; their titles are looked up in the parts that hold them.
+    """
+    tree, order = parse(query), [F.col("score").desc(), *PAGE]
+    winners: list[Row] = []
+    if tree["all"]:
+        terms = _asked(tree)
+        parts = parts_holding(spark, pa.table({"term": pa.array(terms, pa.string())}))
+        rows = of_keys(_live_rows(spark, path, "postings", parts), terms).where(_scope(technology, version))
+        winners = best_pages(rows, read_levels(spark, path, parts), tree, max(1, min(100, limit)), rows_a_round)[0]
+    types = (pa.string(), pa.string(), pa.int64(), pa.float64())
+    kept = pa.table({c: pa.array([r[c] for r in winners], t) for c, t in zip([*PAGE, "score"], types, strict=True)})
+    titles = _live_rows(spark, path, "titles", parts_holding(spark, kept.select(PAGE)) or [-1]).select(*PAGE, "title")
+    return titles.join(F.broadcast(spark.createDataFrame(kept)), PAGE).select(*PAGE, "title", "score").orderBy(*order)
 
 
 def headline(hits: DataFrame, pages: DataFrame, query: str) -> DataFrame:

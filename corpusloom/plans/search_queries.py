@@ -84,11 +84,7 @@ def stored_of_saved(spark, d):
 
 
 def ranked_stored(query: str, limit: int, **scope):
-    def run(spark, d):
-        path = stored(spark, d)
-        return search.ranked(search.read_index(spark, path), store(spark, d), query, limit, titles=search.read_titles(spark, path), levels=search.read_levels(spark, path), **scope)
-
-    return run
+    return lambda spark, d: search.search_index(spark, stored(spark, d), query, limit, **scope)
 
 
 def ranked_sql(query: str, limit: int, where: str = "true") -> str:
@@ -139,8 +135,7 @@ def changed(spark, d):
 
 
 def r7_changed(spark, d):
-    path = changed(spark, d)
-    return search.ranked(search.read_index(spark, path), None, "license", 100, titles=search.read_titles(spark, path), levels=search.read_levels(spark, path))
+    return search.search_index(spark, changed(spark, d), "license", 100)
 
 
 QUERIES["r7_index_follows_saves"] = r7_changed

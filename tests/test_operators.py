@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chat, crawl, deps, extract, resolve, search, store
+from corpusloom.operators import chat, crawl, deps, extract, resolve, search, store, substring
+from corpusloom.operators.parts import of_keys
 from corpusloom.streaming.ingest import ingest
 
 PAGE = store.PAGE_SCHEMA
@@ -159,10 +160,9 @@ def test_search_over_a_stored_index(spark):
     pages = spark.createDataFrame([("t", "1", i, f"page {i}", "u", f"word{i} common") for i in range(30)], PAGE)
     search.write_index(pages, path)
     stored = search.read_index(spark, path)
-    titles = search.read_titles(spark, path)
-    found = search.ranked(stored, None, "word7 common", titles=titles)
+    found = search.search_index(spark, path, "word7 common")
     assert [(r["ordinal"], r["title"]) for r in found.collect()] == [(7, "page 7")]
-    of_term = search.of_terms(stored, ["word7"])
+    of_term = of_keys(stored, ["word7"])
     plan = of_term._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*part#", plan) and re.search(r"PushedFilters: \[[^\]]*EqualTo\(term,word7\)", plan)
 
@@ -207,7 +207,7 @@ def test_index_follows_the_store(spark):
 
     def same(now):
         for query in ("loom", '"loom word2"', "loom -changed", "title changed"):
-            mine = search.ranked(search.read_index(spark, path), None, query, 100, titles=search.read_titles(spark, path)).collect()
+            mine = search.search_index(spark, path, query, 100).collect()
             assert mine == search.ranked(search.postings(frame(now)), frame(now), query, 100).collect()
 
     first = rows(("a", "1", 3, "old"), ("a", "2", 2, "old"), ("b", "1", 2, "old"))
@@ -228,6 +228,41 @@ def test_index_follows_the_store(spark):
     same(now + again)
 
 
+def test_search_stops_early_with_the_same_pages(spark):
+    """Bands by best possible score: whatever a round reads, the rows are those of reading all."""
+    path = tempfile.mkdtemp(prefix="spark-") + "/index"
+    length = lambda k: 1 + (k * k) % 400
+    rows = [("t", str(k % 3), k, "loom" if k % 40 == 0 else "title", "u", f"{'loom ' * (k % 5)}{'x ' * length(k)}{'shuttle warp' if k % 7 == 0 else ''}") for k in range(240)]
+    pages = spark.createDataFrame(rows, PAGE)
+    search.write_index(pages, path)
+    index = search.postings(pages).cache()
+    for query in ("loom", "loom shuttle", "loom -shuttle", '"shuttle warp" or title', "absent loom", '"the loom"', "-loom", ""):
+        whole = search.ranked(index, pages, query, 5).collect()
+        for rows_a_round in (1, 40, 10**6):
+            assert search.search_index(spark, path, query, 5, rows_a_round=rows_a_round).collect() == whole, (query, rows_a_round)
+    scoped = search.search_index(spark, path, "loom", 100, version="1", rows_a_round=1).collect()
+    assert scoped == search.ranked(index, pages, "loom", 100, version="1").collect() and len(scoped) > 50
+    best, read, total = search.best_pages(search.read_index(spark, path).where("term = 'loom'"), search.read_levels(spark, path), search.parse("loom"), 5, 1)
+    assert len(best) == 5 and read < total / 4
+
+
+def test_substring_search_reads_candidate_blocks(spark):
+    """The rows of the plain search, for phrases at block borders, short ones, other scripts, and nulls."""
+    words = ["Loom", "shuttle", "für\nWärme", "😀😀x", "a%b_c"]
+    rows = [(f"t{k % 2}", "1" if k % 3 else "2", k, None if k % 11 == 0 else f"Title {k}", f"u/{k}", None if k % 13 == 0 else f"{words[k // 90 % 5]} {k} end") for k in range(450)]
+    rows += [(None, "1", 7, "Loom", "u", "no technology"), ("t0", None, 7, "Loom", "u", "no version"), ("t0", "1", None, "Loom", "u", "no number")]
+    pages = spark.createDataFrame(rows, PAGE)
+    grams = substring.grams(pages).cache()
+    assert {(r["technology"], r["version"], r["block"]) for r in substring.candidates(grams, "SHUTTLE").collect()} == {(t, v, b) for t in ("t0", "t1") for v in "12" for b in (0, 1)}
+    assert substring.candidates(grams, "loomshuttle").count() == 0
+    for phrase in ("loom", "SHUTTLE 9", "r\nw", "😀x", "%b_", "no ", "lo", "", "absent phrase", "e 17"):
+        for limit in (1, 60):
+            plain = store.substring_search(pages, phrase, limit).collect()
+            for first in (1, 100):
+                assert substring.search(pages, grams, phrase, limit, first).collect() == plain, (phrase, limit, first)
+    assert substring.search(pages.limit(0), grams.limit(0), "loom", 5).count() == 0
+
+
 def test_ingest_keeps_the_index_in_step(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     for batch in ([(1, 1, "old loom", "2031-02-03"), (2, 2, "loom", "2031-02-03")], [(3, 1, "new shuttle", "2031-02-04")]):
@@ -235,7 +270,7 @@ def test_ingest_keeps_the_index_in_step(spark):
         ingest(spark, f"{root}/in", f"{root}/store", f"{root}/state", f"{root}/index").awaitTermination()
         pages = spark.read.schema(PAGE).parquet(f"{root}/store")
         for query in ("loom", "shuttle"):
-            mine = search.ranked(search.read_index(spark, f"{root}/index"), None, query, titles=search.read_titles(spark, f"{root}/index")).collect()
+            mine = search.search_index(spark, f"{root}/index", query).collect()
             assert mine == search.ranked(search.postings(pages), pages, query).collect()
 
 
