@@ -253,9 +253,10 @@ def page_of(html: str) -> tuple[str, str]:
     return page.title.strip() or "Untitled", _tidy(page.out)
 
 
-def extract_pages(captures: DataFrame) -> DataFrame:
-    """(id, url, title, markdown, error) of each capture; one that fails has an error and no page."""
+def extract_pages(captures: DataFrame, *keep: str) -> DataFrame:
+    """(id, url, title, markdown, error) of each capture; one that fails has an error and no page. Columns of ``keep`` go along."""
     ship_package(captures.sparkSession)
+    kept = "".join(f", `{c}` {captures.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,9 +266,10 @@ def extract_pages(captures: DataFrame) -> DataFrame:
                     rows.append((key, url, *page_of(body or ""), None))
                 except Exception as e:  # one bad row never ends a job
                     rows.append((key, url, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["id", "url", "title", "markdown", "error"])
+            found = pd.DataFrame(rows, columns=["id", "url", "title", "markdown", "error"])
+            yield found.assign(**{c: batch[c].to_numpy() for c in keep})
 
-    return captures.select("id", "url", "body").mapInPandas(run, "id long, url string, title string, markdown string, error string")
+    return captures.select("id", "url", "body", *keep).mapInPandas(run, f"id long, url string, title string, markdown string, error string{kept}")
 
 
 def bundle(docs: DataFrame, key: str) -> DataFrame:

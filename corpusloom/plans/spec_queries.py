@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import apispec as a
 from corpusloom.operators import chat
-from corpusloom.plans.fixtures import captures, table
+from corpusloom.plans.fixtures import CAPTURES, captures, table
 from corpusloom.session import shared_dir
 from corpusloom.streaming.ingest import STORED, ingest
 
@@ -183,3 +183,24 @@ def st1(spark, d):
     stored = spark.read.schema(STORED).parquet(f"{root}/store")
     return stored.groupBy("technology", "version").agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("characters"))
 
+
+#: A second arrival brings every third capture again, a day later and under a new id.
+ARRIVALS = r"""arrivals AS (SELECT id, 'https://' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || '/docs/v' || (id % 5) || '/p' || id AS url, status, content_type, '2026-08-20' AS day FROM captures),
+both_ AS (SELECT * FROM arrivals UNION ALL SELECT id + 1000000000, url, status, content_type, '2026-08-21' FROM arrivals WHERE id % 3 = 0),
+newest AS (SELECT url, max(struct_pack(day := day, came := id)) AS last FROM both_ WHERE status < 400 AND (content_type IN ('', 'application/xml', 'text/html')) GROUP BY url),
+named AS (SELECT split_part(regexp_replace(regexp_replace(regexp_extract(url, '^https://([^/]*)', 1), '^www\.', ''), '^docs\.', ''), '.', 1) AS technology, regexp_extract(url, '/docs/(v\d+)/', 1) AS version, url, last.day AS day, last.came AS came FROM newest)"""
+
+
+@query("st1_ingested_pages", f", {ARRIVALS} SELECT technology, version, row_number() OVER (PARTITION BY technology, version ORDER BY came) AS ordinal, url, day, came FROM named", CAPTURES)
+def st1_pages(spark, d):
+    """Two arrivals, each ingested as it comes: the newest capture of each URL, numbered anew in its version."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
+    moved = F.concat(F.lit("https://"), host, F.lit("/docs/v"), (F.col("id") % 5).cast("string"), F.lit("/p"), F.col("id").cast("string"))
+    rows = captures(spark, d).withColumn("url", moved).withColumn("harvested_at", F.lit("2026-08-20").cast("timestamp"))
+    again = rows.where("id % 3 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("harvested_at", F.lit("2026-08-21").cast("timestamp"))
+    for arrival in (rows, again):
+        arrival.write.mode("append").parquet(f"{root}/in")
+        ingest(spark, f"{root}/in", f"{root}/store", f"{root}/state").awaitTermination()
+    stored = spark.read.schema(STORED).parquet(f"{root}/store")
+    return stored.select("technology", "version", "ordinal", "url", F.date_format("harvested_at", "yyyy-MM-dd").alias("day"), "came")

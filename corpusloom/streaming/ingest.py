@@ -20,8 +20,7 @@ STORED = f"{store.PAGE_SCHEMA}, harvested_at timestamp, came long"
 
 def pages_of(captures: DataFrame) -> DataFrame:
     """Store rows of admitted captures: technology and version from the URL, ordinals by id."""
-    rows = admitted(captures)
-    found = extract.extract_pages(rows).where("error is null").join(rows.select("id", "harvested_at"), "id")
+    found = extract.extract_pages(admitted(captures), "harvested_at").where("error is null")
     return found.select(
         urls.name_of(F.col("url")).alias("technology"),
         urls.version_of(F.col("url"), F.col("harvested_at")).alias("version"),

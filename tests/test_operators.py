@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chat, crawl, deps, extract, resolve, search, store, substring
 from corpusloom.operators.parts import of_keys
-from corpusloom.streaming.ingest import ingest
+from corpusloom.streaming.ingest import ingest, pages_of
 
 PAGE = store.PAGE_SCHEMA
 
@@ -308,6 +308,10 @@ def test_streaming_ingest_merges_batches_of_one_version(spark):
     expected = [(k + 1, f"https://loom.dev/v1/p{p}", body) for k, (p, (_, _, body)) in enumerate(sorted(newest.items(), key=lambda x: x[1][1]))]
     rows = spark.read.schema(PAGE).parquet(f"{root}/store").orderBy("ordinal").collect()
     assert [(r["ordinal"], r["url"], r["content"]) for r in rows] == expected
+    # rows that share an id are pages of their own, each once
+    shared = captured(spark, [(1, 1, "a", "2031-02-03"), (1, 2, "b", "2031-02-04"), (None, 3, "c", "2031-02-03"), (None, 4, "d", None)])
+    found = [(r["url"][-2:], r["content"], r["harvested_at"] and r["harvested_at"].strftime("%d")) for r in pages_of(shared).collect()]
+    assert sorted(found) == [("p1", "a", "03"), ("p2", "b", "04"), ("p3", "c", "03"), ("p4", "d", None)]
     # all captures again, as from a lost checkpoint: the same store
     ingest(spark, f"{root}/in", f"{root}/store", f"{root}/other").awaitTermination()
     again = spark.read.schema(PAGE).parquet(f"{root}/store").orderBy("ordinal").collect()
