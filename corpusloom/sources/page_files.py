@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -26,6 +27,8 @@ from corpusloom.session import ship_package
 #: Fixed value: what stands between documents that share a file.
 BETWEEN = "\n\n---\n\n"
 ATTEMPTS = "_attempts"
+#: Fixed value: folders of the second file of a name, the third and so on.
+AGAIN = "again-"
 
 
 @dataclass
@@ -45,18 +48,18 @@ def guarded(path: str, root: str | None) -> str:
 
 def file_name(name: str | None) -> str:
     """``name`` if it names a file within a folder, else an error."""
-    if not name or "/" in name or "\\" in name or "\0" in name or name in (".", "..", ATTEMPTS):
+    if not name or "/" in name or "\\" in name or "\0" in name or name in (".", "..", ATTEMPTS) or name.removeprefix(AGAIN).isdigit() and name.startswith(AGAIN):
         raise ValueError(f"not a file name: {name!r}")
     return name
 
 
 class PageFilesWriter(DataSourceWriter):
-    """Rows (file, content), those of one file one after another in one task: joined, or the last one stays."""
+    """Rows (file, content), those of one file one after another in one task: joined, all kept in folders, or the last one stays."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         system, path = fs.FileSystem.from_uri(options["path"]) if ":/" in options["path"] else (fs.LocalFileSystem(), options["path"])
         self.system, self.target = system, guarded(path, options.get("root"))
-        self.joined, self.overwrite = options.get("joined", "false") == "true", overwrite
+        self.joined, self.every, self.overwrite = options.get("joined", "false") == "true", options.get("every", "false") == "true", overwrite
         if not overwrite and self._there(self.target):
             raise ValueError(f"{self.target} exists already")
         self.staging = f"{self.target}.staging-{uuid.uuid4().hex}"
@@ -67,7 +70,7 @@ class PageFilesWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         own = f"{self.staging}/{ATTEMPTS}/{TaskContext.get().taskAttemptId()}"
         self.system.create_dir(own, recursive=True)
-        last, out, files = None, None, 0
+        last, out, files, again = None, None, 0, 0
         for file, content in iterator:
             file, piece = file_name(file), (content or "").encode()
             if file == last and self.joined:
@@ -75,19 +78,24 @@ class PageFilesWriter(DataSourceWriter):
                 continue
             if out:
                 out.close()
-                if file != last:
-                    self._keep(own, last)
+                if file != last or self.every:
+                    self._keep(own, last, again)
                     files += 1
+                again = again + 1 if file == last else 0
             last, out = file, self.system.open_output_stream(f"{own}/{file}")
             out.write(piece)
         if out:
             out.close()
-            self._keep(own, last)
+            self._keep(own, last, again)
             files += 1
         return Written(files)
 
-    def _keep(self, own: str, file: str) -> None:
-        self.system.move(f"{own}/{file}", f"{self.staging}/{file}")
+    def _keep(self, own: str, file: str, again: int) -> None:
+        folder = self.staging
+        if self.every and again:
+            folder = f"{folder}/{AGAIN}{again}"
+            self.system.create_dir(folder, recursive=True)
+        self.system.move(f"{own}/{file}", f"{folder}/{file}")
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         self.system.create_dir(f"{self.staging}/{ATTEMPTS}", recursive=True)
@@ -116,16 +124,18 @@ class PageFiles(DataSource):
         return PageFilesWriter(dict(self.options), overwrite)
 
 
-def write_files(pages: DataFrame, path: str, root: str | None = None, joined: bool = False, overwrite: bool = False) -> None:
+def write_files(pages: DataFrame, path: str, root: str | None = None, joined: bool = False, overwrite: bool = False, every: bool = False) -> None:
     """Write ``pages`` (file, ordinal, content) as files of those names; a null content is an empty file.
 
-    Of rows with one name the last by ordinal stays; if ``joined``, they stand in one file with a rule between. A
+    Of rows with one name the last by ordinal stays; if ``joined``, they stand in one file with a rule between; if
+    ``every``, the first has the name in ``path`` and the later ones in the folders ``again-1``, ``again-2`` and so on. A
     file has one writer, which streams its rows: no file is held in memory. A target that exists is an error unless
     ``overwrite``, and so is a name with folders in it.
     """
     spark = pages.sparkSession
     ship_package(spark)
     spark.dataSource.register(PageFiles)
-    rows = pages.repartition("file").sortWithinPartitions("file", "ordinal").select("file", "content")
-    writer = rows.write.format("page_files").mode("overwrite" if overwrite else "append").option("joined", str(joined).lower())
+    # by a hash of the name: a repartition by the very key of a join before it would be dropped
+    rows = pages.repartition(F.xxhash64("file")).sortWithinPartitions("file", "ordinal").select("file", "content")
+    writer = rows.write.format("page_files").mode("overwrite" if overwrite else "append").option("joined", str(joined).lower()).option("every", str(every).lower())
     (writer.option("root", root) if root else writer).save(path)

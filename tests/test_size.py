@@ -1,10 +1,13 @@
 """What breaks at size and not on small tables: plans that go through the driver, work in one task, repeated keys."""
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusloom.operators import resolve
+from corpusloom.operators import extract, resolve, store
 from corpusloom.plans import resolve_queries
+from corpusloom.sources.page_files import write_files
 from tests.conftest import DATA
 
 
@@ -29,3 +32,27 @@ def test_forge_origins_are_not_probed(spark):
 def test_a_file_of_parts_is_many_tasks(spark):
     for made in (resolve_queries.bodies, resolve_queries.cands, resolve_queries.named):
         assert made(spark, DATA).rdd.getNumPartitions() >= 8
+
+
+def test_a_version_after_a_join_has_one_digest(spark):
+    """The join looks large and is small, so adaptive execution reads it without its shuffle."""
+    pages = spark.range(4000, numPartitions=4).selectExpr("concat('t', id % 2) as technology", "string(id % 2) as version", "id as ordinal", "repeat(string(id), 2000) as content")
+    wanted = spark.range(4_000_000).selectExpr("concat('t', id % 3) as technology", "string(id % 2) as version").distinct()
+    rows = store.text_digests(pages.join(wanted, store.KEYS, "left_semi"), "content")
+    assert "REPARTITION_BY_COL" in plan_of(rows)
+    assert sorted(r["technology"] for r in rows.collect()) == ["t0", "t1"]
+
+
+def test_every_capture_of_a_url_has_a_file(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/out"
+    rows = spark.createDataFrame([("a.md", 2, "two"), ("a.md", 1, "one"), ("a.md", 3, "three"), ("b.md", 1, "b")], "file string, ordinal long, content string")
+    write_files(rows, path, every=True)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("_metadata.file_name", "value").collect()
+    assert sorted(map(tuple, found)) == [("a.md", "one"), ("a.md", "three"), ("a.md", "two"), ("b.md", "b")]
+    assert (spark.read.text(path, wholetext=True).where("_metadata.file_name = 'a.md'").first()["value"]) == "one"
+
+
+def test_a_stub_lands_on_the_next_capture_of_its_target(spark):
+    to = "<script>location.href = 'https://x.dev/b'</script>"
+    rows = spark.createDataFrame([(1, "https://x.dev/b", 200, ""), (2, "https://x.dev/a", 200, to), (3, "https://x.dev/b", 404, ""), (4, "https://x.dev/c", 200, to), (5, "https://x.dev/b", 200, ""), (6, "https://x.dev/b", 200, ""), (7, "https://x.dev/d", 200, to), (8, "https://x.dev/e", 200, to.replace("/b", "/none"))], "id long, url string, status int, body string")
+    assert sorted((r["id"], r["landed"]) for r in extract.follow_stubs(rows).collect()) == [(2, False), (4, True), (7, True), (8, False)]
