@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
@@ -65,7 +65,10 @@ def links(captures: DataFrame) -> DataFrame:
 
 
 def follow_stubs(captures: DataFrame, most: int = 4000) -> DataFrame:
-    """(id, url, target, landed): one hop of small pages that redirect by a meta tag or a script."""
+    """(id, url, target, landed): one hop of small pages that redirect by a meta tag or a script.
+
+    A target captured several times is judged by its first capture after the stub's, by id, else by the last before it.
+    """
     tag = F.regexp_extract("body", r"(?is)<meta\b(?=[^>]*\brefresh\b)[^>]*>", 0)
     meta = F.regexp_extract(tag, r"(?i)\burl\s*=\s*([^\s\"'<>;]+)", 1)
     # an assignment to the location or to its href, or a call of replace or assign
@@ -75,8 +78,13 @@ def follow_stubs(captures: DataFrame, most: int = 4000) -> DataFrame:
     found = captures.where(F.length("body") <= most).select("id", "url", F.explode(F.array(link)).alias("link")).where("link is not null")
     stubs = found.select("id", "url", F.explode(F.array(urls.resolve(F.col("link"), F.col("url")))).alias("target")).where("target is not null")
     stubs = stubs.where(F.regexp_replace("target", "/$", "") != F.regexp_replace("url", "/$", ""))
-    good = captures.where("status = 200").select(F.col("url").alias("target"), F.lit(True).alias("landed"))
-    return stubs.join(good, "target", "left").select("id", "url", "target", F.coalesce("landed", F.lit(False)).alias("landed"))
+    # captures of each target in the order of ids, the stubs that lead there between them
+    seen = captures.select("id", F.lit(None).cast("string").alias("url"), F.col("url").alias("target"), F.struct(F.coalesce(F.col("status") == 200, F.lit(False)).alias("landed")).alias("seen"))
+    both = seen.unionByName(stubs.withColumn("seen", F.lit(None).cast("struct<landed:boolean>")))
+    place = Window.partitionBy("target").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = (F.last("seen", ignorenulls=True).over(place.orderBy(by, F.col("url").isNull())) for by in (F.asc("id"), F.desc("id")))
+    judged = both.withColumn("before", before).withColumn("after", after).where("seen is null")
+    return judged.select("id", "url", "target", F.coalesce("after.landed", "before.landed", F.lit(False)).alias("landed"))
 
 
 def split_dumps(dumps: DataFrame, least_size: int = SPLIT_FROM) -> DataFrame:
