@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,23 +261,29 @@ def page_of(html: str) -> tuple[str, str]:
     return page.title.strip() or "Untitled", _tidy(page.out)
 
 
+#: Pages that a worker holds as Python strings at once.
+PAGES_A_SLICE = 200
+
+
 def extract_pages(captures: DataFrame, *keep: str) -> DataFrame:
     """(id, url, title, markdown, error) of each capture; one that fails has an error and no page. Columns of ``keep`` go along."""
     ship_package(captures.sparkSession)
     kept = "".join(f", `{c}` {captures.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, url, body in zip(batch["id"], batch["url"], batch["body"], strict=True):
-                try:
-                    rows.append((key, url, *page_of(body or ""), None))
-                except Exception as e:  # one bad row never ends a job
-                    rows.append((key, url, None, None, str(e)))
-            found = pd.DataFrame(rows, columns=["id", "url", "title", "markdown", "error"])
-            yield found.assign(**{c: batch[c].to_numpy() for c in keep})
-
-    return captures.select("id", "url", "body", *keep).mapInPandas(run, f"id long, url string, title string, markdown string, error string{kept}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAGES_A_SLICE):
+                batch = whole.slice(start, PAGES_A_SLICE)
+                rows = []
+                for body in batch.column("body"):
+                    try:
+                        rows.append((*page_of(body.as_py() or ""), None))
+                    except Exception as e:  # one bad row never ends a job
+                        rows.append((None, None, str(e)))
+                found = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), *found, *[batch.column(c) for c in keep]], names=["id", "url", "title", "markdown", "error", *keep])
+
+    return captures.select(F.col("id").cast("long").alias("id"), "url", "body", *keep).mapInArrow(run, f"id long, url string, title string, markdown string, error string{kept}")
 
 
 def bundle(docs: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusloom.operators import extract, resolve, store
+from corpusloom.operators import extract, resolve, search, store, substring
 from corpusloom.plans import resolve_queries
 from corpusloom.sources.page_files import write_files
 from tests.conftest import DATA
@@ -56,3 +56,27 @@ def test_a_stub_lands_on_the_next_capture_of_its_target(spark):
     to = "<script>location.href = 'https://x.dev/b'</script>"
     rows = spark.createDataFrame([(1, "https://x.dev/b", 200, ""), (2, "https://x.dev/a", 200, to), (3, "https://x.dev/b", 404, ""), (4, "https://x.dev/c", 200, to), (5, "https://x.dev/b", 200, ""), (6, "https://x.dev/b", 200, ""), (7, "https://x.dev/d", 200, to), (8, "https://x.dev/e", 200, to.replace("/b", "/none"))], "id long, url string, status int, body string")
     assert sorted((r["id"], r["landed"]) for r in extract.follow_stubs(rows).collect()) == [(2, False), (4, True), (7, True), (8, False)]
+
+
+def test_postings_are_cut_without_interpreted_loops(spark):
+    """Words with accents, digits, stop words and repeats; a page without words has no posting."""
+    pages = spark.createDataFrame([("t", "1", 1, "The Looms", "u", "Für 2 looms, LOOMS of für"), ("t", "1", 2, None, "u", " -- ")], store.PAGE_SCHEMA)
+    rows = search.postings(pages)
+    assert "transform(" not in plan_of(rows) and "MapInArrow" in plan_of(rows)
+    found = sorted((r["term"], r["ordinal"], r["field"], r["n"], r["first"], r["words"], list(r["positions"])) for r in rows.collect())
+    assert found == [("2", 1, "B", 1, 1, 6, [1]), ("=of", 1, "B", 1, 4, 6, [4]), ("=the", 1, "A", 1, 0, 6, [0]), ("für", 1, "B", 2, 0, 6, [0, 5]), ("loom", 1, "A", 1, 1, 6, [1]), ("loom", 1, "B", 2, 2, 6, [2, 3])]
+
+
+def test_grams_of_a_block_come_once(spark):
+    pages = spark.createDataFrame([("t", "1", 1, "ab", "c", "x𝄞y"), ("t", "1", 2, "ab", "c", "x𝄞y")], store.PAGE_SCHEMA)
+    rows = substring.grams(pages)
+    assert "MapInArrow" in plan_of(rows)
+    assert sorted((r["gram"], r["block"]) for r in rows.collect()) == sorted((g, 0) for g in ("ab\n", "b\nc", "\nc\n", "c\nx", "\nx𝄞", "x𝄞y"))
+
+
+def test_extraction_keeps_ids_beside_a_null_one(spark):
+    """Ids beyond 2^53 stay whole, as no batch goes through pandas."""
+    rows = spark.createDataFrame([(2**53 + 1, "u", "<p>a</p>"), (None, "v", None)], "id long, url string, body string").coalesce(1)
+    found = extract.extract_pages(rows)
+    assert "MapInArrow" in plan_of(found)
+    assert sorted((r["url"], r["id"], r["markdown"]) for r in found.collect()) == [("u", 2**53 + 1, "a"), ("v", None, "")]
