@@ -1,7 +1,10 @@
 """What breaks at size and not on small tables: plans that go through the driver, work in one task, repeated keys."""
 
 import tempfile
+from pathlib import Path
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -80,3 +83,37 @@ def test_extraction_keeps_ids_beside_a_null_one(spark):
     found = extract.extract_pages(rows)
     assert "MapInArrow" in plan_of(found)
     assert sorted((r["url"], r["id"], r["markdown"]) for r in found.collect()) == [("u", 2**53 + 1, "a"), ("v", None, "")]
+
+
+def test_a_stored_index_has_blocks_of_postings(spark):
+    """A term of 50 pages of one length is one row and not 50, and the rows are those of ``postings``."""
+    path = tempfile.mkdtemp(prefix="spark-") + "/index"
+    rows = [("t", "1", k, f"Für {k}", "u", f" loom the w{k} loom") for k in range(50)] + [("t", "2", 1, "", "u", ""), ("t", "2", 2, None, "u", "looms über a  loom")]
+    pages = spark.createDataFrame(rows, store.PAGE_SCHEMA)
+    search.write_index(pages, path)
+    assert spark.read.parquet(f"{path}/postings").where("term = 'loom' and version = '1'").count() == 1
+    columns = ["term", *search.PAGE, "field", "n", "first", "words", "positions"]
+    flat = lambda df: sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+    assert flat(search.read_index(spark, path)) == flat(search.postings(pages))
+
+
+def test_slices_are_bounded_by_bytes(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"of_title": ["a"] * 5, "of_content": ["", "x" * 30, "b", "x" * 9, "x" * 9]})
+    monkeypatch.setattr(search, "BYTES_A_SLICE", 20)
+    assert [s.column("of_content").to_pylist() for s in search._slices(iter([batch]))] == [[""], ["x" * 30], ["b", "x" * 9], ["x" * 9]]
+
+
+def test_an_index_for_ranked_search_has_no_grams(spark):
+    """Each index has the tables of its searches alone, through merges too, and a save for other searches is refused."""
+    pages = spark.createDataFrame([("t", "1", 1, "a loom", "u", "the loom"), ("t", "2", 1, "b", "u", "shuttle")], store.PAGE_SCHEMA)
+    for uses, tables in (((search.RANKED,), {"postings", "titles", "levels", "log"}), ((search.GRAMS,), {"grams", "log"})):
+        path = tempfile.mkdtemp(prefix="spark-") + "/index"
+        search.write_index(pages, path, uses)
+        search.merge_index(spark, path)
+        assert {f.name for f in Path(path).iterdir()} == tables
+        with pytest.raises(ValueError, match="is for"):
+            search.add_to_index(pages, path)
+        if search.RANKED in uses:
+            assert [r["title"] for r in search.search_index(spark, path, "loom").collect()] == ["a loom"]
+        else:
+            assert substring.candidates(search.read_grams(spark, path), "shuttle").count() == 1
