@@ -8,7 +8,9 @@ other annulus whose bound does not rule that score out. The bound is the triangl
 annulus with distances lo..hi around pivot p, |q - x| >= max(0, |q - p| - hi, lo - |q - p|), and
 2<q, x> = |q|^2 + |x|^2 - |q - x|^2; and <q, p> + |q| hi.
 
-Annuli are cut into blocks of bounded size, and queries too: a task joins one block with one block.
+Annuli are cut into blocks of bounded size, and queries too: a task joins one block with one block. Blocks lie in lots of
+about as many vectors, so that a block of queries is sent once to each lot where one of them searches; joins are by shuffle
+and sort, and the driver holds pivots and a row for each annulus alone.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; every row
 is a candidate of its own, so rows that repeat an id, and its vector or not, stand in the result as often, but never
@@ -33,6 +35,8 @@ from corpusloom.llm.common import map_batches, materialise, with_names
 
 #: Vectors in a block and queries in a block, about; most pivots and rings of a pivot.
 BLOCK, QUERY_BLOCK, MOST_PIVOTS, RINGS = 1024, 256, 256, 8
+#: Blocks in a lot, about, and most lots of vectors of one length: beyond them lots grow with the table.
+LOT, MOST_LOTS = 4, 256
 FACTOR = 256.0
 #: Components of an indexed vector are smaller; sums of products of doubles up to EXACT are exact integers.
 NARROW, EXACT = 1 << 20, 2.0**53
@@ -122,7 +126,10 @@ def _search(batch: pa.RecordBatch, k: int, long: bool) -> pa.RecordBatch:
         get = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
         q_ids, floor, ids = get("q_ids"), np.array(get("q_floor"), float), np.array(get("ids"))
         q_wide, x_wide = get("q_wide"), get("pivot") == WIDE
-        rows += _best(q_ids, _vectors(get("q_vecs"), len(q_ids), q_wide), ids, _vectors(get("vecs"), len(ids), x_wide), floor, k, q_wide or x_wide)
+        marks = np.frombuffer(get("marks"), bool).reshape(len(q_ids), -1)
+        who = np.flatnonzero(marks[:, get("q_annuli").index(get("annulus"))])
+        if len(who):
+            rows += _best([q_ids[w] for w in who], _vectors(get("q_vecs"), len(q_ids), q_wide)[who], ids, _vectors(get("vecs"), len(ids), x_wide), floor[who], k, q_wide or x_wide)
     query, found, score = list(zip(*rows, strict=True)) or [[], [], []]
     scores = pa.array(score, pa.int64()) if long else pa.array([Decimal(s) for s in score], pa.decimal128(38, 0))
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), scores], names=["query", "id", "score"])
@@ -158,22 +165,32 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     keyed = materialise(map_batches(ints, lambda b: _key(b, pivots, width), "id long, salt long, vec binary, dim long, pivot long, ring long, dist double, norm double"))
     stats = keyed.groupBy("dim", "pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm")).orderBy("dim", "pivot", "ring").collect()
     annuli = {dim: {c: np.array([r[c] for r in stats if r["dim"] == dim]) for c in ("pivot", "ring", "n", "lo", "hi", "norm")} for dim in lengths}
-    cuts = spark.createDataFrame([(r["dim"], r["pivot"], r["ring"], int(-(-r["n"] // BLOCK))) for r in stats], "dim long, pivot long, ring long, cuts int")
-    key = ["dim", "pivot", "ring"]
-    block = keyed.join(F.broadcast(cuts), key).withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("cuts")))
-    blocks = materialise(block.groupBy(*key, "block").applyInArrow(lambda t: _gather(t, ("ids", "vecs"), key), "dim long, pivot long, ring long, ids array<long>, vecs binary"))
+    cuts = []
+    for dim, a in annuli.items():
+        # an annulus begins at a place among the vectors, and so do its blocks; a lot is a range of places
+        span = max(LOT * BLOCK, -(-int(a["n"].sum()) // MOST_LOTS))
+        pieces, begin = -(-a["n"] // BLOCK), np.cumsum(a["n"]) - a["n"]
+        cuts += [(dim, int(p), int(r), m, int(n), int(c), int(b), span) for m, (p, r, n, c, b) in enumerate(zip(a["pivot"], a["ring"], a["n"], pieces, begin, strict=True))]
+        first, last = begin // span, (begin + (pieces - 1) * a["n"] // pieces) // span
+        a["lots"] = {lot: np.flatnonzero((first <= lot) & (lot <= last)) for lot in range(int(last.max()) + 1)}
+    cuts = spark.createDataFrame(cuts, "dim long, pivot long, ring long, annulus int, n long, cuts long, begin long, span long")
+    key = ["dim", "lot"]
+    block = keyed.join(F.broadcast(cuts), ["dim", "pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("id", "salt"), F.col("cuts"))).withColumn("lot", F.expr("(begin + (block * n) div cuts) div span"))
+    of_annulus = [*key, "annulus", "pivot"]
+    blocks = materialise(block.groupBy(*of_annulus, "block").applyInArrow(lambda t: _gather(t, ("ids", "vecs"), of_annulus), "dim long, lot long, annulus int, pivot long, ids array<long>, vecs binary"))
 
     asked = keyed.where(F.col("id") % every == 0)
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     # queries of one block lie around one pivot, where there are enough of them
     placed = asked.withColumn("q_wide", F.col("pivot") == WIDE).withColumn("block", F.pmod(F.col("pivot") * 7919 + F.pmod(F.xxhash64("id", "salt"), F.lit(max(1, -(-groups // 8)))), F.lit(groups)))
-    queries = materialise(placed.groupBy("dim", "q_wide", "block").applyInArrow(lambda t: _gather(t, ("q_ids", "q_vecs"), ["dim", "q_wide"]), "dim long, q_wide boolean, q_ids array<long>, q_vecs binary"))
+    of_block = ["dim", "q_wide", "block"]
+    queries = materialise(placed.groupBy(*of_block).applyInArrow(lambda t: _gather(t, ("q_ids", "q_vecs"), of_block), "dim long, q_wide boolean, block long, q_ids array<long>, q_vecs binary"))
 
     def visits(first: bool):
-        """Annuli for each block of queries, with the queries that search there; ``first``: the seeds, else the rest."""
+        """Lots for each block of queries, with the queries that search there and in which annuli; ``first``: the seeds, else the rest."""
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for r in range(batch.num_rows):
                 dim, wide, q_ids = batch.column("dim")[r].as_py(), batch.column("q_wide")[r].as_py(), np.array(batch.column("q_ids")[r].as_py())
                 data = batch.column("q_vecs")[r].as_py()
@@ -187,29 +204,35 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 np.put_along_axis(seeds, order, (held - a["n"][order]) < k + 1, axis=1)
                 floor = np.full(len(q_ids), -np.inf) if first else np.array(batch.column("q_floor")[r].as_py(), float)
                 search = seeds if first else ~seeds & (bound >= floor[:, None])
-                for m in np.flatnonzero(search.any(axis=0)):
-                    who = np.flatnonzero(search[:, m])
+                for lot, within in a["lots"].items():
+                    who = np.flatnonzero(search[:, within].any(axis=1))
+                    if not len(who):
+                        continue
                     some = b"".join(data[w * size : (w + 1) * size] for w in who.tolist())
-                    row = (dim, int(a["pivot"][m]), int(a["ring"][m]), wide, q_ids[who].tolist(), some, floor[who].tolist())
+                    row = (dim, lot, wide, q_ids[who].tolist(), some, floor[who].tolist(), within.tolist(), search[np.ix_(who, within)].tobytes())
                     for c, v in zip(rows, row, strict=True):
                         c.append(v)
-            types = [pa.int64()] * 3 + [pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=[*key, "q_wide", "q_ids", "q_vecs", "q_floor"])
+            types = [pa.int64()] * 2 + [pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=[*key, "q_wide", "q_ids", "q_vecs", "q_floor", "q_annuli", "marks"])
 
         return run
 
     score = "long" if long else "decimal(38,0)"
 
     def search(pairs: DataFrame) -> DataFrame:
-        return map_batches(pairs.join(blocks, key), lambda b: _search(b, k, long), f"query long, id long, score {score}", rows=64)
+        # by shuffle and sort: a block of queries becomes a row for each lot, which Spark's guess of its size does not know
+        return map_batches(pairs.join(blocks.hint("merge"), key), lambda b: _search(b, k, long), f"query long, id long, score {score}", rows=64)
 
-    plan = "dim long, pivot long, ring long, q_wide boolean, q_ids array<long>, q_vecs binary, q_floor array<double>"
-    seeds = materialise(search(map_batches(queries, visits(True), plan, rows=4)))
+    plan = "dim long, lot long, q_wide boolean, q_ids array<long>, q_vecs binary, q_floor array<double>, q_annuli array<int>, marks binary"
+    # few bytes and much work: one task for each block of queries
+    dealt = lambda blocks_of: blocks_of.repartition(groups, *of_block).drop("block")
+    seeds = materialise(search(map_batches(dealt(queries), visits(True), plan, rows=1)))
     rank = "row_number() over (partition by query order by score desc, id)"
     floors = seeds.selectExpr("*", f"{rank} as rank").where(f"rank = {k}").select("query", F.col("score").cast("double").alias("floor"))
-    each = queries.select("dim", "q_wide", "q_vecs", F.col("q_ids").alias("all"), F.posexplode("q_ids").alias("at", "query"))
-    known = each.join(floors, "query", "left").groupBy("dim", "q_wide", "q_vecs", "all").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))).alias("f"))
-    known = known.select("dim", "q_wide", F.col("all").alias("q_ids"), "q_vecs", F.col("f.floor").alias("q_floor"))
-    rest = search(map_batches(known, visits(False), plan, rows=4))
+    # ids and floors alone are dealt by query, vectors stay in their blocks
+    each = queries.select(*of_block, F.posexplode("q_ids").alias("at", "query")).join(floors.hint("merge"), "query", "left")
+    by_place = each.groupBy(*of_block).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))).alias("f"))
+    known = queries.join(by_place.hint("merge"), of_block).select(*of_block, "q_ids", "q_vecs", F.col("f.floor").alias("q_floor"))
+    rest = search(map_batches(dealt(known), visits(False), plan, rows=1))
     as_long = f"cast(least(cast('{2**63 - 1}' as decimal(38,0)), greatest(cast('{-(2**63)}' as decimal(38,0)), score)) as long)"
     return seeds.union(rest).selectExpr("query", f"{rank} as rank", "id", f"{as_long} as score").where(f"rank <= {k}").select("query", "rank", "id", "score")

@@ -73,6 +73,18 @@ def test_many_components(spark):
     assert [(r["id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, n * n * 69999 + n * (n - 1)), (2, 256 * n * 70000)]
 
 
+def test_top_k_broadcasts_no_queries(spark, monkeypatch):
+    """Blocks of queries are far larger than their file for each lot that they visit; none goes through the driver."""
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk_search, "LOT", 2)
+    rows, given = vectors(spark, 400)
+    found = topk_search.top_k(given, every=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5, 10)
+
+
 def test_top_k_of_nothing(spark):
     _, given = vectors(spark, 3)
     assert topk_search.top_k(given.where("false")).count() == 0
