@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom.operators import extract, resolve, search, store, substring
-from corpusloom.plans import resolve_queries
+from corpusloom.plans import resolve_queries, search_queries
 from corpusloom.sources.page_files import write_files
 from tests.conftest import DATA
 
@@ -117,3 +117,9 @@ def test_an_index_for_ranked_search_has_no_grams(spark):
             assert [r["title"] for r in search.search_index(spark, path, "loom").collect()] == ["a loom"]
         else:
             assert substring.candidates(search.read_grams(spark, path), "shuttle").count() == 1
+
+
+def test_the_index_that_follows_saves_has_the_tables_of_its_search(spark):
+    """A ranked search reads no trigrams, so no save of its index makes any."""
+    path = search_queries.changed(spark, DATA)
+    assert {f.name for f in Path(path.removeprefix("file:")).iterdir()} == {"postings", "titles", "levels", "log"}
