@@ -83,6 +83,22 @@ def test_resolution_chain_by_hand(spark):
     assert found == {"loomkit": ("https://loomkit.io/docs/", "domain", "", 2), "spindle": ("https://spindle.example.net/", "registry", "npm", 1), "nobody": (None, "unresolved", "", 0)}
 
 
+def test_resolution_looks_at_every_candidate(spark):
+    """The only verified candidate of nine has the least confidence; the chain finds the page behind eight others too."""
+    rows = [("loom", f"https://c{k}.example.com/loom", f"npm:{k}", 0.9 - k / 10, k == 8) for k in range(9)]
+    given = spark.createDataFrame(rows, "name string, url string, source string, confidence double, verified boolean")
+    assert tuple(resolve.resolve(given.limit(0), given).first()) == ("loom", "https://c8.example.com/loom", "registry", 9)
+    assert resolve.top_candidates(given).count() == 6 and resolve.resolve(given.limit(0), given, 6).first()["best"] is None
+
+    page = "<p>" + "word " * 60 + "</p><pre>x</pre><pre>y</pre><code>z</code> npm install loom"
+    captured = spark.createDataFrame([("https://z.example.net/book", 200, "text/html", "https://z.example.net/book", page)], "url string, status int, content_type string, landed string, body string")
+    urls = [f"https://docs{k}.example.com/docs/" for k in range(8)] + ["https://z.example.net/book"]
+    declared = spark.createDataFrame([("loom", "npm", k, f"npm:{k}", "documentation" if k < 8 else "homepage", u) for k, u in enumerate(urls)], "name string, ecosystem string, pos int, source string, field string, url string")
+    declared = declared.union(declared.where("pos = 8").selectExpr("name", "ecosystem", "9", "'npm:homepage'", "field", "url"))
+    found = resolve.resolve_names(spark.createDataFrame([("loom", "")], "name string, hint string"), declared, captured).first()
+    assert (found["best"], found["via"], found["candidates"]) == ("https://z.example.net/book", "registry", 9)
+
+
 def test_dump_split_keeps_every_word(spark):
     body = "<h1>Banner</h1>\n" + "\n".join(f"## s{i}\ntext {i}" for i in range(10))
     rows = extract.split_dumps(spark.createDataFrame([("s", body)], "source string, text string"), 10).orderBy("part").collect()
