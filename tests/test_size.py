@@ -123,3 +123,15 @@ def test_the_index_that_follows_saves_has_the_tables_of_its_search(spark):
     """A ranked search reads no trigrams, so no save of its index makes any."""
     path = search_queries.changed(spark, DATA)
     assert {f.name for f in Path(path.removeprefix("file:")).iterdir()} == {"postings", "titles", "levels", "log"}
+
+
+def test_a_merge_deals_no_part_anew(spark):
+    """Segments have the same parts: their live rows are written as they lie, in tasks of one part, and not in one task."""
+    path = tempfile.mkdtemp(prefix="spark-") + "/index"
+    pages = spark.createDataFrame([("t", str(k % 2), k, f"title {k}", "u", f"loom w{k} x{k}") for k in range(40)], store.PAGE_SCHEMA)
+    search.write_index(pages, path, (search.RANKED,))
+    merged = search._live_by_part(spark, path, "postings", 1)
+    assert merged.rdd.getNumPartitions() >= search.PARTS
+    assert "part" not in merged.columns and merged.count() == search._live_rows(spark, path, "postings").count()
+    of_task = merged.groupBy(F.spark_partition_id()).agg(F.countDistinct(search.part_of(F.col("term"))).alias("parts"))
+    assert {r["parts"] for r in of_task.collect()} == {1}
